@@ -328,3 +328,26 @@ def media_base_from_editor(editor_url) -> Column:
     """
     e = F.regexp_replace(_lit(editor_url), "^http:", "https:")
     return F.concat(F.left(e, F.length(e) - EDITOR_SUFFIX_LEN), F.lit(MEDIA_PATH))
+
+
+def with_link_facts(df, link_col: str, base_col: str, domain_col: str | None, prefix: str):
+    """Add ``{prefix}_rel``, ``_internal``, ``_file`` and ``_abs`` for a link column.
+
+    The URL components of the link and of the base are materialised once as
+    columns (Catalyst keeps them as separate projections because each is
+    referenced several times), so the rules below reuse them instead of
+    re-running the split regex per rule.
+    """
+    lp, bp = f"_{prefix}_l", f"_{prefix}_b"
+    d = with_parts(with_parts(df, link_col, lp), base_col, bp)
+    L, Bp = Parts.cols(lp), Parts.cols(bp)
+    link = F.col(link_col)
+    d = d.withColumn(f"{prefix}_rel", is_relative(link, L))
+    if domain_col is not None:
+        d = d.withColumn(f"{prefix}_internal", is_internal(link, F.col(domain_col), L))
+    d = d.withColumn(f"{prefix}_file", is_file(link))
+    d = d.withColumn(
+        f"{prefix}_abs",
+        F.when(F.col(f"{prefix}_rel"), absolute(F.col(base_col), link, Bp, L)).otherwise(link),
+    )
+    return d.drop(*[c for c in d.columns if c.startswith(lp + "_") or c.startswith(bp + "_")])
