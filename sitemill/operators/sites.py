@@ -66,7 +66,9 @@ def content_rule(family: Column) -> tuple[Column, Column]:
 def sites(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """``sites(site, site_url, domain, family, content_kind, content_key, media_base, home_page_id)``."""
     reg = parse_registry(registry)
-    homes = home_pages(pages, reg)
+    # one home page per site even if the archive holds the home URL twice
+    first = home_pages(pages.select("page_id", "url"), reg).groupBy("site").agg(F.min("page_id").alias("page_id"))
+    homes = pages.select("page_id", "html").join(first, "page_id")
     tok = H.tokens(homes.select("page_id", "html"))
     fam = family_by_home(tok)
     out = reg.join(homes.select("site", F.col("page_id").alias("home_page_id")), "site", "left").join(

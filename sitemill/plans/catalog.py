@@ -89,3 +89,297 @@ FROM st GROUP BY page_id
 def link_disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = M.resolve_links(M.classify_links(page_links(spark, sf_dir)), None)
     return M.disposition_counts(resolved)
+
+
+# ---------------------------------------------------------------------------
+# Everything below runs on the decorated archive (FIXTURES.md section 2) or on
+# relations Spark derives from the given tables.
+# ---------------------------------------------------------------------------
+from sitemill.functions import text as TX  # noqa: E402
+from sitemill.functions import urls as U  # noqa: E402
+from sitemill.operators import business as B  # noqa: E402
+from sitemill.operators import menus as MN  # noqa: E402
+from sitemill.operators import sites as ST  # noqa: E402
+from sitemill.operators import segment as SG  # noqa: E402
+from sitemill.plans import oracles as OR  # noqa: E402
+from sitemill.plans import outbox as O  # noqa: E402
+from sitemill.plans.migration import Migration  # noqa: E402
+from sitemill.sources import fixtures as FX  # noqa: E402
+from sitemill.sources import legacy as LG  # noqa: E402
+
+
+def _mig(spark: SparkSession, sf_dir: str) -> Migration:
+    return Migration.from_fixture(spark, sf_dir)
+
+
+@register("token_relation", OR.TOKEN_RELATION)
+def token_relation(spark, sf_dir):
+    """H1: every token of every page with its kind, tag and attributes."""
+    t = H.tokens(A.read_pages(spark, sf_dir))
+    return t.select("page_id", "pos", "kind", "tag", "raw", "id", "class", "href", "src", "name", "content", "rel")
+
+
+@register("element_extents", OR.ELEMENT_EXTENTS)
+def element_extents(spark, sf_dir):
+    """H2: start/end position and per-tag nesting level of every element."""
+    e = H.with_extents(H.tokens(A.read_pages(spark, sf_dir)))
+    e = e.where((F.col("kind") == "open") & ~F.col("tag").isin(H.VOID_TAGS))
+    return e.select("page_id", "tag", F.col("pos").alias("start_pos"), "end_pos", "level")
+
+
+def _deco_links(spark, sf_dir) -> DataFrame:
+    deco = FX.decorated_pages(spark, sf_dir)
+    pages = A.with_page_site(deco.select("page_id", "url", "html"))
+    tok = H.tokens(pages, keep=["site_url", "domain"])
+    both = tok.where((F.col("kind") == "open") & (F.col("tag").isin("a", "img", "link")))
+    return both.select("site_url", "domain", F.explode(F.array("href", "src")).alias("link")).where(F.col("link").isNotNull()).distinct()
+
+
+@register("url_rules", OR.URL_RULES)
+def url_rules(spark, sf_dir):
+    """U1, U3-U17 on every distinct (site, link) of the decorated archive."""
+    d = U.with_link_facts(_deco_links(spark, sf_dir), "link", "site_url", "domain", "f")
+    link = F.col("link")
+    return d.select(
+        "site_url", "link",
+        U.scheme(link).alias("scheme"), U.netloc(link).alias("netloc"), U.url_path(link).alias("path"),
+        U.url_query(link).alias("query"), U.url_fragment(link).alias("fragment"),
+        F.col("f_rel").alias("is_relative"), F.col("f_internal").alias("is_internal"), F.col("f_file").alias("is_file"),
+        U.file_name(link).alias("file_name"), U.sanitize_filename(U.file_name(link)).alias("sanitized"),
+        F.col("f_abs").alias("absolute"), U.with_scheme(link, F.col("site_url")).alias("with_scheme"),
+        U.is_denied(link).alias("denied"), U.is_library(link).alias("library"), U.is_article(link).alias("article"),
+        U.cut_trailing_slash(link).alias("no_slash"), U.encode_spaces(link).alias("encoded"),
+        U.gallery_source(link).alias("gallery"), U.logo_cdn_rewrite(link, F.col("site_url")).alias("cdn_logo"),
+    )
+
+
+@register("registered_domain", OR.REGISTERED_DOMAIN)
+def registered_domain(spark, sf_dir):
+    """U2 on every page URL, every document source and their hosts."""
+    pages = A.read_pages(spark, sf_dir).select(F.col("url").alias("input"))
+    docs = A.read_table(spark, sf_dir, "documents").select(F.col("source").alias("input"))
+    hosts = A.read_pages(spark, sf_dir).select(U.host("url").alias("input"))
+    d = pages.unionByName(docs).unionByName(hosts).where(F.col("input").isNotNull()).distinct()
+    return d.select("input", U.registered_domain(F.col("input")).alias("domain"))
+
+
+@register("slug_text", OR.SLUG_TEXT)
+def slug_text(spark, sf_dir):
+    """T1-T3, T5 on anchor texts and link path stems of the archive."""
+    t = H.tokens(A.read_pages(spark, sf_dir))
+    texts = t.where(F.col("kind") == "text").select(TX.decode_entities(F.col("raw")).alias("input"))
+    stems = t.where(F.col("href").isNotNull()).select(TX.path_stem(F.col("href")).alias("input"))
+    d = texts.unionByName(stems).distinct()
+    s = TX.slugify(F.col("input"))
+    return d.select(
+        "input", s.alias("slug"), TX.path_stem(F.col("input")).alias("stem"),
+        TX.digit_runs(s).alias("runs"), TX.title_case(F.replace(s, F.lit("-"), F.lit(" "))).alias("title"),
+    )
+
+
+@register("template_family", OR.TEMPLATE_FAMILY)
+def template_family(spark, sf_dir):
+    """H3 + S3 + U2: family, content selector and media base of every site."""
+    s = _mig(spark, sf_dir).sites
+    return s.select("site", "site_url", "domain", "family", "content_kind", "content_key", "media_base")
+
+
+@register("seo_metadata", OR.SEO_METADATA)
+def seo_metadata(spark, sf_dir):
+    """H5 + W2 on every decorated page."""
+    deco = FX.decorated_pages(spark, sf_dir)
+    return ST.seo(H.tokens(deco.select("page_id", "html")))
+
+
+@register("main_content", OR.MAIN_CONTENT)
+def main_content(spark, sf_dir):
+    """H4 + H10: the family's content element(s) of every page, as text."""
+    m = _mig(spark, sf_dir)
+    return H.assemble(m.tokens.where(F.col("in_content")), "raw", "content")
+
+
+@register("cleaned_content", OR.CLEANED_CONTENT)
+def cleaned_content(spark, sf_dir):
+    """H4 + H7 + H10: content with forms and legacy widgets removed."""
+    m = _mig(spark, sf_dir)
+    return H.assemble(m.tokens.where(F.col("in_content") & ~F.col("removed")), "raw", "content")
+
+
+@register("stylesheet_manifest", OR.STYLESHEETS)
+def stylesheet_manifest(spark, sf_dir):
+    """H11 + A2: stylesheets to migrate per site."""
+    return _mig(spark, sf_dir).stylesheets
+
+
+@register("logo_facts", OR.LOGOS)
+def logo_facts(spark, sf_dir):
+    """H12 + U16: logo source, title, subtitle and image path per site."""
+    return _mig(spark, sf_dir).logos.select("site", "family", "title", "description", "logo_src", "image_path", "file_url", "file_name")
+
+
+@register("menu_rows", OR.MENU_ROWS)
+def menu_rows(spark, sf_dir):
+    """M1-M3 + H13: menu items as adjacency rows."""
+    return _mig(spark, sf_dir).menu.select("site", "pos", "level", "parent_pos", "url", "title", "url_slug", "is_parent")
+
+
+@register("menu_page_list", OR.MENU_PAGES)
+def menu_page_list(spark, sf_dir):
+    """M7: pages to process from each menu."""
+    m = _mig(spark, sf_dir)
+    return MN.menu_pages(m.menu, m.sites)
+
+
+@register("menu_files", OR.MENU_FILES)
+def menu_files(spark, sf_dir):
+    """M8: internal files linked from menus."""
+    m = _mig(spark, sf_dir)
+    return MN.menu_files(m.menu, m.sites)
+
+
+@register("url_map", OR.URL_MAP)
+def url_map(spark, sf_dir):
+    """J1 + J2 + A4: legacy URL -> new slug and title."""
+    return _mig(spark, sf_dir).url_map
+
+
+@register("redirects", OR.REDIRECTS)
+def redirects(spark, sf_dir):
+    """J3 + P4 input: redirects of menu pages."""
+    return _mig(spark, sf_dir).menu_redirects
+
+
+@register("link_dispositions", OR.LINK_DISPOSITIONS)
+def link_dispositions(spark, sf_dir):
+    """J4 + J8: decision for every link in the content of every page."""
+    d = _mig(spark, sf_dir).dispositions
+    return d.select("page_id", "pos", "pass", "tag", "link", "stage", "action", "lookup", "file_url", "file_name",
+                    F.when(F.col("action") != "follow", F.col("new_value")).alias("new_value"), "stem")
+
+
+@register("new_pages", OR.NEW_PAGES)
+def new_pages(spark, sf_dir):
+    """Pages discovered through links (followed, not in the map)."""
+    d = _mig(spark, sf_dir).dispositions.where(F.col("action") == "follow")
+    return d.select("site", F.col("lookup").alias("page_url")).distinct()
+
+
+@register("crawl_closure", OR.CRAWL_CLOSURE)
+def crawl_closure(spark, sf_dir):
+    """Every page reachable from home and menu pages, with its hop count."""
+    return _mig(spark, sf_dir).processed
+
+
+@register("word_costs", OR.WORD_COSTS)
+def word_costs(spark, sf_dir):
+    """Zipf cost of every corpus word."""
+    return SG.word_costs(A.read_table(spark, sf_dir, "documents"))
+
+
+@register("segmented_slugs")
+def segmented_slugs(spark, sf_dir):
+    """T4 + T7: minimum-cost split of every hyphen-free stem of the archive's links."""
+    t = H.tokens(A.read_pages(spark, sf_dir))
+    slugs = t.where(F.col("href").isNotNull()).select(TX.slugify(TX.path_stem(F.col("href"))).alias("slug"))
+    slugs = slugs.where((F.length("slug") > 0) & ~F.contains(F.col("slug"), F.lit("-")))
+    return SG.derive_words(slugs, SG.word_costs(A.read_table(spark, sf_dir, "documents")), "slug")
+
+
+@register("page_identity")
+def page_identity(spark, sf_dir):
+    """J6 + T4 + T5: slug, title, layout and redirect of every processed page."""
+    return _mig(spark, sf_dir).identity
+
+
+@register("rewritten_content")
+def rewritten_content(spark, sf_dir):
+    """H8 + H9 + H7 + H10: migrated content of every processed page."""
+    m = _mig(spark, sf_dir)
+    return m.content.join(m.processed.select("page_id"), "page_id", "left_semi")
+
+
+@register("page_payload")
+def page_payload(spark, sf_dir):
+    """P5: page requests."""
+    return O.page_payloads(_mig(spark, sf_dir).page_rows)
+
+
+@register("file_manifest")
+def file_manifest(spark, sf_dir):
+    """A1 + P2 + P3: every file to upload, once per (site, url, name)."""
+    return _mig(spark, sf_dir).files
+
+
+@register("outbox_counts")
+def outbox_counts(spark, sf_dir):
+    """X2 + P12 + A1: requests per site, method and endpoint."""
+    ob = _mig(spark, sf_dir).outbox
+    return ob.groupBy("site_id", "method", "endpoint").agg(F.count("*").alias("n"))
+
+
+def _region_menu(spark, sf_dir) -> DataFrame:
+    """A three-level menu per region: nations under the region, customers under nations."""
+    r = A.read_table(spark, sf_dir, "region")
+    n = A.read_table(spark, sf_dir, "nation")
+    c = A.read_table(spark, sf_dir, "customer")
+    lvl1 = r.select(F.col("r_name").alias("site"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("level"),
+                    F.lit(None).cast("bigint").alias("parent_pos"), F.lit("#").alias("url"), F.lit("Home").alias("title"))
+    nat = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000).cast("bigint").alias("pos"),
+        F.lit(1).cast("bigint").alias("level"), F.lit(None).cast("bigint").alias("parent_pos"),
+        F.concat(F.lit("/nations/"), F.lower("n_name"), F.lit(".html")).alias("url"), F.col("n_name").alias("title"))
+    cus = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000 + F.col("c_custkey") + 1).cast("bigint").alias("pos"),
+        F.lit(2).cast("bigint").alias("level"), ((F.col("n_nationkey") + 1) * 1000000).cast("bigint").alias("parent_pos"),
+        F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("/files/"), F.col("c_name"), F.lit(".pdf")))
+        .otherwise(F.concat(F.lit("/customers/"), F.col("c_custkey").cast("string"))).alias("url"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("Welcome")).otherwise(F.col("c_name")).alias("title"))
+    seg = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000 + F.col("c_custkey") + 1).cast("bigint").alias("parent_pos"),
+        F.col("c_mktsegment").alias("title")).distinct()
+    seg = seg.select("site", (F.col("parent_pos") * 10 + 1).cast("bigint").alias("pos"), F.lit(3).cast("bigint").alias("level"),
+                     "parent_pos", F.concat(F.lit("https://segments.example.test/"), F.lower("title")).alias("url"), "title")
+    rows = lvl1.unionByName(nat).unionByName(cus).unionByName(seg)
+    return rows.withColumn("url_slug", F.concat(F.lit("/"), TX.slugify(F.col("title"))))
+
+
+@register("menu_payload", OR.MENU_PAYLOAD)
+def menu_payload(spark, sf_dir):
+    """M5 + M6 + P1 on a region > nation > customer > segment menu derived from the tables."""
+    rows = _region_menu(spark, sf_dir)
+    sites = rows.select("site").distinct().select(
+        "site", F.lit("example.test").alias("domain"),
+        F.concat(F.lit("https://"), F.lower("site"), F.lit(".example.test/storage/app/media/")).alias("media_base"))
+    nested = MN.nest(MN.payload_targets(rows, sites))
+    return O.navigation_payloads(nested)
+
+
+@register("component_rows", OR.COMPONENT_ROWS)
+def component_rows(spark, sf_dir):
+    """J9 + P6 + P7 + P11 + L5: fixed component requests of every site."""
+    m = _mig(spark, sf_dir)
+    known = m.sites.where(F.col("family") != "X")
+    return O.logo_payloads(m.logos).unionByName(O.location_component_payloads(known)).unionByName(O.map_component_payloads(known))
+
+
+def _legacy(spark, sf_dir):
+    return B.parse_docs(LG.business_docs(spark, sf_dir))
+
+
+@register("locations", OR.LOCATIONS)
+def locations(spark, sf_dir):
+    """S4 + L1 + L2 + P8 body: one row per legacy location."""
+    loc = B.locations(_legacy(spark, sf_dir))
+    return O.location_payloads(loc).select("site_id", "body")
+
+
+@register("weekly_hours", OR.WEEKLY_HOURS)
+def weekly_hours(spark, sf_dir):
+    """L3 + A4: opening hours per location and day (last duplicate wins)."""
+    return B.hours_days(_legacy(spark, sf_dir))
+
+
+@register("social_accounts", OR.SOCIAL_ACCOUNTS)
+def social_accounts(spark, sf_dir):
+    """L4 + P10: known social accounts."""
+    return B.social(_legacy(spark, sf_dir))
