@@ -208,14 +208,10 @@ def with_parts(df, link_col: str, prefix: str):
     """Materialise a URL's components as columns once, so later rules refer to
     them instead of re-running the split regex (keeps generated code small)."""
     c = F.col(link_col)
-    return (
-        df.withColumn(f"{prefix}_scheme", scheme(c))
-        .withColumn(f"{prefix}_netloc", netloc(c))
-        .withColumn(f"{prefix}_path", url_path(c))
-        .withColumn(f"{prefix}_query", url_query(c))
-        .withColumn(f"{prefix}_hasq", has_query(c))
-        .withColumn(f"{prefix}_frag", url_fragment(c))
-    )
+    return df.withColumns({
+        f"{prefix}_scheme": scheme(c), f"{prefix}_netloc": netloc(c), f"{prefix}_path": url_path(c),
+        f"{prefix}_query": url_query(c), f"{prefix}_hasq": has_query(c), f"{prefix}_frag": url_fragment(c),
+    })
 
 
 def absolute(base, link, base_parts: Parts | None = None, link_parts: Parts | None = None) -> Column:
@@ -339,15 +335,16 @@ def with_link_facts(df, link_col: str, base_col: str, domain_col: str | None, pr
     re-running the split regex per rule.
     """
     lp, bp = f"_{prefix}_l", f"_{prefix}_b"
-    d = with_parts(with_parts(df, link_col, lp), base_col, bp)
+    lc, bc = F.col(link_col), F.col(base_col)
+    parts = {}
+    for pre, c in ((lp, lc), (bp, bc)):
+        parts.update({f"{pre}_scheme": scheme(c), f"{pre}_netloc": netloc(c), f"{pre}_path": url_path(c),
+                      f"{pre}_query": url_query(c), f"{pre}_hasq": has_query(c), f"{pre}_frag": url_fragment(c)})
+    d = df.withColumns(parts)
     L, Bp = Parts.cols(lp), Parts.cols(bp)
-    link = F.col(link_col)
-    d = d.withColumn(f"{prefix}_rel", is_relative(link, L))
+    facts = {f"{prefix}_rel": is_relative(lc, L), f"{prefix}_file": is_file(lc)}
     if domain_col is not None:
-        d = d.withColumn(f"{prefix}_internal", is_internal(link, F.col(domain_col), L))
-    d = d.withColumn(f"{prefix}_file", is_file(link))
-    d = d.withColumn(
-        f"{prefix}_abs",
-        F.when(F.col(f"{prefix}_rel"), absolute(F.col(base_col), link, Bp, L)).otherwise(link),
-    )
+        facts[f"{prefix}_internal"] = is_internal(lc, F.col(domain_col), L)
+    d = d.withColumns(facts)
+    d = d.withColumn(f"{prefix}_abs", F.when(F.col(f"{prefix}_rel"), absolute(bc, lc, Bp, L)).otherwise(lc))
     return d.drop(*[c for c in d.columns if c.startswith(lp + "_") or c.startswith(bp + "_")])

@@ -25,24 +25,26 @@ def closure(start: DataFrame, edges: DataFrame, checkpoint: bool = True) -> Data
     """``start(page_id)``, ``edges(src, dst)`` -> ``(page_id, round)`` reachable set.
 
     ``round`` is the number of link hops from the start set (0 for start pages).
+    One reliable checkpoint per round (the visited set); the loop stops when
+    a round adds no page.
     """
     spark = start.sparkSession
     if checkpoint:
         ensure_checkpoint_dir(spark)
+    e = edges.select("src", "dst").distinct()
     visited = start.select("page_id").distinct().withColumn("round", F.lit(0))
-    frontier = visited
-    e = edges.select(F.col("src"), F.col("dst")).distinct()
+    if checkpoint:
+        visited = visited.checkpoint(eager=True)
+    seen = visited.count()
     r = 0
     while True:
         r += 1
+        frontier = visited.where(F.col("round") == r - 1).select("page_id")
         nxt = (frontier.join(e, frontier["page_id"] == e["src"]).select(F.col("dst").alias("page_id")).distinct()
                .join(visited.select("page_id"), "page_id", "left_anti").withColumn("round", F.lit(r)))
-        if checkpoint:
-            nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
-            break
-        visited = visited.unionByName(nxt)
-        if checkpoint:
-            visited = visited.checkpoint(eager=True)
-        frontier = nxt
-    return visited
+        grown = visited.unionByName(nxt)
+        grown = grown.checkpoint(eager=True) if checkpoint else grown.persist()
+        n = grown.count()
+        if n == seen:
+            return visited
+        visited, seen = grown, n

@@ -90,10 +90,8 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
     is_start = F.col("kind").isin("open", "raw")
     t = t.withColumn("_start", F.when(F.col("kind") == "raw", F.substring_index(raw, ">", 1)).when(is_start, raw))
     # one regex per attribute, materialised before unquoting so it runs once
-    for a in ATTRIBUTES:
-        t = t.withColumn(f"_v_{a}", F.regexp_extract(F.col("_start"), _attr_rx(a), 1))
-    for a in ATTRIBUTES:
-        t = t.withColumn(a, _unquote(F.col(f"_v_{a}")))
+    t = t.withColumns({f"_v_{a}": F.regexp_extract(F.col("_start"), _attr_rx(a), 1) for a in ATTRIBUTES})
+    t = t.withColumns({a: _unquote(F.col(f"_v_{a}")) for a in ATTRIBUTES})
     return t.select("page_id", "pos", *keep, "kind", "tag", "raw", *ATTRIBUTES)
 
 

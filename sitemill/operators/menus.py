@@ -3,9 +3,9 @@
 Tree descent uses element depth: a global running depth over every start
 and end tag of the page (void elements excluded).  Element ``c`` is a direct
 child of ``p`` when ``depth(c) = depth(p) + 1`` and ``c`` lies inside ``p``'s
-extent, an equi join on ``(page_id, depth)`` with a range residual, never a
-nested loop.  Levels are walked until no new item appears (no depth cap).
-Only home pages (one per site) take part.
+extent; parents come from one window keyed by ``(page_id, depth)``, so the
+whole tree (any depth) is computed without joins or driver loops.  Only home
+pages (one per site) take part.
 """
 from __future__ import annotations
 
@@ -19,7 +19,6 @@ from sitemill.operators import html as H
 from sitemill.operators.mapping import HOME_TITLES
 from sitemill.sources import rules as R
 
-MAX_LEVELS_GUARD = 64  # a deeper menu means malformed markup: fail loudly, never truncate
 
 
 def with_depth(ext: DataFrame) -> DataFrame:
@@ -53,21 +52,41 @@ def _marker(kind: str, key: str) -> Column:
     return start & H.has_class(F.col("class"), key)
 
 
-def _children(parents: DataFrame, cands: DataFrame, tag: str) -> DataFrame:
-    """Direct children with ``tag`` of each parent element (equi join on page and depth)."""
-    p = parents.select(
-        F.col("page_id").alias("_pp"), F.col("pos").alias("parent_pos"), F.col("end_pos").alias("_pend"),
-        (F.col("depth") + 1).alias("_cd"), *[c for c in parents.columns if c.startswith("k_")],
+def with_parents(opens: DataFrame, carry: list[str]) -> DataFrame:
+    """Parent and grandparent of every start tag, by window only.
+
+    Each start tag is emitted three times: as itself under key ``depth`` and
+    as a candidate ancestor under keys ``depth + 1`` and ``depth + 2``.  Within
+    a (page, key) partition ordered by position, the latest candidate before a
+    tag is its parent (resp. grandparent) in well-nested markup.  Keyed by
+    page first, so the archive's partitioning is reused; no join.
+    """
+    fields = ["pos", "tag"] + carry
+    me = F.struct(*[F.col(c) for c in fields])
+    roles = F.array(
+        F.struct(F.lit(0).alias("role"), F.col("depth").alias("key")),
+        F.struct(F.lit(1).alias("role"), (F.col("depth") + 1).alias("key")),
+        F.struct(F.lit(2).alias("role"), (F.col("depth") + 2).alias("key")),
     )
-    c = cands.where(F.col("tag") == tag)
-    j = c.join(p, (c["page_id"] == p["_pp"]) & (c["depth"] == p["_cd"]) & (c["pos"] > p["parent_pos"]) & (c["pos"] <= p["_pend"]))
-    return j.drop("_pp", "_pend", "_cd")
+    x = opens.withColumn("_me", me).withColumn("_r", F.explode(roles))
+    w = W.partitionBy("page_id", F.col("_r.key")).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumns({
+        "parent": F.last(F.when(F.col("_r.role") == 1, F.col("_me")), True).over(w),
+        "grand": F.last(F.when(F.col("_r.role") == 2, F.col("_me")), True).over(w),
+    })
+    return x.where(F.col("_r.role") == 0).drop("_me", "_r")
 
 
 def menu(home_ext: DataFrame) -> DataFrame:
     """M1-M3: ``menu(site, page_id, pos, level, parent_pos, url, title, url_slug, is_parent)``.
 
     ``home_ext``: home-page tokens with extents and ``site, family`` columns.
+
+    No iteration: an ``li`` is a menu item when it lies inside a root list
+    and no element between it and the root breaks the ``li > ul > li`` chain
+    (such elements are marked *bad*; coverage by a bad element is the same
+    running-maximum window used for content regions).  Its level follows from
+    the depth difference to the root list, its parent item is its grandparent.
     """
     t = with_item_facts(with_depth(home_ext))
     fam = F.col("family")
@@ -77,57 +96,51 @@ def menu(home_ext: DataFrame) -> DataFrame:
         hit = (fam == f) & _marker(kind, key)
         root_prio = F.when(hit, F.lit(p)).otherwise(root_prio)
         root_is_list = F.when(hit, F.lit(is_list)).otherwise(root_is_list)
-    t = t.withColumn("_root_prio", root_prio).withColumn("_root_is_list", root_is_list)
-    best = W.partitionBy("page_id")
-    t = t.withColumn("_best", F.min("_root_prio").over(best))
-    struct_tokens = t.where(F.col("kind") == "open").where(F.col("tag").isin("ul", "li") | F.col("_root_prio").isNotNull())
-    struct_tokens = struct_tokens.select(
-        "page_id", "site", "family", "pos", "end_pos", "depth", "tag", "class", "_root_prio", "_root_is_list", "_best",
-        "_next_text", "_next_a",
-    ).persist()
-    roots = struct_tokens.where(F.col("_root_prio") == F.col("_best"))
-    root_lists = roots.where(F.col("_root_is_list") & (F.col("tag") == "ul"))
-    containers = roots.where(~F.col("_root_is_list"))
-    lists = root_lists.unionByName(_children(containers, struct_tokens, "ul").select(*root_lists.columns))
-    # level 1, excluding separators where the family has them
-    lvl = _children(lists, struct_tokens, "li")
+    t = t.withColumns({"_root_prio": root_prio, "_root_is_list": root_is_list})
+    t = t.withColumn("_best", F.min("_root_prio").over(W.partitionBy("page_id")))
+    opens = t.where((F.col("kind") == "open") & ~F.col("tag").isin(H.VOID_TAGS))
+    opens = opens.withColumns({
+        "_is_root": F.coalesce(F.col("_root_prio") == F.col("_best"), F.lit(False)),
+        "_is_list_root": F.coalesce(F.col("_root_is_list"), F.lit(False)),
+    })
+    o = with_parents(opens, ["_is_root", "_is_list_root"])
+    par, grand = F.col("parent"), F.col("grand")
+    root_list = (F.col("tag") == "ul") & (
+        (F.col("_is_root") & F.col("_is_list_root"))
+        | (F.coalesce(par["_is_root"], F.lit(False)) & ~F.coalesce(par["_is_list_root"], F.lit(True)))
+    )
+    o = o.withColumn("_root_list", root_list)
+    o = o.withColumns({
+        "_in_region": H.covered_by(F.col("_root_list")) & ~F.col("_root_list"),
+        "_root_depth": F.last(F.when(F.col("_root_list"), F.col("depth")), True).over(
+            W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)),
+    })
     excl = F.lit(False)
     for f, cls in R.NAV_EXCLUDED_CLASS.items():
-        excl = excl | ((F.col("family") == f) & H.has_class(F.col("class"), cls))
-    lvl = lvl.where(~excl).withColumn("level", F.lit(1).cast("bigint")).withColumn("parent_pos", F.lit(None).cast("int"))
-    levels = [lvl]
-    n = 1
-    while True:
-        sub_lists = _children(levels[-1], struct_tokens, "ul")
-        nxt = _children(sub_lists.drop("parent_pos"), struct_tokens, "li")
-        # parent of an li is the li that owns its list; map via the list's own parent
-        owner = sub_lists.select(F.col("page_id").alias("_op"), F.col("pos").alias("_ul"), F.col("parent_pos").alias("_owner"))
-        nxt = nxt.join(owner, (nxt["page_id"] == owner["_op"]) & (nxt["parent_pos"] == owner["_ul"])).drop("_op", "_ul", "parent_pos")
-        nxt = nxt.withColumnRenamed("_owner", "parent_pos").withColumn("level", F.lit(n + 1).cast("bigint"))
-        nxt = nxt.persist()
-        if nxt.isEmpty():
-            break
-        n += 1
-        if n > MAX_LEVELS_GUARD:
-            raise ValueError("menu nesting deeper than %d levels" % MAX_LEVELS_GUARD)
-        levels.append(nxt.select(*lvl.columns))
-    items = levels[0]
-    for more in levels[1:]:
-        items = items.unionByName(more)
+        excl = excl | ((fam == f) & H.has_class(F.col("class"), cls))
+    chain_ok = ((F.col("tag") == "li") & (par["tag"] == "ul")) | ((F.col("tag") == "ul") & (par["tag"] == "li"))
+    is_level1 = (F.col("tag") == "li") & (F.col("depth") == F.col("_root_depth") + 1)
+    bad = F.col("_in_region") & (~F.coalesce(chain_ok, F.lit(False)) | (is_level1 & excl))
+    o = o.withColumn("_bad", bad)
+    o = o.withColumn("_broken", H.covered_by(F.col("_bad")))
+    items = o.where((F.col("tag") == "li") & F.col("_in_region") & ~F.col("_broken"))
+    level = ((F.col("depth") - F.col("_root_depth") + 1) / 2).cast("bigint")
+    items = items.withColumns({
+        "level": level,
+        "parent_pos": F.when(level > 1, grand["pos"]).cast("int"),
+    })
     # M3: an item is a parent when it has a direct child list
-    has_list = _children(items.select("page_id", "pos", "end_pos", "depth"), struct_tokens, "ul").select(
-        F.col("page_id").alias("_hp"), F.col("parent_pos").alias("_hpos")
-    ).distinct()
-    items = items.join(has_list, (items["page_id"] == has_list["_hp"]) & (items["pos"] == has_list["_hpos"]), "left")
+    child_lists = o.where((F.col("tag") == "ul") & (par["tag"] == "li")).select(
+        F.col("page_id").alias("_hp"), par["pos"].alias("_hpos")).distinct()
+    items = items.join(child_lists, (items["page_id"] == child_lists["_hp"]) & (items["pos"] == child_lists["_hpos"]), "left")
     inside = lambda s: F.when(F.col(s)["p"] <= F.col("end_pos"), F.col(s)["v"])
     title = inside("_next_text")
-    out = items.select(
+    return items.select(
         "site", "page_id", "pos", "level", "parent_pos",
         inside("_next_a").alias("url"), title.alias("title"),
         F.when(title.isNotNull(), F.concat(F.lit("/"), TX.slugify(title))).alias("url_slug"),
         F.when(F.col("_hp").isNotNull(), 1).otherwise(0).alias("is_parent"),
     )
-    return out
 
 
 def menu_pages(menu_rows: DataFrame, sites: DataFrame) -> DataFrame:

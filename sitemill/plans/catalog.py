@@ -383,3 +383,12 @@ def weekly_hours(spark, sf_dir):
 def social_accounts(spark, sf_dir):
     """L4 + P10: known social accounts."""
     return B.social(_legacy(spark, sf_dir))
+
+
+@register("stream_page_intake", OR.STREAM_PAGE_INTAKE)
+def stream_page_intake(spark, sf_dir):
+    """G1: pages taken in as a file stream, each URL once, facts per page."""
+    from sitemill.streaming.intake import intake
+
+    sink = intake(spark, sf_dir, file_glob="pages.parquet")
+    return spark.read.parquet(sink).drop("batch_id")

@@ -684,3 +684,25 @@ SELECT site AS site_id, 'PUT' AS method, '/navigations/' || a.alias AS endpoint,
        to_json({{'items': items, 'name': a.alias}}) AS body
 FROM l1, (VALUES {_NAV_ALIASES}) a(alias)
 """
+
+STREAM_PAGE_INTAKE = f"""
+WITH src AS (SELECT page_id, url, html FROM pages),
+{tokens_cte('tok', 'src')},
+t AS (
+  SELECT *, (lag(kind) OVER w = 'open' AND lag(tag) OVER w = 'title') AS after_title FROM tok WINDOW w AS (PARTITION BY page_id ORDER BY pos)
+),
+g AS (
+  SELECT page_id, count(*) AS n_tokens,
+    count(CASE WHEN kind = 'open' AND tag = 'a' AND href IS NOT NULL THEN 1 END) AS n_anchors,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'title') AS mt,
+    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'keywords') AS kw,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'description') AS ds
+  FROM t GROUP BY page_id
+)
+SELECT g.page_id, s.url, n_tokens, n_anchors, coalesce(mt, tt) AS meta_title,
+       CASE WHEN length(kw) > 0 THEN left(array_to_string(string_split(kw, ',')[1:{TX.KEYWORD_PHRASES}], ','), {TX.KEYWORD_CHARS}) ELSE kw END AS meta_keywords,
+       CASE WHEN length(ds) > 0 THEN left(ds, {TX.DESCRIPTION_CHARS}) ELSE ds END AS meta_description
+FROM g JOIN (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages) s
+  ON s.page_id = g.page_id AND s.rn = 1
+"""
