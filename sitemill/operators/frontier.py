@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.session import ensure_checkpoint_dir
+from sitemill.session import cut_lineage, ensure_checkpoint_dir
 
 
 def url_key(c):
@@ -34,7 +34,7 @@ def closure(start: DataFrame, edges: DataFrame, checkpoint: bool = True) -> Data
     e = edges.select("src", "dst").distinct()
     visited = start.select("page_id").distinct().withColumn("round", F.lit(0))
     if checkpoint:
-        visited = visited.checkpoint(eager=True)
+        visited = cut_lineage(visited)
     seen = visited.count()
     r = 0
     while True:
@@ -43,7 +43,7 @@ def closure(start: DataFrame, edges: DataFrame, checkpoint: bool = True) -> Data
         nxt = (frontier.join(e, frontier["page_id"] == e["src"]).select(F.col("dst").alias("page_id")).distinct()
                .join(visited.select("page_id"), "page_id", "left_anti").withColumn("round", F.lit(r)))
         grown = visited.unionByName(nxt)
-        grown = grown.checkpoint(eager=True) if checkpoint else grown.persist()
+        grown = cut_lineage(grown) if checkpoint else grown.persist()
         n = grown.count()
         if n == seen:
             return visited

@@ -276,7 +276,7 @@ def word_costs(spark, sf_dir):
     return SG.word_costs(A.read_table(spark, sf_dir, "documents"))
 
 
-@register("segmented_slugs")
+@register("segmented_slugs", OR.SEGMENTED_SLUGS)
 def segmented_slugs(spark, sf_dir):
     """T4 + T7: minimum-cost split of every hyphen-free stem of the archive's links."""
     t = H.tokens(A.read_pages(spark, sf_dir))
@@ -285,7 +285,7 @@ def segmented_slugs(spark, sf_dir):
     return SG.derive_words(slugs, SG.word_costs(A.read_table(spark, sf_dir, "documents")), "slug")
 
 
-@register("page_identity")
+@register("page_identity", OR.PAGE_IDENTITY)
 def page_identity(spark, sf_dir):
     """J6 + T4 + T5: slug, title, layout and redirect of every processed page."""
     return _mig(spark, sf_dir).identity

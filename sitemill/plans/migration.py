@@ -32,7 +32,7 @@ from sitemill.operators import menus as MN
 from sitemill.operators import segment as SG
 from sitemill.operators import sites as S
 from sitemill.plans import outbox as O
-from sitemill.session import ensure_checkpoint_dir
+from sitemill.session import cut_lineage, ensure_checkpoint_dir
 from sitemill.sources import archive as A
 from sitemill.sources import fixtures as FX
 from sitemill.sources import legacy as LG
@@ -57,12 +57,12 @@ class Migration:
         """Reliable checkpoint (cluster checkpoint dir) for relations that loops or
         several consumers reuse: lineage stays short and lost executors re-read
         the checkpoint instead of recomputing upstream stages."""
-        return df.checkpoint(eager=True) if self.materialize else df
+        return cut_lineage(df) if self.materialize else df
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str) -> "Migration":
         ensure_checkpoint_dir(spark)
-        deco = FX.decorated_pages(spark, sf_dir).checkpoint(eager=True)
+        deco = cut_lineage(FX.decorated_pages(spark, sf_dir))
         return cls(spark, deco, FX.site_registry(deco), A.read_table(spark, sf_dir, "documents"),
                    LG.business_docs(spark, sf_dir))
 

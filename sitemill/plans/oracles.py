@@ -706,3 +706,133 @@ SELECT g.page_id, s.url, n_tokens, n_anchors, coalesce(mt, tt) AS meta_title,
 FROM g JOIN (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages) s
   ON s.page_id = g.page_id AND s.rn = 1
 """
+
+# ---------------------------------------------------------------------------
+# Segmentation as a recursive dynamic programme over positions
+# ---------------------------------------------------------------------------
+SEGMENTED_SLUGS = f"""
+WITH RECURSIVE
+w AS (SELECT unnest(regexp_extract_all(lower(text), '{SG.WORD_RX}')) AS word FROM documents),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM c),
+maxlen AS (SELECT max(length(word)) AS m FROM wc),
+{tokens_cte('tok', 'pages')},
+slugs AS (
+  SELECT DISTINCT slug FROM (SELECT {S.slugify(S.path_stem('href'))} AS slug FROM tok WHERE href IS NOT NULL)
+  WHERE length(slug) > 0 AND NOT contains(slug, '-')
+),
+sp AS (
+  SELECT slug, CAST(generate_subscripts(_p, 1) - 1 AS INTEGER) AS pi, unnest(_p) AS part
+  FROM (SELECT slug, regexp_extract_all(slug, '[0-9]+|[^0-9]+') AS _p FROM slugs)
+),
+parts AS (SELECT DISTINCT part FROM sp WHERE regexp_matches(part, '^[a-z]+$')),
+subs AS (
+  SELECT p.part, r.i, s.j, substring(p.part, r.i, s.j - r.i + 1) AS sub
+  FROM parts p, maxlen, LATERAL range(1, length(p.part) + 1) r(i), LATERAL range(r.i, least(length(p.part), r.i + maxlen.m - 1) + 1) s(j)
+),
+edges AS (
+  SELECT s.part, list({{'s': s.i - 1, 'e': s.j, 'c': coalesce(w.cost, {SG.UNKNOWN_COST})}}) AS edges
+  FROM subs s LEFT JOIN wc w ON w.word = s.sub WHERE w.cost IS NOT NULL OR s.i = s.j GROUP BY s.part
+),
+dp(part, n, edges, i, best) AS (
+  SELECT part, length(part), edges, 0, [{{'c': 0.0::DOUBLE, 'k': 0::BIGINT}}] FROM edges
+  UNION ALL
+  SELECT part, n, edges, i + 1,
+         list_append(best, list_min(list_transform(list_filter(edges, lambda x: x.e = i + 1),
+                                                   lambda x: {{'c': best[x.s + 1].c + x.c, 'k': (x.e - x.s)::BIGINT}})))
+  FROM dp WHERE i < n
+),
+fin AS (SELECT part, best FROM dp WHERE i = n),
+bt(part, best, pos_at, words) AS (
+  SELECT part, best, length(part), []::VARCHAR[] FROM fin
+  UNION ALL
+  SELECT part, best, pos_at - best[pos_at + 1].k, list_prepend(substring(part, pos_at - best[pos_at + 1].k + 1, best[pos_at + 1].k), words)
+  FROM bt WHERE pos_at > 0
+),
+seg AS (SELECT part, words FROM bt WHERE pos_at = 0)
+SELECT sp.slug, flatten(list(coalesce(seg.words, [sp.part]) ORDER BY sp.pi)) AS words
+FROM sp LEFT JOIN seg ON seg.part = sp.part GROUP BY sp.slug
+"""
+
+
+def segmentation_ctes(slugs: str) -> str:
+    """CTEs ``seg_words(slug, words)`` for the hyphen-free slugs of CTE ``slugs(slug)``."""
+    return f"""
+sw AS (SELECT unnest(regexp_extract_all(lower(text), '{SG.WORD_RX}')) AS word FROM documents),
+sc AS (SELECT word, count(*) AS n FROM sw GROUP BY word),
+wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM sc),
+maxlen AS (SELECT max(length(word)) AS m FROM wc),
+sp AS (
+  SELECT slug, CAST(generate_subscripts(_p, 1) - 1 AS INTEGER) AS pi, unnest(_p) AS part
+  FROM (SELECT slug, regexp_extract_all(slug, '[0-9]+|[^0-9]+') AS _p FROM {slugs})
+),
+parts AS (SELECT DISTINCT part FROM sp WHERE regexp_matches(part, '^[a-z]+$')),
+subs AS (
+  SELECT p.part, r.i, s.j, substring(p.part, r.i, s.j - r.i + 1) AS sub
+  FROM parts p, maxlen, LATERAL range(1, length(p.part) + 1) r(i), LATERAL range(r.i, least(length(p.part), r.i + maxlen.m - 1) + 1) s(j)
+),
+sedges AS (
+  SELECT s.part, list({{'s': s.i - 1, 'e': s.j, 'c': coalesce(w.cost, {SG.UNKNOWN_COST})}}) AS edges
+  FROM subs s LEFT JOIN wc w ON w.word = s.sub WHERE w.cost IS NOT NULL OR s.i = s.j GROUP BY s.part
+),
+dp(part, n, edges, i, best) AS (
+  SELECT part, length(part), edges, 0, [{{'c': 0.0::DOUBLE, 'k': 0::BIGINT}}] FROM sedges
+  UNION ALL
+  SELECT part, n, edges, i + 1,
+         list_append(best, list_min(list_transform(list_filter(edges, lambda x: x.e = i + 1),
+                                                   lambda x: {{'c': best[x.s + 1].c + x.c, 'k': (x.e - x.s)::BIGINT}})))
+  FROM dp WHERE i < n
+),
+bt(part, best, pos_at, words) AS (
+  SELECT part, best, length(part), []::VARCHAR[] FROM dp WHERE i = n
+  UNION ALL
+  SELECT part, best, pos_at - best[pos_at + 1].k, list_prepend(substring(part, pos_at - best[pos_at + 1].k + 1, best[pos_at + 1].k), words)
+  FROM bt WHERE pos_at > 0
+),
+seg AS (SELECT part, words FROM bt WHERE pos_at = 0),
+seg_words AS (
+  SELECT sp.slug, flatten(list(coalesce(seg.words, [sp.part]) ORDER BY sp.pi)) AS words
+  FROM sp LEFT JOIN seg ON seg.part = sp.part GROUP BY sp.slug
+)"""
+
+
+_CLOSURE_BODY = CRAWL_CLOSURE.split("WITH RECURSIVE", 1)[1].rsplit("SELECT page_id, CAST(min(round)", 1)[0]
+_ru = "regexp_replace(p.url, '/$', '')"
+PAGE_IDENTITY = f"""
+WITH RECURSIVE {_CLOSURE_BODY.rstrip().rstrip(',')},
+processed AS (SELECT page_id FROM reach GROUP BY page_id),
+pp AS (
+  SELECT c.page_id, c.site, c.site_url, {_ru.replace('p.url', 'c.url')} AS ru
+  FROM page_ctx c JOIN processed USING (page_id)
+),
+pp2 AS (SELECT *, {S.slugify(S.path_stem('ru'))} AS slug0 FROM pp),
+idslugs AS (SELECT DISTINCT slug0 AS slug FROM pp2 WHERE length(slug0) > 0 AND NOT contains(slug0, '-')),
+{segmentation_ctes('idslugs')},
+k AS (
+  SELECT p.*, m.slug AS mslug, m.title AS mtitle, coalesce(sw.words, []::VARCHAR[]) AS words,
+         CASE WHEN p.ru = p.site_url OR p.ru || '/' = p.site_url OR contains({S.path('p.ru')}, 'index') THEN 'home'
+              WHEN m.slug IS NOT NULL THEN 'mapped' ELSE 'derived' END AS kind
+  FROM pp2 p LEFT JOIN url_map m ON m.site = p.site AND m.legacy_url = p.ru LEFT JOIN seg_words sw ON sw.slug = p.slug0
+),
+ident AS (
+  SELECT *,
+    CASE kind WHEN 'home' THEN '/' WHEN 'mapped' THEN mslug
+         ELSE (CASE WHEN contains(slug0, '-') THEN '/' || slug0 ELSE '/' || array_to_string(words, '-') END) END AS url_slug,
+    CASE kind WHEN 'home' THEN 'Welcome!' WHEN 'mapped' THEN mtitle
+         ELSE (CASE WHEN contains(slug0, '-') THEN {S.title_case("replace(slug0, '-', ' ')")} ELSE {S.title_case("array_to_string(words, ' ')")} END) END AS title,
+    CASE kind WHEN 'home' THEN 'home' ELSE 'fullwidth' END AS layout
+  FROM k
+),
+dec2 AS (
+  SELECT *, '/' || {S.last_seg(S.path('ru'), '/')} AS from_path,
+         CASE WHEN {S.is_file('ru')} THEN 'skip' WHEN '/' || {S.last_seg(S.path('ru'), '/')} = url_slug THEN 'skip'
+              WHEN ru = site_url THEN 'skip' WHEN ru = left(site_url, length(site_url) - 1) THEN 'skip'
+              WHEN contains(ru, 'articles/') OR contains(ru, 'articles_dear_doctor') THEN 'skip'
+              WHEN contains(ru, 'index') THEN 'home' ELSE 'emit' END AS decision
+  FROM ident
+)
+SELECT page_id, site, url_slug, title, layout,
+       CASE WHEN kind = 'derived' AND decision = 'emit' THEN from_path END AS from_url,
+       CASE WHEN kind = 'derived' AND decision = 'emit' THEN url_slug END AS to_url
+FROM dec2
+"""

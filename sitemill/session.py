@@ -46,3 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the cluster checkpoint dir, computing the plan once.
+
+    The plan is persisted before ``checkpoint(eager=True)`` so that writing the
+    checkpoint files reads the cached blocks instead of recomputing the plan;
+    the cache is released once the checkpoint exists.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
