@@ -291,7 +291,7 @@ def page_identity(spark, sf_dir):
     return _mig(spark, sf_dir).identity
 
 
-@register("rewritten_content")
+@register("rewritten_content", OR.REWRITTEN_CONTENT)
 def rewritten_content(spark, sf_dir):
     """H8 + H9 + H7 + H10: migrated content of every processed page."""
     m = _mig(spark, sf_dir)
@@ -392,3 +392,15 @@ def stream_page_intake(spark, sf_dir):
 
     sink = intake(spark, sf_dir, file_glob="pages.parquet")
     return spark.read.parquet(sink).drop("batch_id")
+
+
+@register("outbox_sink")
+def outbox_sink(spark, sf_dir):
+    """The outbox written partitioned by site under the checkpoint dir, read back."""
+    import uuid
+
+    from sitemill.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/outbox-{uuid.uuid4().hex}"
+    O.write_outbox(_mig(spark, sf_dir).outbox, path)
+    return spark.read.parquet(path).select(*O.OUTBOX_COLUMNS)

@@ -192,13 +192,15 @@ class Migration:
         follow_val = F.when(F.contains(F.col("stem"), F.lit("-")), F.col("stem")).otherwise(
             F.array_join(F.coalesce(F.col("words"), F.array().cast("array<string>")), "-"))
         val = F.when(F.col("action") == "follow", follow_val).otherwise(F.col("new_value"))
-        return self._cut(d.where(F.col("action").isin("file", "mapped", "follow")).select("page_id", "pos", "tag", val.alias("value")))
+        return self._cut(d.where(F.col("action").isin("file", "mapped", "follow")).select("page_id", "pos", "pass", "tag", val.alias("value")))
 
     @cached_property
     def rewritten_tokens(self) -> DataFrame:
         """H8 + H9 + H7: content tokens with link values rewritten, library links
         pointed at articles, removed elements dropped."""
-        per_page = self.link_values.groupBy("page_id").agg(
+        # one value per element: an element seen by both passes keeps its first (href) pass
+        first = self.link_values.groupBy("page_id", "pos").agg(F.min_by("value", "pass").alias("value"))
+        per_page = first.groupBy("page_id").agg(
             F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_vals"))
         t = self.tokens.where(F.col("in_content") & ~F.col("removed")).join(per_page, "page_id", "left")
         newv = F.element_at(F.col("_vals"), F.col("pos"))

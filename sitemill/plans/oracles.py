@@ -836,3 +836,41 @@ SELECT page_id, site, url_slug, title, layout,
        CASE WHEN kind = 'derived' AND decision = 'emit' THEN url_slug END AS to_url
 FROM dec2
 """
+
+_HREF_RX = S.q(H._attr_rx("href"))
+_SRC_RX = S.q(H._attr_rx("src"))
+REWRITTEN_CONTENT = f"""
+WITH RECURSIVE {_CLOSURE_BODY.rstrip().rstrip(',')},
+processed AS (SELECT page_id FROM reach GROUP BY page_id),
+dv AS (SELECT *, CASE WHEN action = 'follow' THEN {S.slugify(S.path_stem('lookup'))} END AS stem FROM disp),
+lslugs AS (SELECT DISTINCT stem AS slug FROM dv WHERE action = 'follow' AND length(stem) > 0 AND NOT contains(stem, '-')),
+{segmentation_ctes('lslugs')},
+vals AS (
+  SELECT d.page_id, d.pos, d.pass,
+         CASE WHEN d.action = 'file' THEN d.media_base || d.file_name
+              WHEN d.action = 'mapped' THEN {S.last_seg('d.map_slug', '/')}
+              ELSE (CASE WHEN contains(d.stem, '-') THEN d.stem ELSE array_to_string(coalesce(sw.words, []::VARCHAR[]), '-') END) END AS value
+  FROM dv d LEFT JOIN seg_words sw ON sw.slug = d.stem WHERE d.action IN ('file', 'mapped', 'follow')
+),
+v1 AS (SELECT page_id, pos, arg_min(value, pass) AS value FROM vals GROUP BY page_id, pos),
+ptr AS (SELECT *, {covered(REMOVAL_MARKER)} AS removed FROM ptok),
+rt AS (
+  SELECT t.page_id, t.pos, t.kind, t.tag, t.raw, t.href, v1.value AS new, t.removed, t.in_content
+  FROM ptr t LEFT JOIN v1 ON v1.page_id = t.page_id AND v1.pos = t.pos
+),
+rt2 AS (
+  SELECT *, coalesce(contains(CASE WHEN tag = 'a' AND new IS NOT NULL THEN new ELSE href END, 'library'), false) AS lib,
+         CASE WHEN tag = 'a' THEN 'href' ELSE 'src' END AS attr
+  FROM rt WHERE in_content AND NOT removed AND page_id IN (SELECT page_id FROM processed)
+),
+rt3 AS (
+  SELECT *, CASE WHEN new IS NOT NULL AND attr = 'href' AND NOT lib
+                   THEN regexp_replace(raw, {_HREF_RX}, ' href="' || replace(new, '\\', '\\\\') || '"', 'g')
+                 WHEN new IS NOT NULL AND attr = 'src'
+                   THEN regexp_replace(raw, {_SRC_RX}, ' src="' || replace(new, '\\', '\\\\') || '"', 'g')
+                 ELSE raw END AS out0
+  FROM rt2
+),
+rt4 AS (SELECT *, CASE WHEN lib AND kind = 'open' THEN regexp_replace(out0, {_HREF_RX}, ' href="articles"', 'g') ELSE out0 END AS out FROM rt3)
+SELECT page_id, string_agg(out, '' ORDER BY pos) AS content FROM rt4 GROUP BY page_id
+"""

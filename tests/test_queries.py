@@ -7,7 +7,8 @@ from conftest import SF_SMALL
 
 FAST = ["link_disposition_counts", "token_relation", "element_extents", "registered_domain", "slug_text",
         "seo_metadata", "word_costs", "locations", "weekly_hours", "social_accounts", "menu_payload"]
-PIPELINE = ["template_family", "menu_rows", "url_map", "redirects", "link_dispositions", "crawl_closure"]
+PIPELINE = ["template_family", "menu_rows", "url_map", "redirects", "link_dispositions", "crawl_closure",
+            "segmented_slugs", "page_identity", "rewritten_content", "stream_page_intake"]
 
 
 def test_contract():
@@ -32,7 +33,7 @@ def test_matches_oracle(spark, con, name):
     assert info["ok"], info
 
 
-@pytest.mark.parametrize("name", ["segmented_slugs", "page_identity", "page_payload", "outbox_counts", "stream_page_intake"])
+@pytest.mark.parametrize("name", ["page_payload", "outbox_counts", "outbox_sink", "file_manifest"])
 def test_runs_without_oracle_or_with(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() > 0
