@@ -298,7 +298,7 @@ def rewritten_content(spark, sf_dir):
     return m.content.join(m.processed.select("page_id"), "page_id", "left_semi")
 
 
-@register("page_payload")
+@register("page_payload", OR.PAGE_PAYLOAD)
 def page_payload(spark, sf_dir):
     """P5: page requests."""
     return O.page_payloads(_mig(spark, sf_dir).page_rows)

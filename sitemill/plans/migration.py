@@ -134,7 +134,7 @@ class Migration:
     def links(self) -> DataFrame:
         lk = H.links(self.tokens.where(F.col("in_content")))
         ctx = self.page_ctx.select("page_id", "site", "site_url", "domain", "media_base")
-        return lk.select("page_id", "pos", "pass", "tag", "link").join(ctx, "page_id")
+        return self._cut(lk.select("page_id", "pos", "pass", "tag", "link").join(ctx, "page_id"))
 
     @cached_property
     def dispositions(self) -> DataFrame:

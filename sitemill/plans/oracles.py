@@ -874,3 +874,47 @@ rt3 AS (
 rt4 AS (SELECT *, CASE WHEN lib AND kind = 'open' THEN regexp_replace(out0, {_HREF_RX}, ' href="articles"', 'g') ELSE out0 END AS out FROM rt3)
 SELECT page_id, string_agg(out, '' ORDER BY pos) AS content FROM rt4 GROUP BY page_id
 """
+
+
+def _between(text: str, start: str, end: str) -> str:
+    return text[text.index(start):text.index(end)]
+
+
+# identity and rewritten-content pieces, re-used with one shared segmentation
+_ID_PIECES = _between(PAGE_IDENTITY, "\nprocessed AS (", "\nidslugs AS (")
+_ID_TAIL = _between(PAGE_IDENTITY, "\nk AS (", "\nSELECT page_id, site, url_slug, title, layout,")
+_RW_PIECES = _between(REWRITTEN_CONTENT, "\ndv AS (", "\nlslugs AS (")
+_RW_TAIL = _between(REWRITTEN_CONTENT, "\nvals AS (", "\nSELECT page_id, string_agg(out")
+PAGE_PAYLOAD = f"""
+WITH RECURSIVE {_CLOSURE_BODY.rstrip().rstrip(',')},
+{_ID_PIECES}
+idslugs AS (SELECT DISTINCT slug0 AS slug FROM pp2 WHERE length(slug0) > 0 AND NOT contains(slug0, '-')),
+{_RW_PIECES}
+lslugs AS (SELECT DISTINCT stem AS slug FROM dv WHERE action = 'follow' AND length(stem) > 0 AND NOT contains(stem, '-')),
+allslugs AS (SELECT slug FROM idslugs UNION SELECT slug FROM lslugs),
+{segmentation_ctes('allslugs')},
+{_ID_TAIL.rstrip()},
+{_RW_TAIL.rstrip()},
+pcontent AS (SELECT page_id, string_agg(out, '' ORDER BY pos) AS content FROM rt4 GROUP BY page_id),
+st0 AS (
+  SELECT *, (lag(kind) OVER w = 'open' AND lag(tag) OVER w = 'title') AS after_title FROM ptok WINDOW w AS (PARTITION BY page_id ORDER BY pos)
+),
+sg AS (
+  SELECT page_id,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'title') AS mt,
+    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'keywords') AS kw,
+    arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'description') AS ds
+  FROM st0 GROUP BY page_id
+),
+seo AS (
+  SELECT page_id, coalesce(mt, tt) AS meta_title,
+         CASE WHEN length(kw) > 0 THEN left(array_to_string(string_split(kw, ',')[1:{TX.KEYWORD_PHRASES}], ','), {TX.KEYWORD_CHARS}) ELSE kw END AS meta_keywords,
+         CASE WHEN length(ds) > 0 THEN left(ds, {TX.DESCRIPTION_CHARS}) ELSE ds END AS meta_description
+  FROM sg
+)
+SELECT i.site AS site_id, 'POST' AS method, '/pages/' AS endpoint,
+       to_json({{'content': coalesce(c.content, ''), 'layout': i.layout, 'meta_description': s.meta_description,
+                 'meta_keywords': s.meta_keywords, 'meta_title': s.meta_title, 'title': i.title, 'url': i.url_slug}}) AS body
+FROM ident i LEFT JOIN pcontent c ON c.page_id = i.page_id LEFT JOIN seo s ON s.page_id = i.page_id
+"""
