@@ -132,7 +132,7 @@ def stylesheets(home_tok: DataFrame) -> DataFrame:
     w = W.partitionBy("page_id")
     first = first.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == F.col("_req"))
     first = U.with_link_facts(first, "href", "site_url", None, "f")
-    return first.select("site", "matcher", F.col("f_abs").alias("url")).withColumn(
+    return first.select("site", "site_url", "matcher", F.col("f_abs").alias("url")).withColumn(
         "file_name", U.sanitize_filename(U.file_name(F.col("url")))
     )
 

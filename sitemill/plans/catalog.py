@@ -208,7 +208,7 @@ def cleaned_content(spark, sf_dir):
 @register("stylesheet_manifest", OR.STYLESHEETS)
 def stylesheet_manifest(spark, sf_dir):
     """H11 + A2: stylesheets to migrate per site."""
-    return _mig(spark, sf_dir).stylesheets
+    return _mig(spark, sf_dir).stylesheets.select("site", "matcher", "url", "file_name")
 
 
 @register("logo_facts", OR.LOGOS)
@@ -304,7 +304,7 @@ def page_payload(spark, sf_dir):
     return O.page_payloads(_mig(spark, sf_dir).page_rows)
 
 
-@register("file_manifest")
+@register("file_manifest", OR.FILE_MANIFEST)
 def file_manifest(spark, sf_dir):
     """A1 + P2 + P3: every file to upload, once per (site, url, name)."""
     return _mig(spark, sf_dir).files

@@ -237,7 +237,7 @@ class Migration:
     @cached_property
     def files(self) -> DataFrame:
         menu_files = MN.menu_files(self.menu, self.sites)
-        css = self.stylesheets.select("site", U.with_scheme(F.col("url"), F.lit("http:")).alias("url"), "file_name")
+        css = self.stylesheets.select("site", U.with_scheme(F.col("url"), F.col("site_url")).alias("url"), "file_name")
         logo = self.logos.where(F.col("file_url").isNotNull()).select("site", F.col("file_url").alias("url"), "file_name")
         content = (self.dispositions.join(self.processed.select("page_id"), "page_id", "left_semi")
                    .where(F.col("action") == "file").select("site", F.col("file_url").alias("url"), "file_name"))

@@ -918,3 +918,27 @@ SELECT i.site AS site_id, 'POST' AS method, '/pages/' AS endpoint,
                  'meta_keywords': s.meta_keywords, 'meta_title': s.meta_title, 'title': i.title, 'url': i.url_slug}}) AS body
 FROM ident i LEFT JOIN pcontent c ON c.page_id = i.page_id LEFT JOIN seo s ON s.page_id = i.page_id
 """
+
+_SS_BODY = _between(STYLESHEETS, "\nmatchers(family, idx, text)", "\nSELECT site, CAST(matcher AS INTEGER)")
+_LOGO_BODY = LOGO_CTES[len(HOME_CTES):]
+FILE_MANIFEST = f"""
+WITH RECURSIVE {_CLOSURE_BODY.rstrip().rstrip(',')},
+processed AS (SELECT page_id FROM reach GROUP BY page_id)
+{_LOGO_BODY},
+{_SS_BODY.strip()},
+files AS (
+  SELECT m.site,
+         {S.with_scheme(f"(CASE WHEN {S.is_relative('m.url')} THEN {S.absolute('s.site_url', 'm.url')} ELSE m.url END)", 's.site_url')} AS url,
+         {S.sanitize_filename(S.file_name('m.url'))} AS file_name
+  FROM menu m JOIN sites s ON s.site = m.site
+  WHERE {S.is_internal('m.url', 's.domain')} AND {S.is_file('m.url')}
+  UNION ALL
+  SELECT u.site, {S.with_scheme('u.url', 'ss.site_url')}, {S.sanitize_filename(S.file_name('u.url'))}
+  FROM u JOIN sites ss ON ss.site = u.site
+  UNION ALL
+  SELECT site, file_url, file_name FROM logos WHERE file_url IS NOT NULL
+  UNION ALL
+  SELECT site, file_url, file_name FROM disp WHERE action = 'file' AND page_id IN (SELECT page_id FROM processed)
+)
+SELECT DISTINCT site, url, file_name FROM files
+"""
