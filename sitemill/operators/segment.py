@@ -2,10 +2,8 @@
 
 T6 learns a Zipf cost per word from the ``documents`` corpus:
 ``cost = ln(rank * ln(N))`` with rank by frequency (ties by word) and N the
-vocabulary size.  The global rank is computed without a single-partition
-window: words are bucketed by (count, two-letter prefix), bucket offsets come
-from a running sum over the (small) bucket table, and the rank within a
-bucket is a window partitioned by bucket.
+vocabulary size.  The global rank never sorts the vocabulary in one
+task (see ``word_costs``).
 
 T7 splits every distinct name part with a minimum-cost dynamic programme:
 candidate words are all substrings (no length cap beyond the longest word in
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 WORD_RX = "[a-z]+"
+BUCKET_CHARS = 3
 UNKNOWN_COST = 1.0e4
 
 
@@ -29,16 +28,32 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def word_costs(documents: DataFrame) -> DataFrame:
-    """``(word, n, word_rank, cost)`` for every word of the corpus."""
-    counts = word_counts(documents).withColumn("_bucket", F.left(F.col("word"), F.lit(2)))
+    """``(word, n, word_rank, cost)`` for every word of the corpus.
+
+    The global rank (count descending, then word) is assembled from three
+    windows, none of which sees more than a provably small table:
+
+    * offset of each count ``n``: running sum over the *distinct counts* (one
+      partition; there are at most sqrt(2 * tokens) distinct counts);
+    * offset of each three-letter prefix bucket within its count: running sum
+      partitioned by ``n`` (at most 18 278 buckets per count);
+    * rank within a (count, bucket): ``row_number`` partitioned by both.
+    """
+    counts = word_counts(documents).withColumn("_bucket", F.left(F.col("word"), F.lit(BUCKET_CHARS)))
+    per_n = counts.groupBy("n").agg(F.count("*").alias("_nn"))
+    before_n = W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)
+    per_n = per_n.select(
+        "n",
+        F.coalesce(F.sum("_nn").over(before_n), F.lit(0)).alias("_off_n"),
+        F.sum("_nn").over(W.partitionBy(F.lit(1))).alias("_vocab"),
+    )
     sizes = counts.groupBy("n", "_bucket").agg(F.count("*").alias("_size"))
-    order = W.orderBy(F.col("n").desc(), F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    total = F.sum("_size").over(W.partitionBy(F.lit(1)))
-    offsets = offsets.withColumn("_vocab", total).drop("_size")
-    ranked = counts.join(offsets, ["n", "_bucket"])
+    before_b = W.partitionBy("n").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("n", "_bucket", F.coalesce(F.sum("_size").over(before_b), F.lit(0)).alias("_off_b"))
+    ranked = counts.join(sizes, ["n", "_bucket"]).join(per_n, "n")
     within = W.partitionBy("n", "_bucket").orderBy("word")
-    ranked = ranked.withColumn("word_rank", (F.col("_offset") + F.row_number().over(within)).cast("bigint"))
+    ranked = ranked.withColumn(
+        "word_rank", (F.col("_off_n") + F.col("_off_b") + F.row_number().over(within)).cast("bigint"))
     return ranked.select(
         "word", "n", "word_rank",
         F.log(F.col("word_rank") * F.log(F.col("_vocab").cast("double"))).alias("cost"),

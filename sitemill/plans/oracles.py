@@ -93,11 +93,6 @@ REMOVAL_MARKER = ("(kind IN ('open', 'raw') AND coalesce(tag IN " + S.inlist(H.R
                   + " OR ".join(has_class("class", S.q(c)) for c in H.REMOVED_CLASSES) + ", false))")
 
 
-def family_case(col: str, mapping: dict, default: str = "NULL") -> str:
-    whens = " ".join(f"WHEN {col} = {S.q(k)} THEN {v}" for k, v in mapping.items())
-    return f"(CASE {whens} ELSE {default} END)"
-
-
 # ---------------------------------------------------------------------------
 # Shared: decorated archive, sites, per-page context
 # ---------------------------------------------------------------------------
