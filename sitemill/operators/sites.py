@@ -68,8 +68,8 @@ def sites(pages: DataFrame, registry: DataFrame) -> DataFrame:
     reg = parse_registry(registry)
     # one home page per site even if the archive holds the home URL twice
     first = home_pages(pages.select("page_id", "url"), reg).groupBy("site").agg(F.min("page_id").alias("page_id"))
-    homes = pages.select("page_id", "html").join(first, "page_id")
-    tok = H.tokens(homes.select("page_id", "html"))
+    homes = H.partition_pages(pages.select("page_id", "html")).join(first, "page_id")
+    tok = H.tokens(homes.select("page_id", "html"), partitioned=True)
     fam = family_by_home(tok)
     out = reg.join(homes.select("site", F.col("page_id").alias("home_page_id")), "site", "left").join(
         fam.withColumnRenamed("page_id", "home_page_id"), "home_page_id", "left"

@@ -82,9 +82,10 @@ class Migration:
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens of every page of a known family, with extents and region flags."""
-        src = self.pages.join(self.page_ctx.select("page_id", "content_kind", "content_key"), "page_id")
-        tok = H.with_extents(H.tokens(src.select("page_id", "html", "content_kind", "content_key"),
-                                      keep=["content_kind", "content_key"]))
+        # shuffle the HTML once (by page_id); the narrow context side moves to it
+        src = H.partition_pages(self.pages.select("page_id", "html")).join(
+            self.page_ctx.select("page_id", "content_kind", "content_key"), "page_id")
+        tok = H.with_extents(H.tokens(src, keep=["content_kind", "content_key"], partitioned=True))
         marker = H.content_marker(F.col("content_kind"), F.col("content_key"))
         return (tok.withColumn("in_content", H.covered_by(marker))
                 .withColumn("removed", H.covered_by(H.removal_marker())))
@@ -93,8 +94,8 @@ class Migration:
     def home_tokens(self) -> DataFrame:
         homes = self.sites.where(F.col("family") != "X").select(
             F.col("home_page_id").alias("page_id"), *CONTEXT)
-        src = self.pages.join(homes, "page_id")
-        return H.with_extents(H.tokens(src, keep=CONTEXT))
+        src = H.partition_pages(self.pages.select("page_id", "html")).join(homes, "page_id")
+        return H.with_extents(H.tokens(src, keep=CONTEXT, partitioned=True))
 
     # -- site-level relations ---------------------------------------------------------
     @cached_property
