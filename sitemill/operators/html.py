@@ -175,3 +175,21 @@ def assemble(tok: DataFrame, text_col: str = "raw", name: str = "content") -> Da
             "",
         ).alias(name)
     )
+
+
+def link_aggs(scope: Column) -> list[Column]:
+    """H6 as per-page aggregates: the page's link candidates of both passes as
+    arrays of ``struct(pos, pass, tag, link)`` (bounded by one page), so that
+    link harvesting can share a pass over the tokens with other per-page work.
+    ``explode(concat(_links0, _links1))`` gives the rows of ``links``.
+    """
+    from sitemill.functions.urls import is_denied
+
+    base = scope & (F.col("kind") == "open") & F.col("tag").isin("a", "img")
+    path = F.when(F.col("tag") == "a", F.col("href")).otherwise(F.col("src"))
+    out = []
+    for p, attr in ((0, "href"), (1, "src")):
+        cond = base & ~is_denied(F.col(attr)) & path.isNotNull()
+        item = F.struct(F.col("pos").alias("pos"), F.lit(p).alias("pass"), F.col("tag").alias("tag"), path.alias("link"))
+        out.append(F.collect_list(F.when(cond, item)).alias(f"_links{p}"))
+    return out

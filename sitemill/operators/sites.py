@@ -85,10 +85,14 @@ def sites(pages: DataFrame, registry: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # H5 SEO metadata (every page, whole document)
 # ---------------------------------------------------------------------------
-def seo(tok: DataFrame) -> DataFrame:
-    """meta title (else <title> text), keywords (W2), description (W2) per page."""
+def seo_prepare(tok: DataFrame) -> DataFrame:
+    """Marks the text token right after each <title> start tag (window keyed by page)."""
     by_pos = W.partitionBy("page_id").orderBy("pos")
-    t = tok.withColumn("_after_title", (F.lag("kind").over(by_pos) == "open") & (F.lag("tag").over(by_pos) == "title"))
+    return tok.withColumn("_after_title", (F.lag("kind").over(by_pos) == "open") & (F.lag("tag").over(by_pos) == "title"))
+
+
+def seo_aggs() -> list[Column]:
+    """Per-page aggregates behind H5 (use after ``seo_prepare``, grouped by page_id)."""
     is_meta = (F.col("kind") == "open") & (F.col("tag") == "meta") & F.col("content").isNotNull()
 
     def first_meta(name: str) -> Column:
@@ -99,15 +103,22 @@ def seo(tok: DataFrame) -> DataFrame:
         F.when(F.col("_after_title") & (F.col("kind") == "text"), TX.decode_entities(F.col("raw"))),
         F.when(F.col("_after_title") & (F.col("kind") == "text"), F.col("pos")),
     )
-    g = t.groupBy("page_id").agg(
-        first_meta("title").alias("_mt"), title_text.alias("_tt"),
-        first_meta("keywords").alias("_kw"), first_meta("description").alias("_ds"),
-    )
+    return [first_meta("title").alias("_mt"), title_text.alias("_tt"),
+            first_meta("keywords").alias("_kw"), first_meta("description").alias("_ds")]
+
+
+def seo_finish(g: DataFrame) -> DataFrame:
+    """meta title (else <title> text), truncated keywords and description."""
     kw = F.when(F.length("_kw") > 0, TX.truncate_keywords(F.col("_kw"))).otherwise(F.col("_kw"))
     ds = F.when(F.length("_ds") > 0, TX.truncate_description(F.col("_ds"))).otherwise(F.col("_ds"))
     return g.select("page_id", F.coalesce("_mt", "_tt").alias("meta_title"), kw.alias("meta_keywords"), ds.alias("meta_description"))
 
 
+def seo(tok: DataFrame) -> DataFrame:
+    """H5: meta title (else <title> text), keywords (W2), description (W2) per page."""
+    return seo_finish(seo_prepare(tok).groupBy("page_id").agg(*seo_aggs()))
+
+
 # ---------------------------------------------------------------------------
 # H11 stylesheets (home page of each site)
 # ---------------------------------------------------------------------------

@@ -126,16 +126,24 @@ class Migration:
     def logos(self) -> DataFrame:
         return self._cut(S.logos(self.home_tokens))
 
+    @cached_property
+    def page_facts(self) -> DataFrame:
+        """One pass over the token relation: SEO aggregates and the content links
+        of every page (per-page arrays), checkpointed for both consumers."""
+        t = S.seo_prepare(self.tokens)
+        return self._cut(t.groupBy("page_id").agg(*S.seo_aggs(), *H.link_aggs(F.col("in_content"))))
+
     @cached_property
     def seo(self) -> DataFrame:
-        return S.seo(self.tokens)
+        return S.seo_finish(self.page_facts)
 
     # -- links ------------------------------------------------------------------------
     @cached_property
     def links(self) -> DataFrame:
-        lk = H.links(self.tokens.where(F.col("in_content")))
+        lk = self.page_facts.select("page_id", F.explode(F.concat("_links0", "_links1")).alias("l"))
+        lk = lk.select("page_id", "l.pos", "l.pass", "l.tag", "l.link")
         ctx = self.page_ctx.select("page_id", "site", "site_url", "domain", "media_base")
-        return self._cut(lk.select("page_id", "pos", "pass", "tag", "link").join(ctx, "page_id"))
+        return self._cut(lk.join(ctx, "page_id"))
 
     @cached_property
     def dispositions(self) -> DataFrame:
