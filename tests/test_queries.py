@@ -37,3 +37,10 @@ def test_matches_oracle(spark, con, name):
 def test_runs_without_oracle_or_with(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_every_oracle_runs_in_duckdb(con, name):
+    rel = con.sql(E.oracle_sql()[name])
+    assert len(rel.columns) == len(set(rel.columns))
+    assert rel.fetchall(), name
