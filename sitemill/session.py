@@ -6,9 +6,11 @@ submitting environment; ``local_session`` only fills in what tests need.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "sitemill") -> SparkSession:
@@ -32,22 +34,39 @@ def local_session(cpus: int | None = None, app: str = "sitemill") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir; set a scratch one only when unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(path)
-        return path
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    path = tempfile.mkdtemp(prefix="sitemill-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    """The session's shared folder for checkpoints and intermediate tables.
+
+    Read from ``spark.checkpoint.dir``. Only a ``local`` master may do without
+    (tests): there a scratch folder is made. On a cluster a missing setting is
+    an error, because a folder of the driver's machine is not seen by executors.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        path = sc.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="sitemill-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a fresh folder of the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but later reads are columnar: they
+    prune columns and push filters. The schema is handed over, so the reread
+    costs no schema inference.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the cluster checkpoint dir, computing the plan once.
 
