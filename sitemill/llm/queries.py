@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sitemill.llm import exact_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,15 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, encoded by overlapping chunks and decoded again."""
+    import public_tokenizers
+
+    from sitemill.llm.byte_bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit-decreasing packing of all documents into sequences of 2048 tokens."""
     from sitemill.llm.packing import packed_documents
@@ -22,7 +32,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents by an extendible-hash index."""
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
