@@ -37,9 +37,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of 3-word shingles of at least 0.9."""
+    from sitemill.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 LLM_QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
 LLM_ORACLES: dict[str, str] = {
