@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ from sitemill.session import materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Words whose ids a Python worker keeps; beyond it the memo starts anew. Results don't depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
+#: One id in the vocabularies this is used with; where it isn't, or a word holds it, words are encoded one by one.
+MARK = "\u2764"
+#: ASCII punctuation that ends a word. The apostrophe is left out: contractions are tokens of their own.
+TAIL = b".,;:!?#$%&*|"
 _tokenizers: dict = {}
-_memo: dict[str, dict[bytes, bytes]] = {}
+_memo: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(path: str):
@@ -40,22 +45,45 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _encoded(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of new words, in few calls: the words stand between marks of one id that none of them holds."""
+    tokenizer, out = _tokenizer(path), []
+    ids_of = lambda t: np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4")
+    mark = ids_of(MARK)
+    for at in range(0, len(words), 4096):
+        part = [w.decode("utf-8", "replace") for w in words[at:at + 4096]]
+        ids = ids_of(f" {MARK} ".join(part))
+        ends = np.flatnonzero(ids == mark[0])
+        if len(mark) == 1 and len(ends) == len(part) - 1:
+            raw, b = ids.tobytes(), (4 * ends).tolist()
+            out += [raw[i:j] for i, j in zip([0, *(e + 4 for e in b)], [*b, len(raw)])]
+        else:
+            out += [ids_of(w).tobytes() for w in part]
+    return out
+
+
 def _texts_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words (maximal runs without ASCII white space) in order.
+    The tokenizer lowers the case, drops white space and joins nothing across it, so a text's ids
+    are those of its words (runs without ASCII white space) in order; and it splits between
+    a letter and punctuation, so a word's ids are those of its stem and of the punctuation that ends it.
     """
-    import numpy as np
-
-    memo = _memo.setdefault(path, {})
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in memo})
-    for w, e in zip(new, _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-        memo[w] = np.array(e.ids, "<u4").tobytes()
-    out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
+    whole, parts = _memo.setdefault(path, ({}, {}))
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    new = set().union(*words).difference(whole)
+    split = {}
+    for w in new:
+        stem = w.rstrip(TAIL)
+        split[w] = (stem, w[len(stem):]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, b"")
+    unknown = list({p for pair in split.values() for p in pair if p and p not in parts})
+    parts.update(zip(unknown, _encoded(unknown, path)))
+    for w, (stem, tail) in split.items():
+        whole[w] = parts[stem] + parts[tail] if tail else parts[stem]
+    out = [b"".join(map(whole.__getitem__, ws)) for ws in words]
+    for memo in (whole, parts):
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
     return out
 
 
