@@ -44,7 +44,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: importance weights and the Gumbel top-k draw."""
+    from sitemill.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
+    "op3_importance_resampling": op3_importance_resampling,
     "op1_byte_bpe": op1_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
