@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.llm.labelled import labelled_sample
+from sitemill.llm.labelled import labelled_sample, logistic
 from sitemill.llm.shingles import mix
 from sitemill.session import materialise
 
@@ -122,21 +122,6 @@ def weigh(docs: DataFrame, ratio: np.ndarray, *others: str) -> DataFrame:
     return texts.mapInPandas(run, f"doc_id long{kinds}, n_grams long, log_weight double").select("doc_id", "n_grams", "log_weight", *others)
 
 
-def calibration(weights: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """(a, b) of P(good) = 1 / (1 + exp(-(a + b * log_weight))), by Newton steps; rows are weighed so that ``prior`` of them are good."""
-    x = np.c_[np.ones(len(y)), np.clip(weights, -50, 50)]
-    s = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    beta = np.array([math.log(prior / (1 - prior)), 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        h = (x * (s * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (s * (y - p)) - 1e-3 * beta)
-        beta = beta + np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
-            break
-    return float(beta[0]), float(max(beta[1], 0.0))
-
-
 def kth_largest(table: DataFrame, key: str, k: int) -> int:
     """The k-th largest value of a long column, found from the counts of its leading bits, 16 at a time."""
     prefix, left = 0, k
@@ -167,7 +152,8 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed:
     fit = weigh(sample, ratio, "y").select("log_weight", "y").toPandas()
     if shares is None or fit["y"].nunique() < 2:
         return table.select("doc_id", "n_grams", "log_weight", "key", F.lit(True).alias("kept"))
-    a, b = calibration(fit["log_weight"].to_numpy(), fit["y"].to_numpy(), min(max(shares, 1e-3), 1 - 1e-3))
+    # P(good) = 1 / (1 + exp(-(a + b * log_weight)))
+    a, b = logistic(np.c_[np.ones(len(fit)), np.clip(fit["log_weight"], -50, 50)], fit["y"].to_numpy(), shares).tolist()
     good = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(F.col("log_weight"), F.lit(-50.0)), F.lit(50.0)))))
     n, mean, spread = table.agg(F.count("*"), F.sum(good), F.sqrt(F.sum(good * (1 - good)))).first()
     k = min(n, math.ceil(mean + 2 * spread)) if n else 0

@@ -1,6 +1,7 @@
 """A bounded sample of labelled documents, for fitting."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, w
     taken = known.limit(0) if taken is None else taken
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return materialise(texts.join(F.broadcast(taken), "doc_id"), "labelled")  # at most about 2 * rows ids
+
+
+def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients of P(y = 1) = 1 / (1 + exp(-x @ beta)) by damped Newton steps.
+
+    Rows are weighed so that ``prior`` of their weight has y = 1, as in the table that they were drawn from.
+    """
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    s = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+        h = (x * (s * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        step = np.linalg.solve(h, x.T @ (s * (y - p)) - ridge * beta)
+        beta = beta + step * min(1.0, 2.0 / max(abs(step).max(), 1e-12))
+        if abs(step).max() < 1e-8:
+            break
+    return beta

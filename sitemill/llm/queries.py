@@ -51,11 +51,19 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the rows that are not held out."""
+    from sitemill.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
     "op3_importance_resampling": op3_importance_resampling,
     "op1_byte_bpe": op1_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_toxicity": op10_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
 LLM_ORACLES: dict[str, str] = {
