@@ -79,22 +79,10 @@ def cuts(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     return docs.join(shared, "row", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>")))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, overlap: int = 1024) -> DataFrame:
-    """(row, doc_id, copies, piece, n_pieces, ids): little-endian 32-bit ids of each piece of each text.
-
-    ``row`` is null for one-piece texts; it names the distinct (doc_id, text) of the others.
-    """
+def _split(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of one piece, and the pieces of the longer ones: (row, doc_id, copies, piece, n_pieces, text)."""
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap must be from 1 to the chunk's length")
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(ranks_path, pattern)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].copy()
-                part["ids"] = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in part.pop("text")]
-                yield part
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = chunk + overlap
     short = rows.where(F.char_length("text") <= size).select(
@@ -105,8 +93,28 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, o
            .withColumn("from", F.concat(F.array(F.lit(0).cast("long")), F.col("cuts"))).withColumn("to", F.concat(F.col("cuts"), F.array(F.char_length("text").cast("long"))))
            .select("row", "doc_id", "copies", "text", F.size("from").alias("n_pieces"), F.posexplode(F.arrays_zip("from", "to")).alias("piece", "span"))
            .select("row", "doc_id", "copies", "piece", "n_pieces", F.expr("substring(text, int(span.from + 1), int(span.to - span.from))").alias("text")))
-    kind = "row string, doc_id long, copies long, piece int, n_pieces int, ids binary"
-    return short.mapInPandas(run, kind).unionByName(cut.mapInPandas(run, kind))
+    return short, cut
+
+
+def _encoded(pieces: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _encoding(ranks_path, pattern)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at:at + 256].copy()
+                part["ids"] = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in part.pop("text")]
+                yield part
+
+    return pieces.mapInPandas(run, "row string, doc_id long, copies long, piece int, n_pieces int, ids binary")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, overlap: int = 1024) -> DataFrame:
+    """(row, doc_id, copies, piece, n_pieces, ids): little-endian 32-bit ids of each piece of each text.
+
+    ``row`` is null for one-piece texts; it names the distinct (doc_id, text) of the others.
+    """
+    short, cut = _split(docs, pattern, chunk, overlap)
+    return _encoded(short.unionByName(cut), ranks_path, pattern)
 
 
 def decode(ids: bytes, ranks_path: str, pattern: str) -> bytes:
@@ -126,9 +134,9 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768,
                 rows.append((len(a), hashlib.sha256(",".join(map(str, a)).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(a)).hexdigest()))
             yield pd.concat([b[["doc_id", "copies"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
 
-    pieces = encode(docs, ranks_path, pattern, chunk, overlap)
-    whole = pieces.where("n_pieces = 1").select("doc_id", "copies", "ids")
-    joined = (pieces.where("n_pieces > 1").groupBy("row", "doc_id", "copies")
+    short, cut = _split(docs, pattern, chunk, overlap)
+    whole = _encoded(short, ranks_path, pattern).select("doc_id", "copies", "ids")
+    joined = (_encoded(cut, ranks_path, pattern).groupBy("row", "doc_id", "copies")
               .agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))  # the pieces of one text
               .select("doc_id", "copies", F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids")))
     kind = "doc_id long, copies long, n_tokens long, ids_sha256 string, decoded_sha256 string"
