@@ -108,6 +108,26 @@ def exact_duplicates(docs: DataFrame, capacity: int = 65536, key=F.xxhash64, dig
     return joined.select("doc_id", "keep_id", "group_size", ((F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (copy == 1)).alias("kept"), "text_sha256")
 
 
+def minus(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, whose doc_id is not among ``ids`` (doc_id); null is a value."""
+    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_gone"]), "left_anti")
+
+
+def without_copies(docs: DataFrame, capacity: int = 65536) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay; of rows equal in doc_id and text one."""
+    found = materialise(exact_duplicates(docs, capacity).select("doc_id", "kept"), "copies")
+    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    left = minus(docs, by_id.where(~F.col("kept")))
+    again = by_id.where("kept AND n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    own = left.join(again.withColumnRenamed("doc_id", "_again"), left["doc_id"].cast("long").eqNullSafe(F.col("_again")), "left_semi")
+    one = own.withColumn("_text", F.sha2(normalise(F.col("text")), 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return minus(left, again).unionByName(one)
+
+
 ORACLE = r"""
 WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 keyed AS (SELECT doc_id, sha256(norm) AS text_sha256, min(doc_id) OVER (PARTITION BY norm) AS keep_id,

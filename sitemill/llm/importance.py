@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
@@ -105,21 +105,26 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np
     return t - r
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, *others: str) -> DataFrame:
-    """(doc_id, n_grams, log_weight, *others) of every document."""
+def weigher(ratio: np.ndarray):
+    """A column function text -> struct(n_grams, log_weight)."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].copy()
-                owner, bucket = ngram_buckets(part.pop("text").tolist())
-                part["n_grams"] = np.bincount(owner, minlength=len(part))
-                part["log_weight"] = np.bincount(owner, ratio[bucket], len(part))
-                yield part
+    @F.pandas_udf("n_grams long, log_weight double")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), 256):
+                part = texts.iloc[at:at + 256].fillna("").tolist()
+                owner, bucket = ngram_buckets(part)
+                parts.append(pd.DataFrame({"n_grams": np.bincount(owner, minlength=len(part)), "log_weight": np.bincount(owner, ratio[bucket], len(part))}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"n_grams": [], "log_weight": []})
+
+    return weigh
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kinds = "".join(f", {c} {t}" for c, t in texts.dtypes if c in others)
-    return texts.mapInPandas(run, f"doc_id long{kinds}, n_grams long, log_weight double").select("doc_id", "n_grams", "log_weight", *others)
+
+def rank(doc_id: Column, weight: Column, seed: int) -> Column:
+    """The log weight plus Gumbel noise drawn by a hash of the document, in millionths: an ordered whole number."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, weight["n_grams"], F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    return F.round((weight["log_weight"] - F.log(-F.log(uniform))) * 1e6).cast("long")
 
 
 def kth_largest(table: DataFrame, key: str, k: int) -> int:
@@ -138,24 +143,37 @@ def kth_largest(table: DataFrame, key: str, k: int) -> int:
     return prefix - 2**63
 
 
+class Draw:
+    """Models, threshold and weights of a draw from ``docs``."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 1):
+        self.seed = seed
+        sample = labelled_sample(docs, labels, "quality", fit_rows)
+        share = labels.where("quality IN (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]
+        raw, target = bucket_counts(docs), bucket_counts(sample.where("y = 1"))
+        # where nothing is labelled good, the target is the raw text and every weight is 1
+        self.weigh = weigher(log_ratio(target if target.sum() else raw, raw))
+        table = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.weigh(F.col("text").cast("string")).alias("w")), "weights")
+        self.table = table.select("doc_id", "w.n_grams", "w.log_weight", rank(F.col("doc_id"), F.col("w"), seed).alias("rank"))
+        fit = sample.select("y", self.weigh("text")["log_weight"].alias("log_weight")).toPandas()  # 2 * fit_rows rows at most
+        self.least = None  # the least rank that is kept
+        if share is not None and fit["y"].nunique() == 2:
+            # P(good) = 1 / (1 + exp(-(a + b * log_weight)))
+            a, b = logistic(np.c_[np.ones(len(fit)), np.clip(fit["log_weight"], -50, 50)], fit["y"].to_numpy(), share).tolist()
+            good = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(F.col("log_weight"), F.lit(-50.0)), F.lit(50.0)))))
+            n, mean, spread = self.table.agg(F.count("*"), F.sum(good), F.sqrt(F.sum(good * (1 - good)))).first()
+            if n:
+                self.least = kth_largest(self.table, "rank", max(1, min(n, math.ceil(mean + 2 * spread))))
+
+    def kept(self, rank_: Column) -> Column:
+        return F.lit(True) if self.least is None else rank_ >= F.lit(self.least)
+
+    def filter(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that are drawn, all columns; weighed again, so that no text is shuffled."""
+        return docs if self.least is None else docs.where(self.kept(rank(docs["doc_id"].cast("long"), self.weigh(docs["text"].cast("string")), self.seed)))
+
+
 def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 1) -> DataFrame:
-    """One row per document: doc_id, n_grams, log_weight, key, kept."""
-    sample = labelled_sample(docs, labels, "quality", fit_rows)
-    shares = labels.where("quality IN (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    raw, target = bucket_counts(docs), bucket_counts(sample.where("y = 1"))
-    # where nothing is labelled good, the target is the raw text and every weight is 1
-    ratio = log_ratio(target if target.sum() else raw, raw)
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "n_grams", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    noisy = weigh(docs, ratio).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
-    # the key in millionths: an order-preserving whole number
-    table = materialise(noisy.withColumn("rank", F.round(F.col("key") * 1e6).cast("long")), "weights")
-    fit = weigh(sample, ratio, "y").select("log_weight", "y").toPandas()
-    if shares is None or fit["y"].nunique() < 2:
-        return table.select("doc_id", "n_grams", "log_weight", "key", F.lit(True).alias("kept"))
-    # P(good) = 1 / (1 + exp(-(a + b * log_weight)))
-    a, b = logistic(np.c_[np.ones(len(fit)), np.clip(fit["log_weight"], -50, 50)], fit["y"].to_numpy(), shares).tolist()
-    good = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.greatest(F.col("log_weight"), F.lit(-50.0)), F.lit(50.0)))))
-    n, mean, spread = table.agg(F.count("*"), F.sum(good), F.sqrt(F.sum(good * (1 - good)))).first()
-    k = min(n, math.ceil(mean + 2 * spread)) if n else 0
-    least = kth_largest(table, "rank", k) if k else 0
-    return table.select("doc_id", "n_grams", "log_weight", "key", (F.col("rank") >= F.lit(least)).alias("kept"))
+    """One row per document: doc_id, n_grams, log_weight, key (with the noise), kept."""
+    draw = Draw(docs, labels, fit_rows, seed)
+    return draw.table.select("doc_id", "n_grams", "log_weight", (F.col("rank") / 1e6).alias("key"), draw.kept(F.col("rank")).alias("kept"))

@@ -251,28 +251,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Score
     return scorer, logistic(np.array([scorer.features(f, n) for _, f, n in got]), y, share, ridge=1e-2)
 
 
-def score(docs: DataFrame, scorer: Scorer, beta: np.ndarray, *others: str) -> DataFrame:
-    """(doc_id, score, hits, misspelled, quoted, *others) of every document."""
+def scoring(scorer: Scorer, beta: np.ndarray):
+    """A column function text -> struct(score, hits, misspelled, quoted)."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].copy()
-                texts = part.pop("text").tolist()
-                found = scorer.hits(texts)
-                x = np.array([scorer.features(f, len(t.split()) if f else 0) for f, t in zip(found, texts)])
-                part["score"] = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-                part["hits"] = [len(f) for f in found]
-                part["misspelled"] = [sum(h[1] > 0 for h in f) for f in found]
-                part["quoted"] = [sum(h[2] for h in f) for f in found]
-                yield part
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kinds = "".join(f", {c} {t}" for c, t in texts.dtypes if c in others)
-    return texts.mapInPandas(run, f"doc_id long{kinds}, score double, hits int, misspelled int, quoted int")
+    @F.pandas_udf("score double, hits int, misspelled int, quoted int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            rows = []
+            for at in range(0, len(column), 256):
+                texts = column.iloc[at:at + 256].fillna("").tolist()
+                for found, t in zip(scorer.hits(texts), texts):
+                    z = float(np.dot(scorer.features(found, len(t.split()) if found else 0), beta))
+                    rows.append((1 / (1 + math.exp(-max(-35.0, min(35.0, z)))), len(found), sum(h[1] > 0 for h in found), sum(h[2] for h in found)))
+            yield pd.DataFrame(rows, columns=["score", "hits", "misspelled", "quoted"])
+
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, hits, misspelled, quoted."""
-    scorer, beta = fit(docs, labels, fit_rows)
-    return score(docs, scorer, beta).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits", "misspelled", "quoted")
+    score = scoring(*fit(docs, labels, fit_rows))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("s"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "s.score", (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), "s.hits", "s.misspelled", "s.quoted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    score = scoring(*fit(docs, labels, fit_rows))
+    return docs.where(score(docs["text"].cast("string"))["score"] < THRESHOLD)
