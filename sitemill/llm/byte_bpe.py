@@ -101,7 +101,7 @@ def _encoded(pieces: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = _encoding(ranks_path, pattern)
         for b in batches:
             for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].copy()
+                part = b.iloc[at:at + 256].astype({"row": object})
                 part["ids"] = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in part.pop("text")]
                 yield part
 

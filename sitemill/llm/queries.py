@@ -44,6 +44,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label, by an epsilon grid order join."""
+    from sitemill.llm.vector_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents: importance weights and the Gumbel top-k draw."""
     from sitemill.llm.importance import resample
@@ -59,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_vector_join": op2_vector_join,
     "op3_importance_resampling": op3_importance_resampling,
     "op1_byte_bpe": op1_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
