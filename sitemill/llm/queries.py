@@ -25,6 +25,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, by site template removal."""
+    from sitemill.llm.page_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit-decreasing packing of all documents into sequences of 2048 tokens."""
     from sitemill.llm.packing import packed_documents
@@ -72,6 +79,7 @@ LLM_QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op5_page_text": op5_page_text,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
 LLM_ORACLES: dict[str, str] = {
