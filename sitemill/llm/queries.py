@@ -25,6 +25,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages, by rules and path-template trees."""
+    from sitemill.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages, by site template removal."""
     from sitemill.llm.page_text import main_text
@@ -44,6 +51,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents, by patience alignment."""
+    from sitemill.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard similarity of 3-word shingles of at least 0.9."""
     from sitemill.llm.jaccard_join import jaccard_components
@@ -77,8 +91,10 @@ LLM_QUERIES = {
     "op3_importance_resampling": op3_importance_resampling,
     "op1_byte_bpe": op1_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op5_page_text": op5_page_text,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
