@@ -101,11 +101,13 @@ def _encoded(pieces: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = _encoding(ranks_path, pattern)
         for b in batches:
             for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].astype({"row": object})
+                part = b.iloc[at:at + 256].astype({"row": object, "doc_id": object})
                 part["ids"] = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in part.pop("text")]
                 yield part
 
-    return pieces.mapInPandas(run, "row string, doc_id long, copies long, piece int, n_pieces int, ids binary")
+    # ids pass through Python as text: pandas would make a nullable long a double
+    kind = "row string, doc_id string, copies long, piece int, n_pieces int, ids binary"
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, overlap: int = 1024) -> DataFrame:
@@ -132,13 +134,13 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768,
             for ids in b["ids"]:
                 a = np.frombuffer(ids, "<u4").tolist()
                 rows.append((len(a), hashlib.sha256(",".join(map(str, a)).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(a)).hexdigest()))
-            yield pd.concat([b[["doc_id", "copies"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+            yield pd.concat([b[["doc_id", "copies"]].astype({"doc_id": object}).reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
 
     short, cut = _split(docs, pattern, chunk, overlap)
     whole = _encoded(short, ranks_path, pattern).select("doc_id", "copies", "ids")
     joined = (_encoded(cut, ranks_path, pattern).groupBy("row", "doc_id", "copies")
               .agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))  # the pieces of one text
               .select("doc_id", "copies", F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids")))
-    kind = "doc_id long, copies long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = whole.unionByName(joined).mapInPandas(run, kind)
+    kind = "doc_id string, copies long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = whole.unionByName(joined).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")

@@ -53,10 +53,12 @@ def sets(docs: DataFrame, k: int, share: float = 1.0) -> DataFrame:
             for at in range(0, len(b), 256):
                 part = b.iloc[at:at + 256]
                 found = shingle_sets(part["text"].tolist(), k)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "sid": [set_id(s) for s in found], "n": [len(s) for s in found],
+                yield pd.DataFrame({"doc_id": pd.Series(part["doc_id"].tolist(), dtype=object), "sid": [set_id(s) for s in found], "n": [len(s) for s in found],
                                     "shingles": [s[:s.searchsorted(top, "right")].view("int64") for s in found]})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, sid long, n int, shingles array<long>")
+    # ids pass through Python as text: pandas would make a nullable long a double
+    texts = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return texts.mapInPandas(run, "doc_id string, sid long, n int, shingles array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lone(listed: DataFrame) -> DataFrame:
@@ -158,6 +160,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first, second = join.links(whole)
     roots = components(first.unionByName(second)).withColumnRenamed("id", "sid")
     named = members.select("doc_id", "n", "sid").where("n > 0").join(roots, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join deals out its rows itself and a large component can be split
+    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     empty = members.where("n = 0").select("doc_id", F.lit(0).alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)

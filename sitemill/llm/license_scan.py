@@ -3,10 +3,11 @@
 A template is a sequence of words. If a text holds a share ``least`` of a template's words in
 order, it holds one of any floor((1 - least) * n) + 1 of them; the scan looks for that many of the
 template's longest words and aligns the template with the stretch around each place where one
-occurs. Alignment: equal words at both ends match; then words that occur once in the stretch and
-once in the template are anchors, the longest increasing subsequence of them matches, and the gaps
-between them are aligned alike. Coverage is the share of the template's words that match. Of
-findings that overlap, the one with the larger coverage (then the longer, then the first) stays.
+occurs. Alignment, from that match on: equal words next to a match match; then words that occur
+once in the gap and once in the template's gap are anchors, the longest increasing subsequence of
+them matches, and the gaps between them are aligned alike. Coverage is the share of the template's words that match. Of
+findings that overlap, the one with the larger coverage (then more words, then the closer, then
+the first) stays.
 
 Whole texts are scanned, whatever their length, each within its task; nothing is shuffled.
 Defined results: a null or empty text has no findings and no row; repeated rows have their
@@ -70,16 +71,19 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Matching (position in the text, position in the template), both ascending."""
-    found: list[tuple[int, int]] = []
-    todo = [(0, len(text), 0, len(template))]
+def align(text: list[str], template: list[str], at: tuple[int, int]) -> list[tuple[int, int]]:
+    """Matching (position in the text, position in the template), both ascending, around the match ``at``.
+
+    A gap is aligned from the sides where a match bounds it: the outer ends of the text are open.
+    """
+    found = [at]
+    todo = [(0, at[0], 0, at[1], False, True), (at[0] + 1, len(text), at[1] + 1, len(template), True, False)]
     while todo:
-        a, b, c, d = todo.pop()
-        while a < b and c < d and text[a] == template[c]:
+        a, b, c, d, left, right = todo.pop()
+        while left and a < b and c < d and text[a] == template[c]:
             found.append((a, c))
             a, c = a + 1, c + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:
+        while right and a < b and c < d and text[b - 1] == template[d - 1]:
             b, d = b - 1, d - 1
             found.append((b, d))
         if a == b or c == d:
@@ -90,8 +94,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         anchors = [once[k] for k in increasing([y for _, y in once])]
         if anchors:
             found += anchors
-            for (x, y), (x2, y2) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
-                todo.append((x + 1, x2, y + 1, y2))
+            for k, ((x, y), (x2, y2)) in enumerate(zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)])):
+                todo.append((x + 1, x2, y + 1, y2, left or k > 0, right or k < len(anchors)))
     return sorted(found)
 
 
@@ -118,20 +122,21 @@ class Scanner:
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         spans = [m.span() for m in WORD.finditer(lower)]
         words = [lower[a:b] for a, b in spans]
-        tried, found = set(), []
+        covered, found = set(), []
         for p, w in enumerate(words):
             for name, k in self.keys.get(w, ()):
                 template = self.words[name]
                 slack = len(template) // 4 + 2
                 lo, hi = max(0, p - k - slack), min(len(words), p + len(template) - k + slack)
-                if (name, lo, hi) in tried:
-                    continue
-                tried.add((name, lo, hi))
-                pairs = align(words[lo:hi], template)
-                if pairs and len(pairs) >= self.least * len(template):
-                    found.append((-len(pairs) / len(template), -len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1, name))
+                if (name, p, k) in covered:
+                    continue  # it was matched in an alignment around another place
+                pairs = align(words[lo:hi], template, (p - lo, k))
+                if len(pairs) >= self.least * len(template):
+                    covered.update((name, lo + x, y) for x, y in pairs)
+                    a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                    found.append((-len(pairs) / len(template), -len(pairs), b - a, a, b, name))
         kept: list[tuple[int, int, str, float]] = []
-        for coverage, _, a, b, name in sorted(found):
+        for coverage, _, _, a, b, name in sorted(found):
             if all(b <= x or y <= a for x, y, *_ in kept):
                 kept.append((a, b, name, -coverage))
         return [(name, coverage, spans[a][0], spans[b - 1][1]) for a, b, name, coverage in sorted(kept)]
@@ -143,8 +148,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, *f) for d, t in zip(b["doc_id"], b["text"]) if t for f in scanner.scan(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64", "license": object, "coverage": float, "start": "int64", "end": "int64"})
+            rows = [(d, *f) for d, t in zip(b["doc_id"].tolist(), b["text"].tolist()) if t for f in scanner.scan(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": object, "license": object, "coverage": float, "start": "int64", "end": "int64"})
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInPandas(run, "doc_id long, license string, coverage double, start long, end long"))
+    # ids pass through Python as text: pandas would make a nullable long a double
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(run, "doc_id string, license string, coverage double, start long, end long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from sitemill.session import materialise
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Ids pass through Python as text: pandas would make a nullable long a double.
+PIECES = "doc_id string, piece int, start long, length long, ids binary"
 #: Words whose ids a Python worker keeps; beyond it the memo starts anew. Results don't depend on it.
 MEMO_WORDS = 500_000
 #: One id in the vocabularies this is used with; where it isn't, or a word holds it, words are encoded one by one.
@@ -99,15 +100,14 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at:at + 256]
                 rows = []
-                for doc, ids in zip(part["doc_id"], _texts_ids(part["text"].tolist(), tokenizer_path)):
+                for doc, ids in zip(part["doc_id"].tolist(), _texts_ids(part["text"].tolist(), tokenizer_path)):
                     ids += tail
                     rows += [(doc, k, k * capacity, min(capacity, len(ids) // 4 - k * capacity), ids[4 * k * capacity:4 * (k + 1) * capacity])
                              for k in range(-(-len(ids) // (4 * capacity)))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": object})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class OpenSequences:

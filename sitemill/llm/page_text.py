@@ -211,7 +211,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 content = xxhash.xxh64_intdigest(page.text().encode("utf-8", "surrogatepass")) - (1 << 63)
                 rows.add((host, None, content))
                 rows.update((host, h, content) for _, h in page.hashes())
-            yield pd.DataFrame(list(rows), columns=["host", "hash", "content"]).astype({"host": object, "hash": "Int64"})
+            host, hash_, content = zip(*rows) if rows else ((), (), ())
+            yield pd.DataFrame({"host": pd.Series(host, dtype=object), "hash": pd.array(hash_, dtype="Int64"), "content": pd.array(content, dtype="int64")})
 
     found = materialise(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
                         .mapInPandas(containers, "host string, hash long, content long").distinct(), "containers")

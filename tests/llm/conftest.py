@@ -27,7 +27,7 @@ TEXTS = [None, "", " \n\t ", LONG, "one", "two words", "a b c d e f g", "a b c
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Awkward texts, each row twice, a null doc_id, and further columns whose names the operators use inside."""
-    rows = [(k, t, None, "s", None, "x", 1, None) for k, t in enumerate(TEXTS)] * 2 + [(None, "null id", "en", None, 3, None, None, None)]
+    rows = [(k, t, None, "s", None, "x", 1, None) for k, t in enumerate(TEXTS)] * 2 + [(None, "null id", "en", None, 3, None, None, None), (2**60 + 1, "large id", "en", None, 3, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int, rank double")
 
 
