@@ -21,7 +21,8 @@ from sitemill.functions import text as T
 # whole script element, whole style element, any tag, text run, lone '<'.
 TOKEN_RX = (
     r"<!--[\s\S]*?-->|<![^>]*>|(?i:<script[\s\S]*?</script>)|(?i:<style[\s\S]*?</style>)"
-    r"|</?[A-Za-z][^>]*>|[^<]+|<"
+    # a quoted attribute value may hold '>'
+    r"|</?[A-Za-z][^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*)*>|[^<]+|<"
 )
 # Elements that never have content, so they never open a nesting level.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]

@@ -177,14 +177,16 @@ def payload_targets(menu_rows: DataFrame, sites: DataFrame) -> DataFrame:
     m = menu_rows.join(sites.select("site", "domain", "media_base"), "site")
     sib = W.partitionBy("site", "parent_pos").orderBy("pos")
     m = m.withColumn("_rn", F.row_number().over(sib))
-    m = m.where(~(F.col("title").isin(HOME_TITLES) & (F.col("_rn") > 1)))
+    # an item without a title is no home item
+    home = F.coalesce(F.col("title").isin(HOME_TITLES), F.lit(False))
+    m = m.where(~(home & (F.col("_rn") > 1)))
     m = m.withColumn("_internal", U.is_internal(F.col("url"), F.col("domain"), U.Parts.of(F.col("url"))))
     u = F.col("url")
     target = (
         F.when(u == "#", F.lit("#"))
         .when(F.col("_internal"),
               F.when(U.is_file(u), U.media_url(F.col("media_base"), U.sanitize_filename(U.file_name(u))))
-              .when(F.col("title").isin(HOME_TITLES), F.lit("/"))
+              .when(home, F.lit("/"))
               .otherwise(F.col("url_slug")))
         .otherwise(u)
     )

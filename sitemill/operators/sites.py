@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from sitemill.functions import text as TX
 from sitemill.functions import urls as U
 from sitemill.operators import html as H
+from sitemill.operators.frontier import url_key
 from sitemill.sources import rules as R
 
 SITE_JSON_SCHEMA = "sites ARRAY<STRUCT<editor_url: STRING>>"
@@ -30,9 +31,12 @@ def parse_registry(registry: DataFrame) -> DataFrame:
 
 
 def home_pages(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """The page whose URL is the site's home URL, with the site context."""
-    reg = registry.select("site", "site_url", "domain", "media_base")
-    return pages.join(reg, pages["url"] == reg["site_url"], "inner")
+    """The page whose URL is the site's home URL, with the site context.
+
+    URLs are compared by crawl key, so a fragment or a missing last slash makes no difference.
+    """
+    reg = registry.select("site", "site_url", "domain", "media_base", url_key("site_url").alias("_home"))
+    return pages.join(reg, url_key(pages["url"]) == reg["_home"], "inner").drop("_home")
 
 
 def _marker(kind: str, key: str) -> Column:
@@ -68,7 +72,8 @@ def sites(pages: DataFrame, registry: DataFrame) -> DataFrame:
     reg = parse_registry(registry)
     # one home page per site even if the archive holds the home URL twice
     first = home_pages(pages.select("page_id", "url"), reg).groupBy("site").agg(F.min("page_id").alias("page_id"))
-    homes = H.partition_pages(pages.select("page_id", "html")).join(first, "page_id")
+    # the archive's HTML is cut down to the home pages before it is dealt out
+    homes = H.partition_pages(pages.select("page_id", "html").join(first, "page_id"))
     tok = H.tokens(homes.select("page_id", "html"), partitioned=True)
     fam = family_by_home(tok)
     out = reg.join(homes.select("site", F.col("page_id").alias("home_page_id")), "site", "left").join(

@@ -325,17 +325,17 @@ def _region_menu(spark, sf_dir) -> DataFrame:
     lvl1 = r.select(F.col("r_name").alias("site"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("level"),
                     F.lit(None).cast("bigint").alias("parent_pos"), F.lit("#").alias("url"), F.lit("Home").alias("title"))
     nat = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000).cast("bigint").alias("pos"),
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000).cast("bigint").alias("pos"),
         F.lit(1).cast("bigint").alias("level"), F.lit(None).cast("bigint").alias("parent_pos"),
         F.concat(F.lit("/nations/"), F.lower("n_name"), F.lit(".html")).alias("url"), F.col("n_name").alias("title"))
     cus = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000 + F.col("c_custkey") + 1).cast("bigint").alias("pos"),
-        F.lit(2).cast("bigint").alias("level"), ((F.col("n_nationkey") + 1) * 1000000).cast("bigint").alias("parent_pos"),
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000 + F.col("c_custkey") + 1).cast("bigint").alias("pos"),
+        F.lit(2).cast("bigint").alias("level"), ((F.col("n_nationkey") + 1) * 1000000000000).cast("bigint").alias("parent_pos"),
         F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("/files/"), F.col("c_name"), F.lit(".pdf")))
         .otherwise(F.concat(F.lit("/customers/"), F.col("c_custkey").cast("string"))).alias("url"),
         F.when(F.col("c_custkey") % 7 == 0, F.lit("Welcome")).otherwise(F.col("c_name")).alias("title"))
     seg = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000 + F.col("c_custkey") + 1).cast("bigint").alias("parent_pos"),
+        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000 + F.col("c_custkey") + 1).cast("bigint").alias("parent_pos"),
         F.col("c_mktsegment").alias("title")).distinct()
     seg = seg.select("site", (F.col("parent_pos") * 10 + 1).cast("bigint").alias("pos"), F.lit(3).cast("bigint").alias("level"),
                      "parent_pos", F.concat(F.lit("https://segments.example.test/"), F.lower("title")).alias("url"), "title")
@@ -388,9 +388,11 @@ def social_accounts(spark, sf_dir):
 @register("stream_page_intake", OR.STREAM_PAGE_INTAKE)
 def stream_page_intake(spark, sf_dir):
     """G1: pages taken in as a file stream, each URL once, facts per page."""
+    import uuid
+
     from sitemill.streaming.intake import intake
 
-    sink = intake(spark, sf_dir, file_glob="pages.parquet")
+    sink = intake(spark, sf_dir, uuid.uuid4().hex, file_glob="pages.parquet")
     return spark.read.parquet(sink).drop("batch_id")
 
 

@@ -32,7 +32,7 @@ from sitemill.operators import menus as MN
 from sitemill.operators import segment as SG
 from sitemill.operators import sites as S
 from sitemill.plans import outbox as O
-from sitemill.session import cut_lineage, ensure_checkpoint_dir
+from sitemill.session import ensure_checkpoint_dir, materialise
 from sitemill.sources import archive as A
 from sitemill.sources import fixtures as FX
 from sitemill.sources import legacy as LG
@@ -54,17 +54,18 @@ class Migration:
             ensure_checkpoint_dir(spark)
 
     def _cut(self, df: DataFrame) -> DataFrame:
-        """Reliable checkpoint (cluster checkpoint dir) for relations that loops or
-        several consumers reuse: lineage stays short and lost executors re-read
-        the checkpoint instead of recomputing upstream stages."""
-        return cut_lineage(df) if self.materialize else df
+        """A Parquet table in the shared checkpoint folder for relations that loops or
+        several consumers reuse: lineage stays short, lost executors re-read the
+        table, and each consumer reads only the columns it needs."""
+        return materialise(df, "relation") if self.materialize else df
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str) -> "Migration":
         ensure_checkpoint_dir(spark)
-        deco = cut_lineage(FX.decorated_pages(spark, sf_dir))
+        deco = materialise(FX.decorated_pages(spark, sf_dir), "archive")
+        homes = deco.where("r = 1").select(F.col("host").alias("site"), (F.col("page_id") % 25).alias("nation"))
         return cls(spark, deco, FX.site_registry(deco), A.read_table(spark, sf_dir, "documents"),
-                   LG.business_docs(spark, sf_dir))
+                   LG.site_docs(spark, sf_dir, homes))
 
     # -- sites and per-page context -------------------------------------------------
     @cached_property
@@ -74,9 +75,26 @@ class Migration:
     @cached_property
     def page_ctx(self) -> DataFrame:
         """(page_id, url, site, site_url, domain, media_base, family, content_kind, content_key) for known families."""
-        p = self.pages.select("page_id", "url", U.host("url").alias("site"))
+        p = self.pages.select("page_id", "url", U.host("url").alias("host"))
         s = self.sites.where(F.col("family") != "X").drop("home_page_id")
-        return p.join(s, "site")
+        return p.join(self.hosts, "host").drop("host").join(s, "site")
+
+    @cached_property
+    def hosts(self) -> DataFrame:
+        """(host, site): the site that each host of the archive belongs to.
+
+        A host is a site's own, with or without ``www.``; else it belongs to the site
+        that alone has its registered domain; hosts of no site are left out.
+        """
+        known = self.sites.select("site", "domain")
+        bare = lambda c: F.regexp_replace(c, r"^www\.", "")
+        found = self.pages.select(U.host("url").alias("host")).distinct().withColumn("host_domain", U.registered_domain(F.col("host")))
+        exact = known.select(F.col("site").alias("exact"))
+        plain = known.groupBy(bare("site").alias("bare")).agg(F.min("site").alias("plain"))
+        alone = known.groupBy(F.col("domain").alias("host_domain")).agg(F.min("site").alias("only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+        return (found.join(exact, found["host"] == exact["exact"], "left")
+                .join(plain, bare(found["host"]) == plain["bare"], "left").join(alone, "host_domain", "left")
+                .select("host", F.coalesce("exact", "plain", "only").alias("site")).where("site IS NOT NULL"))
 
     # -- the token relation ------------------------------------------------------------
     @cached_property
@@ -94,8 +112,9 @@ class Migration:
     def home_tokens(self) -> DataFrame:
         homes = self.sites.where(F.col("family") != "X").select(
             F.col("home_page_id").alias("page_id"), *CONTEXT)
-        src = H.partition_pages(self.pages.select("page_id", "html")).join(homes, "page_id")
-        return H.with_extents(H.tokens(src, keep=CONTEXT, partitioned=True))
+        # few pages of the archive: cut down first, tokenised once for menus, stylesheets and logos
+        src = H.partition_pages(self.pages.select("page_id", "html").join(homes, "page_id"))
+        return self._cut(H.with_extents(H.tokens(src, keep=CONTEXT, partitioned=True)))
 
     # -- site-level relations ---------------------------------------------------------
     @cached_property
@@ -201,31 +220,29 @@ class Migration:
         follow_val = F.when(F.contains(F.col("stem"), F.lit("-")), F.col("stem")).otherwise(
             F.array_join(F.coalesce(F.col("words"), F.array().cast("array<string>")), "-"))
         val = F.when(F.col("action") == "follow", follow_val).otherwise(F.col("new_value"))
-        return self._cut(d.where(F.col("action").isin("file", "mapped", "follow")).select("page_id", "pos", "pass", "tag", val.alias("value")))
+        return self._cut(d.where(F.col("action").isin("file", "mapped", "follow")).select("page_id", "pos", "pass", "tag", val.alias("value"), (F.col("action") == "file").alias("is_file")))
 
     @cached_property
     def rewritten_tokens(self) -> DataFrame:
         """H8 + H9 + H7: content tokens with link values rewritten, library links
         pointed at articles, removed elements dropped."""
         # one value per element: an element seen by both passes keeps its first (href) pass
-        first = self.link_values.groupBy("page_id", "pos").agg(F.min_by("value", "pass").alias("value"))
+        first = self.link_values.groupBy("page_id", "pos").agg(F.min_by(F.struct("value", "is_file"), "pass").alias("v"))
         per_page = first.groupBy("page_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_vals"))
+            F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("_vals"))
         t = self.tokens.where(F.col("in_content") & ~F.col("removed")).join(per_page, "page_id", "left")
-        newv = F.element_at(F.col("_vals"), F.col("pos"))
-        attr = F.when(F.col("tag") == "a", "href").otherwise("src")
-        t = t.withColumn("_new", F.when(F.col("_vals").isNotNull(), newv))
-        href_now = F.when((F.col("tag") == "a") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("href"))
-        lib = F.coalesce(F.contains(href_now, F.lit("library")), F.lit(False))
+        new = F.when(F.col("_vals").isNotNull(), F.element_at(F.col("_vals"), F.col("pos")))
+        t = t.withColumn("_new", new["value"]).withColumn("_src", F.coalesce(~(F.col("tag") == "a") & new["is_file"], F.lit(False)))
+        # a file goes to an image's src; a page link always becomes href, and an image's src stays
+        href = F.when(F.col("_new").isNotNull() & ~F.col("_src"), F.col("_new"))
+        lib = F.coalesce(F.contains(F.coalesce(href, F.col("href")), F.lit("library")), F.lit(False)) & (F.col("kind") == "open")
+        t = t.withColumn("_href", F.when(lib, F.lit("articles")).otherwise(href))
         esc = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
-        raw = F.col("raw")
-        raw = F.when(F.col("_new").isNotNull() & (attr == "href") & ~lib,
-                     F.regexp_replace(raw, H._attr_rx("href"), F.concat(F.lit(' href="'), esc(F.col("_new")), F.lit('"'))))\
-            .when(F.col("_new").isNotNull() & (attr == "src"),
-                  F.regexp_replace(raw, H._attr_rx("src"), F.concat(F.lit(' src="'), esc(F.col("_new")), F.lit('"'))))\
-            .otherwise(raw)
-        t = t.withColumn("out", raw)
-        t = t.withColumn("out", F.when(lib & (F.col("kind") == "open"), F.regexp_replace(F.col("out"), H._attr_rx("href"), ' href="articles"')).otherwise(F.col("out")))
+        with_src = F.when(F.col("_src"), F.regexp_replace("raw", H._attr_rx("src"), F.concat(F.lit(' src="'), esc(F.col("_new")), F.lit('"')))).otherwise(F.col("raw"))
+        t = t.withColumn("out", with_src)
+        t = t.withColumn("out", F.when(F.col("_href").isNull(), F.col("out"))
+                         .when(F.col("href").isNotNull(), F.regexp_replace("out", H._attr_rx("href"), F.concat(F.lit(' href="'), esc(F.col("_href")), F.lit('"'))))
+                         .otherwise(F.concat(F.regexp_replace("out", r"\s*/?>$", ""), F.lit(' href="'), F.col("_href"), F.lit('">'))))
         return t.select("page_id", "pos", "out")
 
     @cached_property
@@ -258,13 +275,11 @@ class Migration:
 
     @cached_property
     def legacy(self) -> DataFrame | None:
-        """Legacy business documents of family-O sites (the tool fetched them only for O)."""
+        """Legacy business documents of family-O sites (the tool fetched them only for O); a site may have several."""
         if self.legacy_docs is None:
             return None
-        o = self.sites.where(F.col("family") == "O").select(
-            "site", F.concat(F.lit("nation-"), (F.col("home_page_id") % 25).cast("string"), F.lit("-0")).alias("_doc"))
-        docs = self.legacy_docs.select(F.col("site").alias("_doc"), "doc_json")
-        return B.parse_docs(o.join(docs, "_doc").select("site", "doc_json"))
+        o = self.sites.where(F.col("family") == "O").select("site")
+        return B.parse_docs(o.join(self.legacy_docs.select("site", "doc_json"), "site"))
 
     @cached_property
     def outbox(self) -> DataFrame:

@@ -632,17 +632,17 @@ rows AS (
   SELECT r_name AS site, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS level, CAST(NULL AS BIGINT) AS parent_pos,
          '#' AS url, 'Home' AS title FROM region
   UNION ALL
-  SELECT r.r_name, CAST((n.n_nationkey + 1) * 1000000 AS BIGINT), 1, NULL,
+  SELECT r.r_name, CAST((n.n_nationkey + 1) * 1000000000000 AS BIGINT), 1, NULL,
          '/nations/' || lower(n.n_name) || '.html', n.n_name
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
   UNION ALL
-  SELECT r_name, CAST((n_nationkey + 1) * 1000000 + c_custkey + 1 AS BIGINT), 2, CAST((n_nationkey + 1) * 1000000 AS BIGINT),
+  SELECT r_name, CAST((n_nationkey + 1) * 1000000000000 + c_custkey + 1 AS BIGINT), 2, CAST((n_nationkey + 1) * 1000000000000 AS BIGINT),
          CASE WHEN c_custkey % 10 = 0 THEN '/files/' || c_name || '.pdf' ELSE '/customers/' || CAST(c_custkey AS VARCHAR) END,
          CASE WHEN c_custkey % 7 = 0 THEN 'Welcome' ELSE c_name END
   FROM cx
   UNION ALL
-  SELECT DISTINCT r_name, CAST(((n_nationkey + 1) * 1000000 + c_custkey + 1) * 10 + 1 AS BIGINT), 3,
-         CAST((n_nationkey + 1) * 1000000 + c_custkey + 1 AS BIGINT),
+  SELECT DISTINCT r_name, CAST(((n_nationkey + 1) * 1000000000000 + c_custkey + 1) * 10 + 1 AS BIGINT), 3,
+         CAST((n_nationkey + 1) * 1000000000000 + c_custkey + 1 AS BIGINT),
          'https://segments.example.test/' || lower(c_mktsegment), c_mktsegment
   FROM cx
 ),
@@ -844,29 +844,32 @@ vals AS (
   SELECT d.page_id, d.pos, d.pass,
          CASE WHEN d.action = 'file' THEN d.media_base || d.file_name
               WHEN d.action = 'mapped' THEN {S.last_seg('d.map_slug', '/')}
-              ELSE (CASE WHEN contains(d.stem, '-') THEN d.stem ELSE array_to_string(coalesce(sw.words, []::VARCHAR[]), '-') END) END AS value
+              ELSE (CASE WHEN contains(d.stem, '-') THEN d.stem ELSE array_to_string(coalesce(sw.words, []::VARCHAR[]), '-') END) END AS value,
+         d.action = 'file' AS is_file
   FROM dv d LEFT JOIN seg_words sw ON sw.slug = d.stem WHERE d.action IN ('file', 'mapped', 'follow')
 ),
-v1 AS (SELECT page_id, pos, arg_min(value, pass) AS value FROM vals GROUP BY page_id, pos),
+v1 AS (SELECT page_id, pos, arg_min(value, pass) AS value, arg_min(is_file, pass) AS is_file FROM vals GROUP BY page_id, pos),
 ptr AS (SELECT *, {covered(REMOVAL_MARKER)} AS removed FROM ptok),
 rt AS (
-  SELECT t.page_id, t.pos, t.kind, t.tag, t.raw, t.href, v1.value AS new, t.removed, t.in_content
+  SELECT t.page_id, t.pos, t.kind, t.tag, t.raw, t.href, v1.value AS new, coalesce(t.tag <> 'a' AND v1.is_file, false) AS to_src, t.removed, t.in_content
   FROM ptr t LEFT JOIN v1 ON v1.page_id = t.page_id AND v1.pos = t.pos
 ),
 rt2 AS (
-  SELECT *, coalesce(contains(CASE WHEN tag = 'a' AND new IS NOT NULL THEN new ELSE href END, 'library'), false) AS lib,
-         CASE WHEN tag = 'a' THEN 'href' ELSE 'src' END AS attr
+  SELECT *, CASE WHEN NOT to_src THEN new END AS new_href,
+         coalesce(contains(coalesce(CASE WHEN NOT to_src THEN new END, href), 'library'), false) AND kind = 'open' AS lib
   FROM rt WHERE in_content AND NOT removed AND page_id IN (SELECT page_id FROM processed)
 ),
 rt3 AS (
-  SELECT *, CASE WHEN new IS NOT NULL AND attr = 'href' AND NOT lib
-                   THEN regexp_replace(raw, {_HREF_RX}, ' href="' || replace(new, '\\', '\\\\') || '"', 'g')
-                 WHEN new IS NOT NULL AND attr = 'src'
-                   THEN regexp_replace(raw, {_SRC_RX}, ' src="' || replace(new, '\\', '\\\\') || '"', 'g')
-                 ELSE raw END AS out0
+  SELECT *, CASE WHEN lib THEN 'articles' ELSE new_href END AS final_href,
+         CASE WHEN to_src THEN regexp_replace(raw, {_SRC_RX}, ' src="' || replace(new, '\\', '\\\\') || '"', 'g') ELSE raw END AS out0
   FROM rt2
 ),
-rt4 AS (SELECT *, CASE WHEN lib AND kind = 'open' THEN regexp_replace(out0, {_HREF_RX}, ' href="articles"', 'g') ELSE out0 END AS out FROM rt3)
+rt4 AS (
+  SELECT *, CASE WHEN final_href IS NULL THEN out0
+                 WHEN href IS NOT NULL THEN regexp_replace(out0, {_HREF_RX}, ' href="' || replace(final_href, '\\', '\\\\') || '"', 'g')
+                 ELSE regexp_replace(out0, '\\s*/?>$', '') || ' href="' || final_href || '">' END AS out
+  FROM rt3
+)
 SELECT page_id, string_agg(out, '' ORDER BY pos) AS content FROM rt4 GROUP BY page_id
 """
 

@@ -51,6 +51,7 @@ LOGOS = {
 KEYWORDS = "alpha,bravo,charlie,delta,echo,foxtrot,golf,hotel,india,juliet"
 BODY_EXTRA = (
     '<img src="/img/a b_c.png"><img src="/img/-logo-.gif">'
+    '<img src="/art/logo.svg"><img src="/thumb.php?id=3"><img alt="a > b" src="/img/quoted.png">'
     '<a href="/library/x">lib</a><a href="/Library/y.pdf">Lib pdf</a><a href="#top">top</a>'
     '<a href="mailto:info@example.test">mail</a><a href="/articles/z">article</a>'
     '<a href="/implantfaq2.html/">faq</a>'

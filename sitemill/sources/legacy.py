@@ -46,8 +46,14 @@ def location_columns(k, name, nation_name):
     ]
 
 
+def site_docs(spark: SparkSession, sf_dir: str, homes: DataFrame) -> DataFrame:
+    """``(site, doc_json)`` for ``homes(site, nation)``: every document of the site's nation, under the site's own key."""
+    docs = business_docs(spark, sf_dir).select("nation", "doc_json")
+    return homes.join(docs, "nation").select("site", "doc_json")
+
+
 def business_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(site, doc_json)``: one legacy document per nation and key block."""
+    """``(nation, site, doc_json)``: one legacy document per nation and key block."""
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation")
     j = s.join(n, s["s_nationkey"] == n["n_nationkey"]).withColumn("block", F.floor(F.col("s_suppkey") / DOC_BLOCK))
@@ -65,6 +71,7 @@ def business_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.struct(F.struct(F.col("locations").alias("locations"), social.alias("socialMedia")).alias("data"))
     return locs.select(
+        F.col("n_nationkey").alias("nation"),
         F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string"), F.lit("-"), F.col("block").cast("string")).alias("site"),
         F.to_json(doc).alias("doc_json"),
     )

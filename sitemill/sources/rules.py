@@ -2,12 +2,10 @@
 
 All values here are fixed values of the migrated tool.  They are kept as
 Python rows and turned into Column expressions (``CASE`` chains) by the
-operators, so matching a token against a rule needs no join; ``frame``
-exposes any of them as a DataFrame for inspection or explicit joins.
+operators, so matching a token against a rule needs no join.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 
 # (family, priority, marker kind, marker key): the first family whose marker
 # appears on the home page wins; the marker is also the main-content element.
@@ -74,19 +72,3 @@ SOCIAL_MEDIA = [
 # Day numbers of the legacy hours string (L3).
 DAY_NAMES = [("1", "sunday"), ("2", "monday"), ("3", "tuesday"), ("4", "wednesday"),
              ("5", "thursday"), ("6", "friday"), ("7", "saturday")]
-
-
-def frame(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
-
-
-def family_rules(spark: SparkSession) -> DataFrame:
-    return frame(spark, FAMILY_MARKERS, ["family", "priority", "kind", "key"])
-
-
-def aliases(spark: SparkSession) -> DataFrame:
-    return frame(spark, COMPONENT_ALIASES, ["component", "alias"])
-
-
-def social_dimension(spark: SparkSession) -> DataFrame:
-    return frame(spark, SOCIAL_MEDIA, ["token", "prefix", "label", "icon"])

@@ -1,23 +1,25 @@
 """Streaming page intake (G1).
 
-Fetched pages arrive as parquet files.  Each page URL is handled once
-(``dropDuplicates(['url'])`` keeps the seen URLs as streaming state; with an
-arrival-time column, ``dropDuplicatesWithinWatermark`` bounds it instead).
-Per micro-batch, ``foreachBatch`` runs the batch operators that need
-windows over token positions (not allowed on a stream): tokens, SEO
-metadata and link counts, appended to a parquet sink.  Sink and streaming
-state live under the cluster's checkpoint directory (shared storage), so a
-restarted query resumes exactly where it stopped.
+Fetched pages arrive as parquet files.  Each page is handled once, by its URL or
+by its crawl key (URL without fragment and last slash): ``dropDuplicates`` keeps
+the seen keys as streaming state; with an arrival-time column,
+``dropDuplicatesWithinWatermark`` bounds that state instead.  Per micro-batch,
+``foreachBatch`` runs the batch operators that need windows over token
+positions (not allowed on a stream): tokens, SEO metadata and link counts.
+A batch overwrites its own folder of the sink, so a batch that is tried again
+leaves its rows once.  Sink and streaming state live under the cluster's
+checkpoint directory (shared storage) and are named by the caller's ``run_id``,
+so a restarted query resumes where it stopped.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitemill.operators import html as H
 from sitemill.operators import sites as S
+from sitemill.operators.frontier import url_key
 from sitemill.session import ensure_checkpoint_dir
 from sitemill.sources.archive import PAGES_SCHEMA
 
@@ -32,21 +34,31 @@ def page_facts(batch: DataFrame) -> DataFrame:
     return batch.select("page_id", "url").join(counts, "page_id").join(S.seo(tok), "page_id")
 
 
-def intake(spark: SparkSession, source_dir: str, file_glob: str = "*.parquet",
-           max_files_per_trigger: int | None = None, run_id: str | None = None) -> str:
-    """Run the intake stream to completion over what is available now; return the sink path."""
+def write_batch(batch: DataFrame, batch_id: int, sink: str) -> None:
+    """One micro-batch into its own folder, whole or again: the same batch twice is the batch once."""
+    page_facts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+
+def intake(spark: SparkSession, source_dir: str, run_id: str, file_glob: str = "*.parquet",
+           max_files_per_trigger: int | None = None, arrival: tuple[str, str] | None = None, crawl_key: bool = False) -> str:
+    """Run the intake stream to completion over what is available now; return the sink path.
+
+    ``arrival``: a timestamp column of the source and how late a repeated page may come.
+    ``crawl_key``: whether URLs that differ in fragment or last slash are one page; which of them stays is not defined.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = run_id or uuid.uuid4().hex
-    sink, state = f"{base}/intake-{run}/out", f"{base}/intake-{run}/state"
-    reader = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", file_glob)
+    sink, state = f"{base}/intake-{run_id}/out", f"{base}/intake-{run_id}/state"
+    schema = PAGES_SCHEMA if arrival is None else T.StructType([*PAGES_SCHEMA.fields, T.StructField(arrival[0], T.TimestampType())])
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir).dropDuplicates(["url"])
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        page_facts(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", state)
+    stream = reader.parquet(source_dir).withColumn("_key", url_key("url") if crawl_key else F.col("url"))
+    if arrival is None:
+        stream = stream.dropDuplicates(["_key"])
+    else:
+        stream = stream.withWatermark(*arrival).dropDuplicatesWithinWatermark(["_key"])
+    stream = stream.drop("_key")
+    q = (stream.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, sink)).option("checkpointLocation", state)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink

@@ -2,11 +2,12 @@
 import glob
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from sitemill.sources import archive as A
-from sitemill.streaming.intake import intake
+from sitemill.streaming.intake import intake, write_batch
 from conftest import SF_SMALL
 
 
@@ -24,10 +25,30 @@ def test_duplicates_across_batches_are_dropped(spark):
     for i, d in enumerate(files):
         for j, f in enumerate(sorted(glob.glob(f"{d}/*.parquet"))):
             shutil.copy(f, f"{flat}/part-{i}-{j}.parquet")
-    sink = intake(spark, flat, file_glob="*.parquet", max_files_per_trigger=1)
+    sink = intake(spark, flat, uuid.uuid4().hex, file_glob="*.parquet", max_files_per_trigger=1)
     out = spark.read.parquet(sink)
     assert out.count() == n
     assert out.select("url").distinct().count() == n
     assert out.select("batch_id").distinct().count() == 2
     # repeated URLs keep the first delivery's page ids
     assert out.where(F.col("page_id") >= 1000).count() == n - 30
+
+
+def test_a_batch_tried_again_is_there_once(spark):
+    sink = tempfile.mkdtemp(prefix="sitemill-stream-sink-", dir="/tmp")
+    pages = A.read_pages(spark, SF_SMALL)
+    for _ in range(2):
+        write_batch(pages.where(F.col("page_id") < 10), 0, sink)
+    write_batch(pages.where(F.col("page_id") >= 10), 1, sink)
+    out = spark.read.parquet(sink)
+    assert out.count() == pages.count() == out.select("page_id").distinct().count()
+
+
+def test_watermark_bounds_the_seen_pages(spark):
+    src = tempfile.mkdtemp(prefix="sitemill-stream-late-", dir="/tmp")
+    pages = A.read_pages(spark, SF_SMALL).withColumn("arrived", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    again = pages.withColumn("url", F.concat("url", F.lit("#again")))
+    pages.unionByName(again).coalesce(1).write.mode("overwrite").parquet(src)
+    out = spark.read.parquet(intake(spark, src, uuid.uuid4().hex, file_glob="*.parquet", arrival=("arrived", "1 hour"), crawl_key=True))
+    keys = pages.select(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", "").alias("k")).distinct().count()
+    assert out.count() == keys
