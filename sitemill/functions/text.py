@@ -15,19 +15,37 @@ FOLD_TO = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyy"
 KEYWORD_PHRASES = 8
 KEYWORD_CHARS = 299
 DESCRIPTION_CHARS = 495
-# Entities decoded in attribute values and text ('&amp;' last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Named character references decoded in attribute values and text ('&amp;' last, so nothing is decoded twice).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"),
+            ("&trade;", "\u2122"), ("&middot;", "\u00b7"), ("&bull;", "\u2022"), ("&hellip;", "\u2026"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"),
+            ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"),
+            ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&agrave;", "\u00e0"), ("&ccedil;", "\u00e7"), ("&ntilde;", "\u00f1"), ("&auml;", "\u00e4"),
+            ("&ouml;", "\u00f6"), ("&uuml;", "\u00fc"), ("&szlig;", "\u00df"), ("&amp;", "&")]
+# Numeric references, decimal and hexadecimal.
+NUMERIC_RX = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
 def _c(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def _numeric(ref: Column) -> Column:
+    """The character of a numeric reference; what is no character becomes U+FFFD."""
+    hexadecimal = F.lower(F.substring(ref, 3, 1)) == "x"
+    code = F.when(hexadecimal, F.conv(F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "([0-9]+)", 1)).cast("long")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")), "UTF-32")
+
+
 def decode_entities(c) -> Column:
-    out = _c(c)
+    """Character references: numeric ones and the common names."""
+    text = _c(c)
+    refs = F.regexp_extract_all(text, F.lit(NUMERIC_RX), 0)
+    pieces = F.transform(F.split(text, NUMERIC_RX, -1), lambda p, i: F.concat(p, F.when(i < F.size(refs), _numeric(F.get(refs, i))).otherwise(F.lit(""))))
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(pieces, "")).otherwise(text)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def slugify(text) -> Column:

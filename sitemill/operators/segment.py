@@ -1,6 +1,7 @@
 """Word segmentation of run-together page names.
 
-T6 learns a Zipf cost per word from the ``documents`` corpus:
+T6 learns a Zipf cost per word from the ``documents`` corpus, its letters folded
+to ASCII as in slugs:
 ``cost = ln(rank * ln(N))`` with rank by frequency (ties by word) and N the
 vocabulary size.  The global rank never sorts the vocabulary in one
 task (see ``word_costs``).
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sitemill.functions.text import FOLD_FROM, FOLD_TO
+
 WORD_RX = "[a-z]+"
 BUCKET_CHARS = 3
 UNKNOWN_COST = 1.0e4
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD_RX), 0)).alias("word"))
+    words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.translate(F.col("text"), FOLD_FROM, FOLD_TO)), F.lit(WORD_RX), 0)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 

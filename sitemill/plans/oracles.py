@@ -517,7 +517,7 @@ SELECT page_id, CAST(min(round) AS INTEGER) AS round FROM reach GROUP BY page_id
 # T6 word costs
 # ---------------------------------------------------------------------------
 WORD_COSTS = f"""
-WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{SG.WORD_RX}')) AS word FROM documents),
+WITH w AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS word_rank, count(*) OVER () AS vocab FROM c)
 SELECT word, n, CAST(word_rank AS BIGINT) AS word_rank, ln(word_rank * ln(vocab)) AS cost FROM r
@@ -707,7 +707,7 @@ FROM g JOIN (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY p
 # ---------------------------------------------------------------------------
 SEGMENTED_SLUGS = f"""
 WITH RECURSIVE
-w AS (SELECT unnest(regexp_extract_all(lower(text), '{SG.WORD_RX}')) AS word FROM documents),
+w AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM c),
 maxlen AS (SELECT max(length(word)) AS m FROM wc),
@@ -753,7 +753,7 @@ FROM sp LEFT JOIN seg ON seg.part = sp.part GROUP BY sp.slug
 def segmentation_ctes(slugs: str) -> str:
     """CTEs ``seg_words(slug, words)`` for the hyphen-free slugs of CTE ``slugs(slug)``."""
     return f"""
-sw AS (SELECT unnest(regexp_extract_all(lower(text), '{SG.WORD_RX}')) AS word FROM documents),
+sw AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
 sc AS (SELECT word, count(*) AS n FROM sw GROUP BY word),
 wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM sc),
 maxlen AS (SELECT max(length(word)) AS m FROM wc),

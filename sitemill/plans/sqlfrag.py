@@ -92,7 +92,12 @@ def is_article(x):
 
 
 def decode_entities(x):
-    out = x
+    code = (f"(CASE WHEN lower(substring(r, 3, 1)) = 'x' THEN CAST('0x' || regexp_extract(r, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
+            "ELSE CAST(regexp_extract(r, '([0-9]+)', 1) AS BIGINT) END)")
+    char = f"(CASE WHEN ({code} > 0 AND {code} < 55296) OR ({code} > 57343 AND {code} <= 1114111) THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END)"
+    pieces = (f"list_transform(list_zip(string_split_regex({x}, {q(TX.NUMERIC_RX)}), "
+              f"list_append(list_transform(regexp_extract_all({x}, {q(TX.NUMERIC_RX)}), lambda r: {char}), '')), lambda z: z[1] || z[2])")
+    out = f"(CASE WHEN contains({x}, '&#') THEN array_to_string({pieces}, '') ELSE {x} END)"
     for ent, ch in TX.ENTITIES:
         out = f"replace({out}, {q(ent)}, {q(ch)})"
     return out

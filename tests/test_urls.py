@@ -93,3 +93,10 @@ def test_text_rules(spark):
     kw = ",".join("abcdefghij")
     assert one(spark, TX.truncate_keywords, [kw, "x" * 400]) == ["a,b,c,d,e,f,g,h", "x" * 299]
     assert one(spark, TX.decode_entities, ["a &amp;lt; &lt;b&gt; &quot;c&quot; &#39;"]) == ["a &lt; <b> \"c\" '"]
+
+
+def test_character_references(spark):
+    from sitemill.functions import text as T
+
+    got = one(spark, T.decode_entities, ["Patient&#8217;s&nbsp;Info", "a &amp;#39; b", "&#x1F600;&#X41;", "&#0;&#xD800;&#1114112;x", "no refs", "&lt;b&gt; &amp;lt;", "&# &#; &#12", "caf&eacute; &#233;"])
+    assert got == ["Patient\u2019s\u00a0Info", "a &#39; b", "\U0001F600A", "\ufffd\ufffd\ufffdx", "no refs", "<b> &lt;", "&# &#; &#12", "caf\u00e9 \u00e9"]
