@@ -317,6 +317,18 @@ def outbox_counts(spark, sf_dir):
     return ob.groupBy("site_id", "method", "endpoint").agg(F.count("*").alias("n"))
 
 
+@register("payload_bodies", OR.PAYLOAD_BODIES)
+def payload_bodies(spark, sf_dir):
+    """Request bodies of menu files, stylesheets, menu redirects, hours and social accounts."""
+    m, legacy = _mig(spark, sf_dir), _legacy(spark, sf_dir)
+    frames = [O.file_payloads(MN.menu_files(m.menu, m.sites)), O.css_payloads(m.stylesheets), O.redirect_payloads(m.menu_redirects),
+              O.hours_payloads(B.hours_sets(B.hours_days(legacy))), O.social_payloads(B.social(legacy))]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _region_menu(spark, sf_dir) -> DataFrame:
     """A three-level menu per region: nations under the region, customers under nations."""
     r = A.read_table(spark, sf_dir, "region")

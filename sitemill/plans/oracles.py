@@ -597,6 +597,21 @@ SELECT site, sm_idx, CASE token {_social_cases} END AS url, CASE token {_social_
 FROM sm WHERE (CASE token {_social_labels} END) IS NOT NULL
 """
 
+_time = lambda n: f"'time{n}_close', '', 'time{n}_open', ''"
+PAYLOAD_BODIES = f"""
+SELECT site AS site_id, 'POST' AS method, '/files/' AS endpoint, to_json({{'filename': file_name, 'url': url}}) AS body FROM ({MENU_FILES})
+UNION ALL
+SELECT DISTINCT site, 'PUT', '', to_json({{'headerTags': ''}}) FROM ({STYLESHEETS})
+UNION ALL
+SELECT site, 'POST', '/page_redirects/', to_json({{'fromUrl': from_url, 'matchType': '0', 'toUrl': to_url, 'type': '0'}}) FROM ({REDIRECTS})
+UNION ALL
+SELECT site, 'POST', '/hours/', '{{"days":{{' || string_agg('"' || day || '":' || json_object('day_name', day_name, 'open', 'true',
+         'time1_close', time1_close, 'time1_open', time1_open, {_time(2)}, {_time(3)}), ',' ORDER BY day) || '}},"name":' || to_json(left(loc_name, 40) || ' Hours') || '}}'
+FROM ({WEEKLY_HOURS}) GROUP BY site, loc_idx, loc_name
+UNION ALL
+SELECT site, 'POST', '/socialmedia/', to_json({{'iconClass': iconClass, 'label': label, 'url': url}}) FROM ({SOCIAL_ACCOUNTS})
+"""
+
 _VIS = "{'desktop': 'true', 'mobile': 'true', 'tablet': 'true'}"
 _LOGO_ALIASES = ", ".join(f"('{a}')" for c, a in R.COMPONENT_ALIASES if c == "logo")
 _LOC_ALIASES = ", ".join(f"('{a}')" for c, a in R.COMPONENT_ALIASES if c == "locations")
