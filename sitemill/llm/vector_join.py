@@ -127,7 +127,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK,
     summed = counts.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     named = (classes.select("class", "id", "n").join(summed, "class", "left").join(roots.select(F.col("id").alias("class"), "root"), "class", "left")
              .withColumn("root", F.coalesce("root", "class")).withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("n") - 1))
-    low = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    # written, so that the join deals out its rows itself and a large component can be split
+    low = materialise(named.groupBy("root").agg(F.min("id").alias("component_id")), "low")
     answer = materialise(named.join(low, "root").select("class", "n_links", "component_id"), "answers")
     linked = members.join(answer, "class").select("vec_id", "n_links", "component_id")
     alone = _vectors(vectors).where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

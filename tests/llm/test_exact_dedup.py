@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_MID
 from sitemill.llm import exact_dedup as X
 
 
@@ -64,3 +65,13 @@ def test_stage_keeps_one_of_equal_rows(spark, odd_docs):
     want = sorted((str(i), n) for i, _, _, kept, n in brute(rows) if kept)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     assert sorted((str(r.doc_id), norm(r.text)) for r in left.collect()) == want
+
+
+def test_matches_sql(spark):
+    from compare import compare, duck
+    from sitemill.llm.queries import LLM_ORACLES, LLM_QUERIES
+
+    con = duck(SF_MID)
+    for name, sql in LLM_ORACLES.items():
+        info = compare(spark, SF_MID, name, LLM_QUERIES[name], sql, con)
+        assert info["ok"], info
