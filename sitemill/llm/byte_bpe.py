@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitemill.llm.slices import slices
+
 #: A boundary counts only this far from a chunk's end: the pattern looks no further ahead than a contraction.
 AHEAD = 4
 _encodings: dict = {}
@@ -100,8 +102,8 @@ def _encoded(pieces: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(ranks_path, pattern)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256].astype({"row": object, "doc_id": object})
+            for part in slices(b):
+                part = part.astype({"row": object, "doc_id": object})
                 part["ids"] = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in part.pop("text")]
                 yield part
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
 from sitemill.llm.shingles import mix
+from sitemill.llm.slices import slices
 from sitemill.session import materialise
 
 BUCKETS = 1 << 16
@@ -87,8 +88,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for at in range(0, len(b), 256):
-                total += np.bincount(ngram_buckets(b["text"].iloc[at:at + 256].tolist())[1], minlength=BUCKETS)
+            for part in slices(b):
+                total += np.bincount(ngram_buckets(part["text"].tolist())[1], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
 
@@ -112,8 +113,8 @@ def weigher(ratio: np.ndarray):
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             parts = []
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at:at + 256].fillna("").tolist()
+            for part in slices(texts):
+                part = part.fillna("").tolist()
                 owner, bucket = ngram_buckets(part)
                 parts.append(pd.DataFrame({"n_grams": np.bincount(owner, minlength=len(part)), "log_weight": np.bincount(owner, ratio[bucket], len(part))}))
             yield pd.concat(parts) if parts else pd.DataFrame({"n_grams": [], "log_weight": []})

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.graph import components
 from sitemill.llm.shingles import set_id, shingle_sets
+from sitemill.llm.slices import slices
 from sitemill.session import materialise
 
 #: Ids up to this number go to every task (8 MB of longs); beyond it the semi join is shuffled.
@@ -50,8 +51,7 @@ def sets(docs: DataFrame, k: int, share: float = 1.0) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256]
+            for part in slices(b):
                 found = shingle_sets(part["text"].tolist(), k)
                 yield pd.DataFrame({"doc_id": pd.Series(part["doc_id"].tolist(), dtype=object), "sid": [set_id(s) for s in found], "n": [len(s) for s in found],
                                     "shingles": [s[:s.searchsorted(top, "right")].view("int64") for s in found]})

@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitemill.llm.slices import slices
 from sitemill.session import materialise
 
 #: Ids pass through Python as text: pandas would make a nullable long a double.
 PIECES = "doc_id string, piece int, start long, length long, ids binary"
-#: Words whose ids a Python worker keeps; beyond it the memo starts anew. Results don't depend on it.
-MEMO_WORDS = 500_000
+#: A Python worker keeps the ids of the words seen since it last had so many, and of as many before. Results don't depend on it.
+MEMO_WORDS = 150_000
 #: One id in the vocabularies this is used with; where it isn't, or a word holds it, words are encoded one by one.
 MARK = "\u2764"
 #: ASCII punctuation that ends a word. The apostrophe is left out: contractions are tokens of their own.
@@ -70,21 +71,22 @@ def _texts_ids(texts: list[str], path: str) -> list[bytes]:
     are those of its words (runs without ASCII white space) in order; and it splits between
     a letter and punctuation, so a word's ids are those of its stem and of the punctuation that ends it.
     """
-    whole, parts = _memo.setdefault(path, ({}, {}))
+    young, old = _memo.setdefault(path, ({}, {}))
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    new = set().union(*words).difference(whole)
+    new = set().union(*words).difference(young)
+    young.update((w, old[w]) for w in new.intersection(old))
     split = {}
-    for w in new:
+    for w in new.difference(young):
         stem = w.rstrip(TAIL)
         split[w] = (stem, w[len(stem):]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, b"")
-    unknown = list({p for pair in split.values() for p in pair if p and p not in parts})
-    parts.update(zip(unknown, _encoded(unknown, path)))
-    for w, (stem, tail) in split.items():
-        whole[w] = parts[stem] + parts[tail] if tail else parts[stem]
-    out = [b"".join(map(whole.__getitem__, ws)) for ws in words]
-    for memo in (whole, parts):
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+    parts = {p for pair in split.values() for p in pair if p}.difference(young)
+    young.update((p, old[p]) for p in parts.intersection(old))
+    unknown = list(parts.difference(young))
+    young.update(zip(unknown, _encoded(unknown, path)))
+    young.update((w, young[stem] + young[tail]) for w, (stem, tail) in split.items() if tail)
+    out = [b"".join(map(young.__getitem__, ws)) for ws in words]
+    if len(young) > MEMO_WORDS:
+        _memo[path] = ({}, young)
     return out
 
 
@@ -97,8 +99,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
+            for part in slices(batch):
                 rows = []
                 for doc, ids in zip(part["doc_id"].tolist(), _texts_ids(part["text"].tolist(), tokenizer_path)):
                     ids += tail

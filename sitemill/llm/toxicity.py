@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
+from sitemill.llm.slices import slices
 
 #: Labelled rows of each label that fitting reads at most.
 FIT_ROWS = 12_000
@@ -228,9 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Score
 
     def hits(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = scorer.hits(b["text"].tolist())
-            yield pd.DataFrame({"y": b["y"], "hits": [[{"entry": h[0], "edits": h[1], "quoted": h[2], "near": h[3]} for h in f] for f in found],
-                                "n": [len(WORD.findall(t)) for t in b["text"]]})
+            for part in slices(b):
+                texts = part["text"].tolist()
+                found = [[{"entry": h[0], "edits": h[1], "quoted": h[2], "near": h[3]} for h in f] for f in scorer.hits(texts)]
+                yield pd.DataFrame({"y": part["y"].tolist(), "hits": found, "n": [len(t.split()) for t in texts]})
 
     kind = "y int, hits array<struct<entry: int, edits: int, quoted: boolean, near: array<string>>>, n long"
     got = [(r["y"], [(h["entry"], h["edits"], h["quoted"], h["near"]) for h in r["hits"]], r["n"])
@@ -258,8 +260,8 @@ def scoring(scorer: Scorer, beta: np.ndarray):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
             rows = []
-            for at in range(0, len(column), 256):
-                texts = column.iloc[at:at + 256].fillna("").tolist()
+            for part in slices(column):
+                texts = part.fillna("").tolist()
                 for found, t in zip(scorer.hits(texts), texts):
                     z = float(np.dot(scorer.features(found, len(t.split()) if found else 0), beta))
                     rows.append((1 / (1 + math.exp(-max(-35.0, min(35.0, z)))), len(found), sum(h[1] > 0 for h in found), sum(h[2] for h in found)))
