@@ -91,23 +91,27 @@ def is_article(x):
     return f"(contains({x}, {q(U.ARTICLE_MARKERS[0])}) OR contains({x}, {q(U.ARTICLE_MARKERS[1])}))"
 
 
+def _bound(x, name, body):
+    """``body`` with ``name`` standing for ``x``, which is written once."""
+    return f"list_transform([{x}], lambda {name}: {body})[1]"
+
+
 def decode_entities(x):
-    code = (f"(CASE WHEN lower(substring(r, 3, 1)) = 'x' THEN CAST('0x' || regexp_extract(r, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
-            "ELSE CAST(regexp_extract(r, '([0-9]+)', 1) AS BIGINT) END)")
-    char = f"(CASE WHEN ({code} > 0 AND {code} < 55296) OR ({code} > 57343 AND {code} <= 1114111) THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END)"
-    pieces = (f"list_transform(list_zip(string_split_regex({x}, {q(TX.NUMERIC_RX)}), "
-              f"list_append(list_transform(regexp_extract_all({x}, {q(TX.NUMERIC_RX)}), lambda r: {char}), '')), lambda z: z[1] || z[2])")
-    out = f"(CASE WHEN contains({x}, '&#') THEN array_to_string({pieces}, '') ELSE {x} END)"
+    code = ("(CASE WHEN lower(substring(_r, 3, 1)) = 'x' THEN CAST('0x' || regexp_extract(_r, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
+            "ELSE CAST(regexp_extract(_r, '([0-9]+)', 1) AS BIGINT) END)")
+    char = _bound(code, "_k", "CASE WHEN (_k > 0 AND _k < 55296) OR (_k > 57343 AND _k <= 1114111) THEN chr(CAST(_k AS INTEGER)) ELSE chr(65533) END")
+    pieces = (f"list_transform(list_zip(string_split_regex(_s, {q(TX.NUMERIC_RX)}), "
+              f"list_append(list_transform(regexp_extract_all(_s, {q(TX.NUMERIC_RX)}), lambda _r: {char}), '')), lambda _z: _z[1] || _z[2])")
+    named = f"(CASE WHEN contains(_s, '&#') THEN array_to_string({pieces}, '') ELSE _s END)"
     for ent, ch in TX.ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+        named = f"replace({named}, {q(ent)}, {q(ch)})"
+    return _bound(x, "_s", f"CASE WHEN contains(_s, '&') THEN {named} ELSE _s END")
 
 
 def attribute(raw, name):
-    rx = q(H._attr_rx(name))
-    v = f"regexp_extract({raw}, {rx}, 1)"
-    unq = f"(CASE WHEN starts_with({v}, '\"') OR starts_with({v}, '''') THEN substring({v}, 2, length({v}) - 2) ELSE {v} END)"
-    return f"(CASE WHEN {v} = '' THEN NULL ELSE {decode_entities(unq)} END)"
+    v = f"regexp_extract({raw}, {q(H._attr_rx(name))}, 1)"
+    unq = "(CASE WHEN starts_with(_v, '\"') OR starts_with(_v, '''') THEN substring(_v, 2, length(_v) - 2) ELSE _v END)"
+    return _bound(v, "_v", f"CASE WHEN _v = '' THEN NULL ELSE {decode_entities(unq)} END")
 
 
 def tag_name(raw):
