@@ -5,8 +5,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 ROWS, CHARS = 256, 1 << 20
+#: Rows of an Arrow batch, which both the JVM and the Python worker hold whole; Spark's own default is 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches, as rows of this subpackage hold whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
 
 def slices(batch: pd.DataFrame | pd.Series, column: str = "text") -> Iterator:
