@@ -92,10 +92,10 @@ class Join:
         own = lone(listed)
         one = listed.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
         left = materialise(one.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= self.slack(F.col("n"))).select("doc_id", "sid"), "left")
-        ids = left.select("doc_id").distinct()
-        few = ids.count() <= BROADCAST_IDS
-        ids = F.broadcast(ids) if few else ids
-        whole = sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) if not few else "doc_id", "left_semi"), self.k)
+        ids = left.select(F.col("doc_id").alias("_id")).distinct()
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        texts = _texts(docs)
+        whole = sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), self.k)
         # repeated doc_ids may bring in other texts: only the sets asked for count
         return materialise(whole.join(left.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
 

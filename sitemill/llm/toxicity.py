@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Score
         scorer.near = {w: max(-1.0, min(1.0, o)) for w in near[0].keys() | near[1].keys() if near[0][w] + near[1][w] >= 10
                        and abs(o := math.log((near[1][w] + 5) / (n[1] + 10)) - math.log((near[0][w] + 5) / (n[0] + 10))) > 0.7}
     y = np.array([r[0] for r in got], float)
-    share = labels.where("toxic IN (0, 1)").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    share = labels.where(F.col("toxic").isin(0, 1) & where).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not len(y) or y.min() == y.max():
         p = min(max(share if share is not None else 0.0, 1e-6), 1 - 1e-6)
         return scorer, np.r_[math.log(p / (1 - p)), np.zeros(7)]

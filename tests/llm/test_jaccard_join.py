@@ -85,6 +85,13 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert J.jaccard_components(no_docs).count() == 0
 
 
+def test_null_ids_link(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (4, " ".join(words[1:])), (None, "alone " * 3), (9, " ".join(words[:-1]))]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 90)
+
+
 def test_word_hashes_split_at_ascii_white_space_only():
     h, n = S.word_hashes(["a b c", "", "A\x0bB", "\x1cx"])
     assert n.tolist() == [2, 0, 2, 1]

@@ -54,6 +54,14 @@ def test_toxicity_on_held_out_rows(tables):
     assert hits / sum(r.toxic for r in rows) >= 0.9 and hits / sum(r.predicted for r in rows) >= 0.95
 
 
+def test_held_out_labels_change_nothing(tables):
+    docs, labels = tables
+    docs = docs.where("doc_id < 3000")
+    other = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (T.fit(docs, l)[1] for l in (labels, other))
+    assert abs(a - b).max() < 1e-9
+
+
 def test_scores_depend_on_texts_alone(spark, tables):
     docs, labels = tables
     scorer, beta = T.fit(docs, labels)
