@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.llm.slices import slices, small_batches
+from sitemill.llm.slices import slices, prepare_workers
 
 #: A boundary counts only this far from a chunk's end: the pattern looks no further ahead than a contraction.
 AHEAD = 4
@@ -85,7 +85,7 @@ def _split(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> tuple[Dat
     """Texts of one piece, and the pieces of the longer ones: (row, doc_id, copies, piece, n_pieces, text)."""
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap must be from 1 to the chunk's length")
-    small_batches(docs)
+    prepare_workers(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = chunk + overlap
     short = rows.where(F.char_length("text") <= size).select(

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
 from sitemill.llm.shingles import mix
-from sitemill.llm.slices import slices, small_batches
+from sitemill.llm.slices import slices, prepare_workers
 from sitemill.session import materialise
 
 BUCKETS = 1 << 16
@@ -148,7 +148,7 @@ class Draw:
     """Models, threshold and weights of a draw from ``docs``."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 1):
-        small_batches(docs)
+        prepare_workers(docs)
         self.seed = seed
         sample = labelled_sample(docs, labels, "quality", fit_rows)
         share = labels.where("quality IN (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]

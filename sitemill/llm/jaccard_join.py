@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.graph import components
 from sitemill.llm.shingles import set_id, shingle_sets
-from sitemill.llm.slices import slices, small_batches
+from sitemill.llm.slices import slices, prepare_workers
 from sitemill.session import materialise
 
 #: Ids up to this number go to every task (8 MB of longs); beyond it the semi join is shuffled.
@@ -47,7 +47,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def sets(docs: DataFrame, k: int, share: float = 1.0) -> DataFrame:
     """(doc_id, sid, n, shingles): set id, size, and the shingles in the lowest ``share`` of the hash space."""
-    small_batches(docs)
+    prepare_workers(docs)
     top = min(int(share * 2**64), 2**64 - 1)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.llm.slices import small_batches
+from sitemill.llm.slices import prepare_workers
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-'][a-z0-9]+)*")
 LEAST = 0.8
@@ -146,7 +146,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """One row per notice: doc_id, license, coverage, start, end (code points from 0, end exclusive)."""
-    small_batches(docs)
+    prepare_workers(docs)
     scanner = Scanner(templates or TEMPLATES, least)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemill.llm.slices import slices, small_batches
+from sitemill.llm.slices import slices, prepare_workers
 from sitemill.session import materialise
 
 #: Ids pass through Python as text: pandas would make a nullable long a double.
@@ -92,7 +92,7 @@ def _texts_ids(texts: list[str], path: str) -> list[bytes]:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids): each text's ids plus ``end_id``, cut into pieces of ``capacity``."""
-    small_batches(docs)
+    prepare_workers(docs)
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

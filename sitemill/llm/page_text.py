@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.llm.slices import small_batches
+from sitemill.llm.slices import prepare_workers
 from sitemill.session import materialise
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -225,7 +225,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    small_batches(pages)
+    prepare_workers(pages)
     known = templates(pages, min_pages, min_share)
     few = (known.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1))

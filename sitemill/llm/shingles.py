@@ -52,8 +52,8 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
             out.append(np.unique(long[at:at + c - k + 1]))
         elif c:
             h = np.array([c], np.uint64)
-            for i, w in enumerate(words[at:at + c]):
-                h = mix(h + w * np.uint64(2 * i + 3))
+            for i in range(c):
+                h = mix(h + words[at + i:at + i + 1] * np.uint64(2 * i + 3))
             out.append(h)
         else:
             out.append(np.empty(0, np.uint64))
@@ -65,5 +65,5 @@ def set_id(s: np.ndarray) -> int:
     """One signed 64-bit hash of a set."""
     if not len(s):
         return 0
-    h = mix(np.array([np.add.reduce(mix(s + _STEP)) + np.uint64(len(s)) * _STEP], np.uint64))
+    h = mix(np.add.reduce(mix(s + _STEP), keepdims=True) + np.array([len(s)], np.uint64) * _STEP)
     return int(h.view(np.int64)[0])

@@ -1,19 +1,25 @@
-"""Slices of an Arrow batch that bound what a task holds at a time."""
+"""What Python workers need, and slices of an Arrow batch that bound what a task holds at a time."""
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ROWS, CHARS = 256, 1 << 20
 #: Rows of an Arrow batch, which both the JVM and the Python worker hold whole; Spark's own default is 10,000.
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batches, as rows of this subpackage hold whole texts."""
+def prepare_workers(df: DataFrame) -> None:
+    """Let Python workers import this package from where the driver has it, and lower the session's Arrow batches."""
+    environment = df.sparkSession.sparkContext.environment
+    path = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in path:
+        environment["PYTHONPATH"] = os.pathsep.join([*path, ROOT])
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
-from sitemill.llm.slices import slices, small_batches
+from sitemill.llm.slices import slices, prepare_workers
 
 #: Labelled rows of each label that fitting reads at most.
 FIT_ROWS = 12_000
@@ -223,7 +223,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Scorer, np.ndarray]:
     """Scorer and coefficients, from labelled rows that are not held out."""
-    small_batches(docs)
+    prepare_workers(docs)
     where = ~held_out(F.col("doc_id"))
     sample = labelled_sample(docs, labels, "toxic", rows, where)
     scorer = Scorer(learn_lexicon(sample))

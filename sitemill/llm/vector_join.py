@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill.llm.graph import components
+from sitemill.llm.slices import prepare_workers
 from sitemill.session import materialise
 
 #: Vectors of a block, and of an interval that is compared without further halving.
@@ -113,6 +114,7 @@ def forest(edges: Iterable[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK, axes: int = AXES) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
+    prepare_workers(vectors)
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     rows = _vectors(vectors).where("usable").withColumn("class", F.sha2(F.to_json(F.struct("label", "v")), 256))
     members = materialise(rows.select("vec_id", "class"), "members")
