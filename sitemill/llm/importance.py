@@ -1,14 +1,17 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-A text is a sequence of words, and a word is seen by its form: case, digits, the punctuation it
-holds, and whether it repeats the word before. The n-grams of up to three forms are hashed into
-``BUCKETS`` buckets. The raw model counts them over all documents; the target model over
-documents labelled as good. A document's weight is the ratio of its likelihood under the two
-models. Documents are drawn without replacement in proportion to their weights by adding Gumbel
+A text is a sequence of words (runs without white space, A-Z lower-cased), and each word also has
+a form: case, digits, the punctuation it holds, and whether it repeats the word before. The n-grams
+of up to three words and of up to three forms are hashed into ``BUCKETS`` buckets each. The raw
+model counts them over all documents; the target model over documents labelled as good, smoothed
+towards the raw one. A document's weight is the ratio of its likelihood under the two models.
+Documents fall into ``FOLDS`` folds by their text, and a document is weighed by the models of the
+other fold: words are so many that a model knows the very texts it counted, and labelled documents
+would weigh more than their unlabelled likes. Documents are drawn without replacement in proportion to their weights by adding Gumbel
 noise to the log weights and keeping the k largest; k is the number of good documents that the
 weights, calibrated on the labelled rows, lead to expect, plus two standard deviations.
 
-Both models are tables of ``BUCKETS`` rows whatever the corpus; the k-th largest key is found by
+All models are tables of 2 * ``BUCKETS`` rows whatever the corpus; the k-th largest key is found by
 counting, 16 bits of it at a time, so no keys are gathered.
 
 Defined results: a null or blank text has no n-grams and weight 1; documents whose keys tie with
@@ -17,6 +20,7 @@ the k-th are all kept; without labels of both kinds everything is kept; a null d
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm.labelled import labelled_sample, logistic
-from sitemill.llm.shingles import mix
+from sitemill.llm.shingles import mix, word_hashes
 from sitemill.llm.slices import slices, prepare_workers
 from sitemill.session import materialise
 
 BUCKETS = 1 << 16
+FOLDS = 2
 #: Labelled rows of each kind that are read at most: the target model's text and the calibration's rows.
 FIT_ROWS = 20_000
 _CLASS = np.arange(256, dtype=np.uint64)
@@ -69,41 +74,56 @@ def form_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram of 1 to 3 forms."""
-    forms, counts = form_hashes(texts)
-    text = np.repeat(np.arange(len(texts)), counts)
-    owners, buckets = [text], [mix(forms)]
-    gram = forms
-    for n in (2, 3):
-        gram = mix(gram[:-1] * np.uint64(3) + forms[n - 1:] + np.uint64(n)) if len(gram) else gram
-        same = text[n - 1:] == text[:len(text) - n + 1] if len(text) >= n else np.zeros(0, bool)
-        owners.append(text[:len(same)][same])
-        buckets.append(gram[:len(same)][same])
-    return np.concatenate(owners), (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    """(text number, bucket) of every n-gram of 1 to 3 words, then of every n-gram of 1 to 3 forms, whose buckets follow."""
+    owners, buckets = [], []
+    for kind, (hashes, counts) in enumerate((word_hashes(texts), form_hashes(texts))):
+        text = np.repeat(np.arange(len(texts)), counts)
+        gram = hashes
+        for n in (1, 2, 3):
+            gram = mix(hashes) if n == 1 else mix(gram[:-1] * np.uint64(3) + hashes[n - 1:] + np.uint64(n)) if len(gram) else gram
+            same = text[n - 1:] == text[:len(text) - n + 1] if len(text) >= n else np.zeros(0, bool)
+            owners.append(text[:len(same)][same])
+            buckets.append((gram[:len(same)][same] & np.uint64(BUCKETS - 1)).astype(np.int64) + kind * BUCKETS)
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def folds(texts: list[str]) -> np.ndarray:
+    """Each text's fold: equal texts have the same."""
+    return np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts], np.int64)
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts; each task sends a row for each of its buckets."""
+    """How often each bucket occurs in the texts of each fold; each task sends a row for each of its buckets."""
+    size = FOLDS * 2 * BUCKETS
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             for part in slices(b):
-                total += np.bincount(ngram_buckets(part["text"].tolist())[1], minlength=BUCKETS)
+                texts = part["text"].tolist()
+                owner, bucket = ngram_buckets(texts)
+                total += np.bincount(folds(texts)[owner] * (2 * BUCKETS) + bucket, minlength=size)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS)
+    rows = texts.mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # FOLDS * 2 * BUCKETS rows at most
+    out = np.zeros(size)
     out[rows["bucket"].to_numpy(int)] = rows["n"]
-    return out
+    return out.reshape(FOLDS, 2 * BUCKETS)
+
+
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | raw): raw smoothed towards even shares, the target as much by raw shares as by its own counts."""
+    share = (raw + 1) / (raw.sum() + len(raw))
+    much = max(len(raw), target.sum())
+    return np.log((target / share + much) / (target.sum() + much))
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw), both smoothed towards the raw counts' even share."""
-    t, r = (np.log((c + smoothing) / (c.sum() + smoothing * len(c))) for c in (target, raw))
-    return t - r
+def fold_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """For each fold, the log ratios by the counts of all other folds; words and forms are models of their own."""
+    target, raw = (c.sum(axis=0) - c for c in (target, raw))
+    return np.array([np.concatenate([log_ratio(t[k:k + BUCKETS], r[k:k + BUCKETS]) for k in (0, BUCKETS)]) for t, r in zip(target, raw)])
 
 
 def weigher(ratio: np.ndarray):
@@ -116,7 +136,8 @@ def weigher(ratio: np.ndarray):
             for part in slices(texts):
                 part = part.fillna("").tolist()
                 owner, bucket = ngram_buckets(part)
-                parts.append(pd.DataFrame({"n_grams": np.bincount(owner, minlength=len(part)), "log_weight": np.bincount(owner, ratio[bucket], len(part))}))
+                # as many of words as of forms
+                parts.append(pd.DataFrame({"n_grams": np.bincount(owner, minlength=len(part)) // 2, "log_weight": np.bincount(owner, ratio[folds(part)[owner], bucket], len(part))}))
             yield pd.concat(parts) if parts else pd.DataFrame({"n_grams": [], "log_weight": []})
 
     return weigh
@@ -153,8 +174,8 @@ class Draw:
         sample = labelled_sample(docs, labels, "quality", fit_rows)
         share = labels.where("quality IN (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]
         raw, target = bucket_counts(docs), bucket_counts(sample.where("y = 1"))
-        # where nothing is labelled good, the target is the raw text and every weight is 1
-        self.weigh = weigher(log_ratio(target if target.sum() else raw, raw))
+        # where nothing is labelled good, the smoothed target is the raw text and every weight is 1
+        self.weigh = weigher(fold_ratios(target, raw))
         table = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.weigh(F.col("text").cast("string")).alias("w")), "weights")
         self.table = table.select("doc_id", "w.n_grams", "w.log_weight", rank(F.col("doc_id"), F.col("w"), seed).alias("rank"))
         fit = sample.select("y", self.weigh("text")["log_weight"].alias("log_weight")).toPandas()  # 2 * fit_rows rows at most

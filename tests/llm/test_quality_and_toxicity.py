@@ -1,4 +1,6 @@
 """Fitted operators: held-out figures on the test tables, and the awkward cases."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def test_forms_tell_junk():
     assert len(set(a[[0, 1, 3, 4, 6]].tolist())) == 5 and a[5] == a[7] and a[1] == a[8] != a[2]
 
 
+def test_words_tell_salad_from_prose(spark):
+    """Plain lower-case words on both sides: only the words and their order differ, and half the documents have no label."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary, foreign = ([word(rnd.randrange(3, 8)) for _ in range(300)] for _ in range(2))
+    follows = {w: rnd.sample(vocabulary, 4) for w in vocabulary}
+
+    def prose():
+        ws = [rnd.choice(vocabulary)]
+        while len(ws) < 120:
+            ws.append(rnd.choice(follows[ws[-1]]))
+        return ws
+
+    makers = [prose, prose, lambda: rnd.sample(vocabulary, 120), lambda: [rnd.choice(foreign) for _ in range(120)]]
+    rows = [(i, " ".join(makers[i % 4]()), int(i % 4 < 2)) for i in range(800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 8 < 4], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in I.resample(docs, labels).collect()}
+    for part in (range(4), range(4, 8)):
+        share = {y: [kept[i] for i, _, q in rows if q == y and i % 8 in part] for y in (0, 1)}
+        assert sum(share[1]) / len(share[1]) >= 0.95 and sum(share[0]) / len(share[0]) <= 0.05
+
+
 def test_toxicity_on_held_out_rows(tables):
     docs, labels = tables
     rows = T.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
