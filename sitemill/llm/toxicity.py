@@ -5,11 +5,12 @@ toxic from other documents best (likelihood ratio over distinct preceding words,
 count once; of beginnings that contain each other the best stays). Its entries form a trie. The
 Levenshtein automaton of the trie reads a word once and gives the entries that it begins with, or
 that it misspells by one edit (two from nine letters on); states are determinised as they occur.
-Each hit has a window of words around it. Words that stand near hits in toxic documents rather
+A misspelling that clean documents hold unquoted, as against toxic ones, is an ordinary word and no
+hit; other misspellings of the entry remain. Each hit has a window of words around it. Words that stand near hits in toxic documents rather
 than in others, and quotation marks around a hit, tell abuse from quotation. A logistic model
 over a document's hits gives the score.
 
-Scoring reads each whole text once; the model is a closure of a few kilobytes.
+Scoring reads each whole text once; the model is a closure bounded by the sample's near forms.
 
 Defined results: a null or blank text has no hits and the score of such; a null doc_id has no
 fold and is not held out; where the sample has rows of one label only, every score is its share.
@@ -187,10 +188,10 @@ class Scorer:
         self.automaton = LexiconAutomaton(sorted(lexicon))
         self.odds = [lexicon[e] for e in self.automaton.entries]
         self.near: dict[str, float] = {}
-        self.misread: set[int] = set()  # entries whose near forms are ordinary words
+        self.misread: frozenset[str] | set[str] = frozenset()  # near forms that are ordinary words
 
-    def hits(self, texts: list[str]) -> list[list[tuple[int, int, bool, list[str]]]]:
-        """Per text: (entry, edits, quoted, window words) of each hit."""
+    def hits(self, texts: list[str]) -> list[list[tuple[int, int, bool, list[str], str]]]:
+        """Per text: (entry, edits, quoted, window words, word) of each hit."""
         lower = [t.lower() for t in texts]
         words = [WORD.findall(t) for t in lower]
         known = {w: h for w in set().union(*words) if (h := self.automaton.hits(w))}
@@ -207,12 +208,13 @@ class Scorer:
                         # a mark that opens before the word and one that closes behind it
                         opened = sum(before.count(q) for q in QUOTES) - sum(before.count(f"{q} ") for q in QUOTES)
                         quoted = opened > 0 and any(q in after for q in QUOTES)
-                        found.append((entry, edits, quoted, ws[lo:i] + ws[i + 1:hi]))
+                        found.append((entry, edits, quoted, ws[lo:i] + ws[i + 1:hi], w))
             out.append(found)
         return out
 
-    def features(self, found: list, n_words: int) -> list[float]:
-        found = [h for h in found if not h[1] or h[0] not in self.misread]
+    def features(self, found: list, n_words: int, misread: set[str] | None = None) -> list[float]:
+        misread = self.misread if misread is None else misread
+        found = [h for h in found if not h[1] or h[4] not in misread]
         exact = [h for h in found if not h[1] and not h[2]]
         fuzzy = [h for h in found if h[1] and not h[2]]
         plain = exact + fuzzy
@@ -232,15 +234,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Score
         for b in batches:
             for part in slices(b):
                 texts = part["text"].tolist()
-                found = [[{"entry": h[0], "edits": h[1], "quoted": h[2], "near": h[3]} for h in f] for f in scorer.hits(texts)]
+                found = [[{"entry": h[0], "edits": h[1], "quoted": h[2], "near": h[3], "word": h[4]} for h in f] for f in scorer.hits(texts)]
                 yield pd.DataFrame({"y": part["y"].tolist(), "hits": found, "n": [len(t.split()) for t in texts]})
 
-    kind = "y int, hits array<struct<entry: int, edits: int, quoted: boolean, near: array<string>>>, n long"
-    got = [(r["y"], [(h["entry"], h["edits"], h["quoted"], h["near"]) for h in r["hits"]], r["n"])
+    kind = "y int, hits array<struct<entry: int, edits: int, quoted: boolean, near: array<string>, word: string>>, n long"
+    got = [(r["y"], [(h["entry"], h["edits"], h["quoted"], h["near"], h["word"]) for h in r["hits"]], r["n"])
            for r in sample.select("text", "y").mapInPandas(hits, kind).toLocalIterator()]  # bounded as the sample is
-    misspelled = {y: Counter(k for r in got if r[0] == y for k in {h[0] for h in r[1] if h[1]}) for y in (0, 1)}
     size = Counter(r[0] for r in got)
-    scorer.misread = {k for k in misspelled[0] if (misspelled[0][k] + 1) / (size[0] + 2) >= (misspelled[1][k] + 1) / (size[1] + 2) / 3}
+    # a quoted word of a clean document doesn't show ordinary use
+    forms = [{h[4] for h in r[1] if h[1] and (r[0] or not h[2])} for r in got]
+    holding = {y: Counter(w for r, ws in zip(got, forms) if r[0] == y for w in ws) for y in (0, 1)}
+
+    def ordinary(w: str, less: tuple[int, int] = (0, 0)) -> bool:
+        """Whether a near form is held by clean documents, and by a third of the toxic ones' share at least; sizes cancel out."""
+        clean, toxic = holding[0][w] - less[0], holding[1][w] - less[1]
+        return clean > 0 and 3 * clean * size[1] >= toxic * size[0]
+
+    scorer.misread = {w for w in holding[0] if ordinary(w)}
     near = {y: Counter(w for r in got if r[0] == y for h in r[1] for w in set(h[3])) for y in (0, 1)}
     n = {y: sum(len(r[1]) for r in got if r[0] == y) for y in (0, 1)}
     if n[0] >= 20 and n[1] >= 20:
@@ -251,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Score
     if not len(y) or y.min() == y.max():
         p = min(max(share if share is not None else 0.0, 1e-6), 1 - 1e-6)
         return scorer, np.r_[math.log(p / (1 - p)), np.zeros(7)]
-    return scorer, logistic(np.array([scorer.features(f, n) for _, f, n in got]), y, share, ridge=1e-2)
+    # a row's own words don't count for it, as those of a new document haven't been counted
+    x = [scorer.features(r[1], r[2], {h[4] for h in r[1] if h[1] and ordinary(h[4], (int(not r[0] and h[4] in ws), int(r[0] and h[4] in ws)))}) for r, ws in zip(got, forms)]
+    return scorer, logistic(np.array(x), y, share, ridge=1e-2)
 
 
 def scoring(scorer: Scorer, beta: np.ndarray):

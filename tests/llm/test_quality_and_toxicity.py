@@ -104,6 +104,21 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs, no_labels):
     assert T.toxicity(no_docs, no_labels).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_ordinary_near_forms_leave_other_misspellings(spark, times):
+    """Clean documents with 'thrash' say nothing about 'traash', however many rows there are."""
+    rnd = random.Random(3)
+    words = ["field", "river", "stone", "cloud", "green", "paper", "quiet", "window", "garden", "yellow"]
+    text = lambda *extra: " ".join(w for x in extra for w in (*rnd.sample(words, 4), x)) + " " + rnd.choice(words)
+    rows = [(text("trash", "trash"), 1) for _ in range(60 * times)] + [(text("thrash"), 0) for _ in range(3 * times)] + [(text("moon"), 0) for _ in range(400 * times)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    scorer, beta = T.fit(docs, labels)
+    none, ordinary, misspelled = (scorer.features(f, 5) for f in scorer.hits(["the green moon by night", "they thrash the green field", "you are traash to me"]))
+    assert ordinary == none and misspelled[1] > none[1] and misspelled[2] > none[2]
+    assert sum(b * (m - n) for b, m, n in zip(beta, misspelled, none)) > 0
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
