@@ -1,16 +1,16 @@
 """Main text of web pages, by site template removal.
 
 1. Each page is read into elements once (implied end tags, unclosed and cut elements included).
-   The containers outside the article (and, inside it, those that are no text blocks) are hashed
-   by their source.
+   The containers, and the paragraphs outside article and main elements, are hashed by their source.
 2. Spark counts, per host, with how many different main contents a hash occurs. A container is
    site template when it recurs with at least ``MIN_PAGES`` of them and ``MIN_SHARE`` of the
    host's. Copies of one page count once, so an article isn't a template because it was copied.
 3. The second reading leaves out template containers and those whose tag, role, class or id
    names them as menu, header, footer, sidebar, notice, advert, form or comments, and joins the
-   text blocks of the article (of the main element, of the body, where there is none).
+   text blocks of what remains of the body. Only where the main elements, or else the articles,
+   hold ``MOST`` of that text, what is outside them goes too.
 
-Text blocks of an article are never template, however often they recur. Defined results: a null
+Paragraphs of an article are never template, however often they recur. Defined results: a null
 or empty page has an empty text; a null url is a host of its own; repeated rows are read as often
 as they occur but count as one content; an empty table gives an empty result.
 """
@@ -29,6 +29,8 @@ from sitemill.llm.slices import prepare_workers
 from sitemill.session import materialise
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: The share of a page's remaining text from which article or main elements stand for the page.
+MOST = 0.8
 #: Template hashes up to this number are sent to every task; beyond it the join by host is shuffled.
 BROADCAST_HASHES = 500_000
 
@@ -140,9 +142,10 @@ class Page:
         """Which elements are dropped by name, and which hold the main content."""
         n = len(self.tag)
         self.named = [False] * n
-        roots = [k for k in range(n) if self.tag[k] == "article"]
+        mains = [k for k in range(n) if self.tag[k] == "main" or "main" in self.attrs[k] and re.search(r"role\s*=\s*[\"']?main", self.attrs[k])]
+        articles = [k for k in range(n) if self.tag[k] == "article"]
         holds = [False] * n
-        for k in roots or [k for k in range(n) if self.tag[k] == "main" or "main" in self.attrs[k] and re.search(r"role\s*=\s*[\"']?main", self.attrs[k])]:
+        for k in articles + mains:
             p = self.parent[k]
             while p > 0 and not holds[p]:
                 holds[p] = True
@@ -150,16 +153,17 @@ class Page:
         inside = [False] * n
         for k in range(1, n):
             p = self.parent[k]
-            inside[k] = inside[p] or self.tag[p] == "article"
+            inside[k] = inside[p] or self.tag[p] in ("article", "main")
             self.named[k] = self.named[p] or self.by_name(k, inside[k], holds[k])
         self.holds, self.inside = holds, inside
-        main = [k for k in roots if not self.named[k] and not inside[k]] or [k for k in range(n) if not self.named[k] and (
-            self.tag[k] == "main" or "main" in self.attrs[k] and re.search(r"role\s*=\s*[\"']?main", self.attrs[k]))] or [0]
-        self.content = [False] * n
-        roots_ = set(main)
-        for k in range(n):
-            self.content[k] = k in roots_ or (k > 0 and self.content[self.parent[k]])
-        self.article = main != [0]
+        self.hints = [{k for k in some if not self.named[k]} for some in (mains, articles)]
+
+    def under(self, roots: set[int]) -> list[bool]:
+        """Which elements are ``roots`` or below them."""
+        out = [False] * len(self.tag)
+        for k in range(len(out)):
+            out[k] = k in roots or (k > 0 and out[self.parent[k]])
+        return out
 
     def by_name(self, k: int, inside: bool, holds: bool) -> bool:
         tag, attrs = self.tag[k], self.attrs[k]
@@ -180,7 +184,7 @@ class Page:
     def hashes(self) -> list[tuple[int, int]]:
         """(element, hash of its source) of the containers that may be template."""
         return [(k, xxhash.xxh64_intdigest(self.html[self.start[k]:self.end[k]].encode("utf-8", "surrogatepass")) - (1 << 63))
-                for k in range(1, len(self.tag)) if self.tag[k] in CONTAINER and not self.holds[k] or not self.article and self.tag[k] == "p"]
+                for k in range(1, len(self.tag)) if self.tag[k] in CONTAINER and not self.holds[k] or not self.inside[k] and self.tag[k] == "p"]
 
     def text(self, template: frozenset | set = frozenset()) -> str:
         drop = list(self.named)
@@ -190,13 +194,23 @@ class Page:
                     drop[k] = True
         for k in range(1, len(drop)):
             drop[k] = drop[k] or drop[self.parent[k]]
+        size = [0] * len(drop)  # characters of text straight below
+        for item in self.items:
+            if item is not None and not drop[item[0]]:
+                size[item[0]] += len("".join(item[1].split()))
+        content = [True] * len(drop)
+        for hint in filter(None, self.hints):
+            below = self.under(hint)
+            if (held := sum(x for x, y in zip(size, below) if y)) and held >= MOST * sum(size):
+                content = below
+                break
         blocks, block = [], []
         for item in [*self.items, None]:
             if item is None:
                 if block and (line := " ".join("".join(block).split())):
                     blocks.append(line)
                 block = []
-            elif self.content[item[0]] and not drop[item[0]]:
+            elif content[item[0]] and not drop[item[0]]:
                 block.append(unescape(item[1]) if "&" in item[1] else item[1])
         return "\n".join(blocks)
 

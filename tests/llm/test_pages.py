@@ -99,6 +99,16 @@ def test_site_templates_go_and_content_stays(spark):
     assert P.main_text(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_article_is_a_hint(spark):
+    assert P.Page('<main><p>body</p><article class="card">teaser</article></main>').text() == "body\nteaser"
+    long = "the long text of this page " * 20
+    assert P.Page(f'<p>{long}</p><article class="card">teaser</article>').text() == f"{long.strip()}\nteaser"
+    assert P.Page(f"<p>skip to content</p><article>{long}</article>").text() == long.strip()
+    # what surrounds the articles goes as template, not for being outside of them
+    rows = [(i, f"http://a.test/{i}", f"<body><div>Our shop is open daily and all of the week</div><p>Text {i}</p><article>Card {i}</article></body>", None, None) for i in range(9)]
+    assert {r.page_id: r.text for r in P.main_text(spark.createDataFrame(rows, PAGE)).collect()} == {i: f"Text {i}\nCard {i}" for i in range(9)}
+
+
 def test_license_lines(spark):
     short = {k: v for k, v in L.TEMPLATES.items() if len(v) < 80}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
