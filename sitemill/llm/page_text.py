@@ -7,7 +7,8 @@
    host's. Copies of one page count once, so an article isn't a template because it was copied.
 3. The second reading leaves out template containers and those whose tag, role, class or id
    names them as menu, header, footer, sidebar, notice, advert, form or comments, and joins the
-   text blocks of what remains of the body. Only where the main elements, or else the articles,
+   text blocks of what remains of the body. Names are whole classes or ids of containers, never of
+   headings or paragraphs, and drop nothing that holds most of a page's text. Only where the main elements, or else the articles,
    hold ``MOST`` of that text, what is outside them goes too.
 
 Paragraphs of an article are never template, however often they recur. Defined results: a null
@@ -54,6 +55,12 @@ IMPLIED = {"li": (_set("li"), _set("ul ol menu dir")), "dt": (_set("dt dd"), _se
 DROPPED = _set("head nav footer aside form button select input dialog menu search fieldset object embed audio video map")
 CONTAINER = _set("div section nav header footer aside form ul ol dl table center details dialog menu figure")
 ROLES = _set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar")
+HEADINGS = _set("h1 h2 h3 h4 h5 h6")
+#: Whose class or id can name them as boilerplate: containers, not text blocks.
+NAMEABLE = CONTAINER | _set("li article main")
+#: Words that may stand beside a name in a class or id.
+BESIDE = _set("a the site page global main primary secondary top bottom left right header box bar block container wrapper wrap inner outer area list item items link links button buttons "
+              "icon icons section panel form field group slot unit module post posts article articles column row mobile desktop sticky fixed")
 NAMES = _set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
              "footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing "
              "social related recommended comment comments disqus replies widget pagination pager search")
@@ -144,17 +151,33 @@ class Page:
         self.named = [False] * n
         mains = [k for k in range(n) if self.tag[k] == "main" or "main" in self.attrs[k] and re.search(r"role\s*=\s*[\"']?main", self.attrs[k])]
         articles = [k for k in range(n) if self.tag[k] == "article"]
+        # what holds most of the text is no boilerplate by its name, unless an article or main element lies elsewhere
+        by_tag, size = [False] * n, [0] * n
+        inside = [False] * n
+        for k in range(1, n):
+            p = self.parent[k]
+            inside[k] = inside[p] or self.tag[p] in ("article", "main")
+            by_tag[k] = by_tag[p] or self.by_tag(k, inside[k]) and self.tag[k] not in ("form", "fieldset")
+        for item in self.items:
+            if item is not None and not by_tag[item[0]]:
+                size[item[0]] += len("".join(item[1].split()))
+        hints = [0] * n
+        for k in articles + mains:
+            hints[k] += not by_tag[k]
+        total = sum(size)
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            hints[self.parent[k]] += hints[k]
+        headed = {self.parent[k] for k in range(1, n) if self.tag[k] in HEADINGS}
+        for k in range(1, n):
+            most = 2 * size[k] > total and hints[k] == hints[0]
+            self.named[k] = self.named[self.parent[k]] or by_tag[k] or not most and (self.by_tag(k, inside[k]) or self.by_name(k, inside[k], k in headed))
         holds = [False] * n
         for k in articles + mains:
-            p = self.parent[k]
+            p = -1 if self.named[k] else self.parent[k]
             while p > 0 and not holds[p]:
                 holds[p] = True
                 p = self.parent[p]
-        inside = [False] * n
-        for k in range(1, n):
-            p = self.parent[k]
-            inside[k] = inside[p] or self.tag[p] in ("article", "main")
-            self.named[k] = self.named[p] or self.by_name(k, inside[k], holds[k])
         self.holds, self.inside = holds, inside
         self.hints = [{k for k in some if not self.named[k]} for some in (mains, articles)]
 
@@ -165,21 +188,35 @@ class Page:
             out[k] = k in roots or (k > 0 and out[self.parent[k]])
         return out
 
-    def by_name(self, k: int, inside: bool, holds: bool) -> bool:
-        tag, attrs = self.tag[k], self.attrs[k]
-        if holds or tag in ("html", "body"):
+    def attributes(self, k: int) -> dict[str, str]:
+        attrs = self.attrs[k]
+        return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if attrs and not attrs.isspace() else {}
+
+    def by_tag(self, k: int, inside: bool) -> bool:
+        """Dropped for its tag or role, or hidden."""
+        tag = self.tag[k]
+        if tag in ("html", "body"):
             return False
         if tag in DROPPED or tag == "header" and not inside:
             return True
-        if not attrs or attrs.isspace():
+        a = self.attributes(k)
+        return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES
+
+    def by_name(self, k: int, inside: bool, headed: bool) -> bool:
+        """A container that a whole class or its id names as boilerplate: a name, and besides only words that say nothing else."""
+        tag = self.tag[k]
+        if tag not in NAMEABLE or not (a := self.attributes(k)):
             return False
-        a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
-            return True
-        if tag in ("article", "main") and "comment" not in attrs.lower():
+        if tag in ("article", "main") and "comment" not in self.attrs[k].lower():
             return False
-        words = {w.lower() for v in (a.get("class", ""), a.get("id", "")) for w in NAME_WORD.findall(v)} & NAMES
-        return bool(words - {"header"} if inside else words)
+        # generators give a section of an article its heading as id
+        id_ = "" if inside and tag == "section" and headed else a.get("id", "")
+        names = NAMES - {"header"} if inside else NAMES
+        for token in (*a.get("class", "").split(), *id_.split()):
+            words = {w.lower() for w in NAME_WORD.findall(token)}
+            if words & names and words <= NAMES | BESIDE:
+                return True
+        return False
 
     def hashes(self) -> list[tuple[int, int]]:
         """(element, hash of its source) of the containers that may be template."""

@@ -109,6 +109,15 @@ def test_article_is_a_hint(spark):
     assert {r.page_id: r.text for r in P.main_text(spark.createDataFrame(rows, PAGE)).collect()} == {i: f"Text {i}\nCard {i}" for i in range(9)}
 
 
+def test_names_drop_containers_alone():
+    inside = ['<h2 id="related-work">A</h2>', '<section id="social-security">B</section>', '<p class="notice">C</p>', '<h3 id="search">D</h3>', '<section id="menu"><h2>E</h2><p>e</p></section>']
+    assert P.Page(f"<article><p>one</p>{''.join(inside)}</article>").text().split() == ["one", *"ABCDEe"]
+    assert P.Page('<body><div class="content with-sidebar"><p>whole page</p></div><div class="sidebar">s</div></body>').text() == "whole page"
+    assert P.Page('<body><div class="widget"><p>whole page</p></div><div class="sidebar">s</div></body>').text() == "whole page"
+    gone = "".join(f'<div class="{c}">x</div>' for c in ("ad-box", "cookie-notice", "siteFooter", "left sidebar", "share-buttons", "post-comments"))
+    assert P.Page(f"<body><p>some text to read</p>{gone}</body>").text() == "some text to read"
+
+
 def test_license_lines(spark):
     short = {k: v for k, v in L.TEMPLATES.items() if len(v) < 80}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
