@@ -4,7 +4,7 @@
    The containers, and the paragraphs outside article and main elements, are hashed by their source.
 2. Spark counts, per host, with how many different main contents a hash occurs. A container is
    site template when it recurs with at least ``MIN_PAGES`` of them and ``MIN_SHARE`` of the
-   host's. Copies of one page count once, so an article isn't a template because it was copied.
+   host's, of which ``ENOUGH_PAGES`` are enough however large the host. Copies of one page count once, so an article isn't a template because it was copied.
 3. The second reading leaves out template containers and those whose tag, role, class or id
    names them as menu, header, footer, sidebar, notice, advert, form or comments, and joins the
    text blocks of what remains of the body. Names are whole classes or ids of containers, never of
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from sitemill.llm.slices import prepare_workers
 from sitemill.session import materialise
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
+MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 5, 0.1, 50
 #: The share of a page's remaining text from which article or main elements stand for the page.
 MOST = 0.8
-#: Template hashes up to this number are sent to every task; beyond it the join by host is shuffled.
+#: Template hashes up to this number are sent to every task; beyond it pages are joined with theirs.
 BROADCAST_HASHES = 500_000
 
 TOKEN = re.compile(
@@ -253,7 +253,7 @@ class Page:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Written (host, hashes): the container hashes that are template on each host."""
+    """Written (host, hash): the container hashes that are template on each host."""
 
     def containers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -270,22 +270,40 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                         .mapInPandas(containers, "host string, hash long, content long").distinct(), "containers")
     counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"))
     size = counts.where("hash IS NULL").select("host", F.col("n").alias("contents"))
-    many = counts.where(f"hash IS NOT NULL AND n >= {int(min_pages)}").join(size, "host").where(F.col("n") >= F.col("contents") * min_share)
-    return materialise(many.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")  # at most 1 / min_share of a page's containers for a host
+    bar = F.least(F.col("contents") * min_share, F.lit(ENOUGH_PAGES))
+    many = counts.where(f"hash IS NOT NULL AND n >= {int(min_pages)}").join(size, "host").where(F.col("n") >= bar)
+    return materialise(many.select("host", "hash"), "templates")
+
+
+def own_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (host, html, ...) with the template hashes of each page itself, joined by host and hash."""
+
+    @F.pandas_udf("array<long>")
+    def containers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for html in batches:
+            yield pd.Series([list({x for _, x in Page(h).hashes()}) for h in html], dtype=object)
+
+    page = [F.xxhash64("html").alias("_page"), F.sha2("html", 256).alias("_sha")]
+    held = rows.select("host", *page, F.explode(containers("html")).alias("hash")).join(known, ["host", "hash"])
+    held = held.groupBy("host", "_page", "_sha").agg(F.collect_set("hash").alias("hashes"))  # a page's containers at most
+    return rows.select("*", *page).join(held, ["host", "_page", "_sha"], "left").drop("_page", "_sha")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     prepare_workers(pages)
     known = templates(pages, min_pages, min_share)
-    few = (known.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host)
-    rows = rows.join(F.broadcast(known) if few else known, "host", "left")
+    few = known.count() <= BROADCAST_HASHES
+    sent: dict[str, set[int]] = {}
+    for r in known.toLocalIterator() if few else ():
+        sent.setdefault(r["host"], set()).add(r["hash"])
+    rows = rows.withColumn("hashes", F.lit(None).cast("array<long>")) if few else own_templates(rows, known)
 
     @F.pandas_udf("string")
-    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, hashes in batches:
-            yield pd.Series([Page(h).text(frozenset(t.tolist()) if t is not None else frozenset()) for h, t in zip(html, hashes)], dtype=object)
+    def extract(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, hosts, hashes in batches:
+            yield pd.Series([Page(h).text(sent.get(o, frozenset()) if t is None else frozenset(t.tolist())) for h, o, t in zip(html, hosts, hashes)], dtype=object)
 
-    return rows.select("page_id", "url", extract("html", "hashes").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select("page_id", "url", extract("html", "host", "hashes").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -118,6 +118,15 @@ def test_names_drop_containers_alone():
     assert P.Page(f"<body><p>some text to read</p>{gone}</body>").text() == "some text to read"
 
 
+def test_template_of_a_large_host(spark, monkeypatch):
+    """A notice on 60 of 900 contents is template as on a small host, whichever way its hash reaches the pages."""
+    rows = [(i, "http://a.test/", f"<body>{'<div>A notice of one section</div>' if i < 60 else ''}<div><p>Text {i}</p></div></body>", None, None) for i in range(900)]
+    pages = spark.createDataFrame(rows, PAGE)
+    for bound in (P.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(P, "BROADCAST_HASHES", bound)
+        assert {r.page_id: r.text for r in P.main_text(pages).collect()} == {i: f"Text {i}" for i in range(900)}
+
+
 def test_license_lines(spark):
     short = {k: v for k, v in L.TEMPLATES.items() if len(v) < 80}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
