@@ -5,8 +5,9 @@ order, it holds one of any floor((1 - least) * n) + 1 of them; the scan looks fo
 template's longest words and aligns the template with the stretch around each place where one
 occurs. Alignment, from that match on: equal words next to a match match; then words that occur
 once in the gap and once in the template's gap are anchors, the longest increasing subsequence of
-them matches, and the gaps between them are aligned alike. Coverage is the share of the template's words that match. Of
-findings that overlap, the one with the larger coverage (then more words, then the closer, then
+them matches, and the gaps between them are aligned alike. Coverage is the share of the template's words that match;
+besides, the words that name the licence and its version must match all, each phrase of them without
+words between. A version 2.0 is a version 2. Of findings that overlap, the one with the larger coverage (then more words, then the closer, then
 the first) stays.
 
 Whole texts are scanned, whatever their length, each within its task; nothing is shuffled.
@@ -28,8 +29,13 @@ from pyspark.sql import functions as F
 from sitemill.llm.slices import prepare_workers
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-'][a-z0-9]+)*")
+NUMBER = re.compile(r"(\d+)\.0")
 LEAST = 0.8
 
+_GNU = "GNU {}General Public License"
+_GNU_HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+               "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+
 # The wording of public licence notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -43,8 +49,23 @@ TEMPLATES = {
                 "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
                 "this permission notice shall be included in all copies or substantial portions of the Software.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-                               "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later header": _GNU_HEADER.format("", "3"),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-or-later header": _GNU_HEADER.format("", "2"),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-or-later header": _GNU_HEADER.format("Lesser ", "2.1"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-or-later header": _GNU_HEADER.format("Lesser ", "3"),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-or-later header": _GNU_HEADER.format("Affero ", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "ISC": "Released under the ISC License.",
+    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+                "provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD": "Released under the BSD License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -52,6 +73,20 @@ TEMPLATES = {
                       "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
 }
 
+#: The phrases that tell which licence it is; texts of a licence that don't name it have none.
+IDENTITY = {
+    "Apache-2.0": ("Apache License", "2.0"), "Apache-2.0 header": ("Apache License", "2.0"), "MIT": ("MIT",), "ISC": ("ISC",), "BSD": ("BSD",),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+    **{f"{x}GPL-{v}{end}": (_GNU.format(kind), n, *more) for x, kind, v, n in (("", "", "2.0", "2"), ("", "", "3.0", "3"), ("L", "Lesser ", "2.1", "2.1"), ("L", "Lesser ", "3.0", "3"), ("A", "Affero ", "3.0", "3"))
+       for end, more in (("", ()), ("-or-later header", ("any later version",)))},
+    **{f"CC-{k}-4.0": (f"CC {k} 4.0",) for k in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+}
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text; a version 2.0 is a 2."""
+    return [NUMBER.fullmatch(w)[1] if w.endswith(".0") and NUMBER.fullmatch(w) else w for w in WORD.findall(text)]
+
 
 def increasing(values: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence, by patience sorting."""
@@ -104,7 +139,13 @@ def align(text: list[str], template: list[str], at: tuple[int, int]) -> list[tup
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST):
         self.least = least
-        self.words = {name: WORD.findall(t.lower()) for name, t in templates.items()}
+        self.words = {name: words_of(t.lower()) for name, t in templates.items()}
+        #: For each template the places (first, behind the last) of its identifying phrases.
+        self.identity: dict[str, list[tuple[int, int]]] = {}
+        for name, words in self.words.items():
+            phrases = [words_of(x.lower()) for x in IDENTITY.get(name, ())]
+            places = [(next((k for k in range(len(words)) if words[k:k + len(x)] == x), -1), len(x)) for x in phrases]
+            self.identity[name] = [(k, k + n) for k, n in places if k >= 0]
         self.keys: dict[str, list[tuple[str, int]]] = {}
         for name, words in self.words.items():
             need = math.floor((1 - least) * len(words) + 1e-9) + 1
@@ -115,6 +156,11 @@ class Scanner:
                     self.keys.setdefault(w, []).append((name, k))
         self.any = re.compile("|".join(sorted(map(re.escape, self.keys), key=len, reverse=True)) or r"(?!)")
 
+    def identified(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each identifying phrase matches whole and without words between."""
+        place = {y: x for x, y in pairs}
+        return all(c in place and all(place.get(k) == place[c] + k - c for k in range(c, d)) for c, d in self.identity[name])
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end) of each notice, in text order; positions in code points."""
         lower = text.lower()
@@ -123,7 +169,7 @@ class Scanner:
         if len(lower) != len(text):
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         spans = [m.span() for m in WORD.finditer(lower)]
-        words = [lower[a:b] for a, b in spans]
+        words = words_of(lower)
         covered, found = set(), []
         for p, w in enumerate(words):
             for name, k in self.keys.get(w, ()):
@@ -133,7 +179,7 @@ class Scanner:
                 if (name, p, k) in covered:
                     continue  # it was matched in an alignment around another place
                 pairs = align(words[lo:hi], template, (p - lo, k))
-                if len(pairs) >= self.least * len(template):
+                if len(pairs) >= self.least * len(template) and self.identified(name, pairs):
                     covered.update((name, lo + x, y) for x, y in pairs)
                     a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
                     found.append((-len(pairs) / len(template), -len(pairs), b - a, a, b, name))

@@ -153,6 +153,23 @@ def test_license_alignment():
     assert ("İİ " + line)[at[2]:at[3]] == line[:-1]
 
 
+@pytest.mark.parametrize("notice, want", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("This work is licensed under the GNU General Public License, version 3.0.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 1.", []), ("Licensed under the Apache License, Version 1.1.", []), ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+    ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY 3.0.", []), ("Released under the BSD License.", ["BSD"]), ("Released under the Foo License.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]), ("It was released under an MIT License.", ["MIT"]),
+    (L.TEMPLATES["GPL-3.0-or-later header"].replace("version 3", "version 2"), ["GPL-2.0-or-later header"])])
+def test_licenses_by_name_and_version(notice, want):
+    assert [g[0] for g in L.Scanner(L.TEMPLATES).scan(f"Some words before. {notice} Some words behind.")] == want
+
+
+def test_identifying_words_are_in_their_templates():
+    s = L.Scanner(L.TEMPLATES)
+    assert L.IDENTITY.keys() == L.TEMPLATES.keys() - {"MIT text", "ISC text", "BSD conditions"}
+    assert all(len(s.identity[k]) == len(v) for k, v in L.IDENTITY.items())
+    assert all([(g[0], g[1]) for g in s.scan(t)] == [(k, 1.0)] for k, t in L.TEMPLATES.items())
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_increasing(seed):
     rnd = random.Random(seed)
