@@ -7,7 +7,6 @@ A null text counts as empty in every stage; an empty table passes through all of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitemill.llm import exact_dedup, importance, jaccard_join, packing, toxicity
 from sitemill.session import materialise
@@ -37,8 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near copies."""
-    groups = materialise(jaccard_join.jaccard_components(docs, WORDS, PERCENT), "groups")
-    return exact_dedup.minus(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return jaccard_join.without_near_copies(docs, WORDS, PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

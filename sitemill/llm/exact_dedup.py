@@ -115,16 +115,23 @@ def minus(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_gone"]), "left_anti")
 
 
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, whose doc_id is among ``ids`` (doc_id); null is a value."""
+    return docs.join(ids.select(F.col("doc_id").alias("_again")), docs["doc_id"].cast("long").eqNullSafe(F.col("_again")), "left_semi")
+
+
 def without_copies(docs: DataFrame, capacity: int = 65536) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; of rows equal in doc_id and text one."""
-    found = materialise(exact_duplicates(docs, capacity).select("doc_id", "kept"), "copies")
+    found = materialise(exact_duplicates(docs, capacity).select("doc_id", "kept", "text_sha256"), "copies")
     by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     left = minus(docs, by_id.where(~F.col("kept")))
     again = by_id.where("kept AND n > 1").select("doc_id")
     if again.isEmpty():
         return left
-    own = left.join(again.withColumnRenamed("doc_id", "_again"), left["doc_id"].cast("long").eqNullSafe(F.col("_again")), "left_semi")
-    one = own.withColumn("_text", F.sha2(normalise(F.col("text")), 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    # an id of several rows doesn't say which of them stays: its text does
+    own = rows_of(left, again).withColumn("_text", F.sha2(normalise(F.col("text")), 256))
+    stay = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    one = own.join(stay, own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
     return minus(left, again).unionByName(one)
 
 

@@ -28,10 +28,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemill.llm.exact_dedup import minus, rows_of
 from sitemill.llm.graph import components
 from sitemill.llm.shingles import set_id, shingle_sets
 from sitemill.llm.slices import slices, prepare_workers
@@ -153,15 +155,48 @@ class Join:
         return first, materialise(self.linked(rest, whole), "answers")
 
 
+def set_ids(k: int):
+    """A column function text -> the id of its set."""
+
+    @F.pandas_udf("long")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([set_id(s) for part in slices(texts) for s in shingle_sets(part.fillna("").tolist(), k)], dtype="int64")
+
+    return ids
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+    return component_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component one row of its smallest doc_id, and all empty sets."""
+    rows = materialise(component_rows(docs, k, percent), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    left = minus(docs, rows.where(~first).select("doc_id").unionByName(again))
+    if again.isEmpty():
+        return left
+    # an id of several rows doesn't say which of them stays: its set does
+    stay = rows.where(first & (F.col("n_shingles") > 0)).groupBy("root").agg(F.min(F.struct("sid", "doc_id")).alias("s"))
+    stay = stay.select(F.col("s.doc_id").alias("_id"), F.col("s.sid").alias("_stays")).unionByName(rows.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_stays")))
+    own = rows_of(docs, again).withColumn("_sid", set_ids(k)(F.col("text").cast("string")))
+    own = own.join(stay, own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_stays")), "left_semi")
+    empty = F.col("_sid") == set_id(np.empty(0, np.uint64))
+    return left.unionByName(own.where(~empty).dropDuplicates(["doc_id", "_sid"]).unionByName(own.where(empty)).drop("_sid"))
+
+
+def component_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, sid, and root, a sid that stands for the component."""
     join = Join(percent, k)
     members = materialise(sets(docs, k, min(1.0, 1.9 * (1 - percent / 100))), "members")
     whole = join.partners_possible(docs, members)
     first, second = join.links(whole)
     roots = components(first.unionByName(second)).withColumnRenamed("id", "sid")
-    named = members.select("doc_id", "n", "sid").where("n > 0").join(roots, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    named = members.select("doc_id", "n", "sid").where("n > 0").join(roots, "sid", "left").select("doc_id", "n", "sid", F.coalesce("root", "sid").alias("root"))
     # written, so that the join deals out its rows itself and a large component can be split
     least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    empty = members.where("n = 0").select("doc_id", F.lit(0).alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = members.where("n = 0").select("doc_id", F.lit(0).alias("n_shingles"), F.col("doc_id").alias("component_id"), "sid", F.col("sid").alias("root"))
+    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sid", "root").unionByName(empty)
