@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitemill.llm import exact_dedup
+from sitemill.llm import exact_dedup, filter_audit, lexical_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order, by language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item, by the Best Position Algorithm."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     "op2_vector_join": op2_vector_join,
     "op3_importance_resampling": op3_importance_resampling,
@@ -97,7 +107,11 @@ LLM_QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_page_text": op5_page_text,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 LLM_ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
