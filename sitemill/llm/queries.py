@@ -91,6 +91,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeated 400-byte strings from all documents, by merged Burrows-Wheeler transforms."""
+    from sitemill.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item, by the Best Position Algorithm."""
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -108,6 +115,7 @@ LLM_QUERIES = {
     "op5_page_text": op5_page_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
 LLM_ORACLES: dict[str, str] = {
