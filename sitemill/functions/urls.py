@@ -84,17 +84,21 @@ def host(link) -> Column:
 # ---------------------------------------------------------------------------
 # U2 registered domain
 # ---------------------------------------------------------------------------
+def domain_host(url) -> Column:
+    """Lower-cased host of a URL whose scheme may be missing; userinfo and port dropped."""
+    h = F.regexp_replace(_lit(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    h = F.regexp_extract(h, r"^([^/?#]*)", 1)
+    h = F.substring_index(h, "@", -1)
+    return F.lower(F.regexp_replace(h, r":[0-9]*$", ""))
+
+
 def registered_domain(url) -> Column:
-    """Registered domain + public suffix; scheme optional, userinfo dropped.
+    """Registered domain by the seed suffixes alone, without a join.
 
-    The suffix list is a fixed literal, so the lookup is an ``InSet`` test per
-    candidate suffix length instead of a join.
+    For a site context read off each page's own URL; where the suffix rules are
+    a relation, see ``operators.domains``.
     """
-    u = _lit(url)
-    h = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
-    h = F.regexp_extract(h, r"^([^/?#]*)", 1)
-    h = F.substring_index(h, "@", -1)
-    h = F.lower(F.regexp_replace(h, r":[0-9]*$", ""))
+    h = domain_host(url)
     labels = F.split(h, r"\.")
     n = F.size(labels)
 
@@ -102,12 +106,12 @@ def registered_domain(url) -> Column:
         return F.array_join(F.slice(labels, -k, k), ".")
 
     def dom(k: int) -> Column:
-        return F.concat(F.try_element_at(labels, n - F.lit(k)), F.lit("."), suffix(k))
+        return F.concat(F.coalesce(F.try_element_at(labels, n - F.lit(k)), F.lit("")), F.lit("."), suffix(k))
 
     out = F.lit(None).cast("string")
     # longest matching suffix wins: check short ones first so long ones override
     for k in (1, 2, 3):
-        out = F.when((n > k) & suffix(k).isin(PUBLIC_SUFFIXES), dom(k)).otherwise(out)
+        out = F.when((n >= k) & suffix(k).isin(PUBLIC_SUFFIXES), dom(k)).otherwise(out)
     return F.coalesce(out, F.concat(F.try_element_at(labels, F.lit(-1)), F.lit(".")))
 
 

@@ -8,6 +8,8 @@ every per-page window and aggregate below runs without another exchange.
 """
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,11 +20,15 @@ from sitemill.functions import text as T
 # Fixed values.
 # ---------------------------------------------------------------------------
 # One token per match, alternatives in priority order: comment, declaration,
-# whole script element, whole style element, any tag, text run, lone '<'.
+# whole script element, whole style element, any tag (a quoted attribute value
+# may hold '>'), text run, lone '<'.  What is never closed runs to the end of the
+# page, so every alternative succeeds on its first way through: the quantifiers
+# are possessive, which keeps matching linear and its stack flat whatever a tag's
+# size or number of attributes.
 TOKEN_RX = (
-    r"<!--[\s\S]*?-->|<![^>]*>|(?i:<script[\s\S]*?</script>)|(?i:<style[\s\S]*?</style>)"
-    # a quoted attribute value may hold '>'
-    r"|</?[A-Za-z][^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*)*>|[^<]+|<"
+    r"<!--[\s\S]*?(?:-->|\z)|<![^>]*+(?:>|\z)"
+    r"|(?i:<script[\s/>][\s\S]*?(?:</script\s*+>|\z))|(?i:<style[\s/>][\s\S]*?(?:</style\s*+>|\z))"
+    r"|</?[A-Za-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+(?:>|\z)|[^<]++|<"
 )
 # Elements that never have content, so they never open a nesting level.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -32,6 +38,17 @@ ATTRIBUTES = ["id", "class", "href", "src", "name", "content", "rel"]
 REMOVED_CLASSES = ["feature_form", "library_wrapper", "librarySearchForm", "feature_map", "feature_gallery"]
 REMOVED_TAGS = ["form"]
 
+# Optional end tags: elements that their list, and the items that end one another in it.
+# Rank 1 ends items of rank 1 and above, and so on; a list's own tags are rank 0.
+LISTS = {"ul": "list", "ol": "list", "menu": "list", "dl": "terms", "select": "options", "datalist": "options", "table": "table"}
+ITEMS = {"li": ("list", 1), "dt": ("terms", 1), "dd": ("terms", 1), "option": ("options", 1),
+         "thead": ("table", 1), "tbody": ("table", 1), "tfoot": ("table", 1), "tr": ("table", 2), "td": ("table", 3), "th": ("table", 3)}
+RANKS = (1, 2, 3)
+# Start or end tags of these end an open paragraph.
+BLOCKS = ["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
+          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "pre", "section",
+          "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
+
 TAG_NAME_RX = r"^</?([A-Za-z][A-Za-z0-9-]*)"
 
 
@@ -40,14 +57,22 @@ def _attr_rx(name: str) -> str:
 
 
 def _unquote(v: Column) -> Column:
-    """Raw attribute match -> value: strip quotes, decode entities; '' or null -> null."""
-    unq = F.when(F.startswith(v, F.lit('"')) | F.startswith(v, F.lit("'")), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    return F.when(v == "", F.lit(None).cast("string")).otherwise(T.decode_entities(unq))
+    """Raw attribute match -> value: quotes stripped; '' or null -> null."""
+    quoted = F.startswith(v, F.lit('"')) | F.startswith(v, F.lit("'"))
+    return F.when(v == "", F.lit(None).cast("string")).when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
-def attribute(raw: Column, name: str) -> Column:
-    """Value of attribute ``name`` in a start tag (entities decoded); null when absent."""
-    return _unquote(F.regexp_extract(raw, _attr_rx(name), 1))
+@cache
+def _attribute_columns() -> tuple[dict[str, Column], dict[str, Column], Column, dict[str, Column]]:
+    """Steps from ``_start`` to attribute values: matches, unquoted ones, those of tags with references decoded, and the values.
+
+    One regex per attribute and one decoder for all; tags without a '&' never enter it.
+    """
+    matches = {f"_v_{a}": F.regexp_extract(F.col("_start"), _attr_rx(a), 1) for a in ATTRIBUTES}
+    plain = {f"_u_{a}": _unquote(F.col(f"_v_{a}")) for a in ATTRIBUTES}
+    decoded = F.when(F.contains("_start", F.lit("&")), F.transform(F.array(*plain), lambda v: T.decode_references(v, attribute=True)))
+    values = {a: F.when(F.col("_decoded").isNotNull(), F.get("_decoded", F.lit(i))).otherwise(F.col(f"_u_{a}")) for i, a in enumerate(ATTRIBUTES)}
+    return matches, plain, decoded, values
 
 
 def has_class(cls: Column, key) -> Column:
@@ -67,6 +92,7 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
     """H1: ``pages(page_id, html, ...)`` -> ``tokens(page_id, pos, kind, tag, raw, <attrs>)``.
 
     ``keep`` lists extra page columns carried onto every token (e.g. site keys).
+    A tag that the page's end cuts off is of kind ``cut`` and has no tag.
     """
     keep = keep or []
     src = pages if partitioned else partition_pages(pages)
@@ -78,11 +104,13 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
     t = t.withColumn("_tag", F.lower(F.regexp_extract(raw, TAG_NAME_RX, 1)))
     tag = F.col("_tag")
     is_tag = F.startswith(raw, F.lit("<")) & (F.length(tag) > 0) & ~F.startswith(raw, F.lit("</"))
+    whole_element = is_tag & tag.isin("script", "style") & F.contains(raw, F.lit(">"))
     kind = (
         F.when(F.startswith(raw, F.lit("<!--")), "comment")
         .when(F.startswith(raw, F.lit("<!")), "decl")
+        .when(whole_element, "raw")
+        .when((F.length(tag) > 0) & ~F.endswith(raw, F.lit(">")), "cut")
         .when(F.startswith(raw, F.lit("</")) & (F.length(tag) > 0), "close")
-        .when(is_tag & tag.isin("script", "style") & F.regexp_like(raw, F.lit(r"(?i:</(script|style)>)$")), "raw")
         .when(is_tag, "open")
         .otherwise("text")
     )
@@ -90,39 +118,86 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
     # the start tag of a whole-element token is everything up to its first '>'
     is_start = F.col("kind").isin("open", "raw")
     t = t.withColumn("_start", F.when(F.col("kind") == "raw", F.substring_index(raw, ">", 1)).when(is_start, raw))
-    # one regex per attribute, materialised before unquoting so it runs once
-    t = t.withColumns({f"_v_{a}": F.regexp_extract(F.col("_start"), _attr_rx(a), 1) for a in ATTRIBUTES})
-    t = t.withColumns({a: _unquote(F.col(f"_v_{a}")) for a in ATTRIBUTES})
-    return t.select("page_id", "pos", *keep, "kind", "tag", "raw", *ATTRIBUTES)
+    matches, plain, decoded, values = _attribute_columns()
+    t = t.withColumns(matches).withColumns(plain).withColumn("_decoded", decoded)
+    return t.select("page_id", "pos", *keep, "kind", "tag", "raw", *[v.alias(a) for a, v in values.items()])
 
 
 def with_extents(tok: DataFrame) -> DataFrame:
-    """H2: add ``level`` and ``end_pos`` to element start tokens.
+    """H2: add ``level``, ``end_pos`` and ``nesting`` to tags.
 
-    Depth is a running sum per (page, tag); a start tag's matching end tag is
-    the next token of the same (page, tag, level).  Elements never closed end
-    at the page's last token.  Windows are all keyed by page_id first, so they
-    reuse the archive's partitioning.
+    Depth is a running sum per (page, group of tags); within one depth, the tags from
+    a start tag to the next one of that depth are its scope, and the scope's
+    first end tag is its own.  Elements never closed end at the page's last token.
+
+    End tags that HTML leaves out are put in first.  Lists form one group per kind
+    (``LISTS``); items are events of the scope of their list, so nested lists
+    don't disturb them: an item ends at the next event of its rank or a lower
+    one, which is its own end tag or implies it.  A paragraph ends at the next
+    block's start or end.  ``nesting`` is what a tag adds to the depth of all that
+    follows: its own start or end, less the ends it implies; end tags of items
+    that are not open count nothing.
+
+    Windows are all keyed by page_id first, so they reuse the archive's partitioning.
     """
-    opens = (F.col("kind") == "open") & ~F.col("tag").isin(VOID_TAGS)
-    closes = F.col("kind") == "close"
-    delta = F.when(opens, 1).when(closes, -1).otherwise(0)
-    by_tag = W.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = tok.withColumn("_delta", delta).withColumn("_depth", F.sum("_delta").over(by_tag))
-    t = t.withColumn(
-        "level",
-        F.when(opens, F.col("_depth")).when(closes, F.col("_depth") + 1).cast("bigint"),
-    )
-    by_level = W.partitionBy("page_id", "tag", "level").orderBy("pos")
-    nxt_kind = F.lead("kind").over(by_level)
-    nxt_pos = F.lead("pos").over(by_level)
-    last_pos = F.max("pos").over(W.partitionBy("page_id"))
-    t = t.withColumn(
-        "end_pos",
-        F.when(opens, F.when(nxt_kind == "close", nxt_pos).otherwise(last_pos))
-        .when(F.col("kind").isin("open", "raw"), F.col("pos")),
-    )
-    return t.drop("_delta", "_depth")
+    scoped, t = _extent_columns(), tok
+    for columns in scoped:
+        t = t.withColumns(columns)
+    return t.select(*tok.columns, "level", "end_pos", "nesting")
+
+
+@cache
+def _extent_columns() -> list[dict[str, Column]]:
+    """The columns of ``with_extents``, step by step."""
+    tag, kind = F.col("tag"), F.col("kind")
+    opens, closes = F.col("_open"), kind == "close"
+    rank, holds = F.col("_rank"), F.col("_rank") == 0
+    names = lambda values: ", ".join(f"'{v}'" for v in values)
+    group = " ".join(f"WHEN '{t}' THEN '<{g}'" for t, g in [*LISTS.items(), *((t, g) for t, (g, _) in ITEMS.items())])
+    ranks = " ".join(f"WHEN '{t}' THEN {r}" for t, (_, r) in ITEMS.items())
+    marks = {
+        "_group": F.expr(f"CASE tag {group} ELSE tag END"), "_rank": F.expr(f"CASE tag {ranks} ELSE 0 END"),
+        "_open": F.expr(f"kind = 'open' AND tag NOT IN ({names(VOID_TAGS)})"),
+        "_block": F.expr(f"coalesce(kind IN ('open', 'close') AND tag IN ('p', {names(BLOCKS)}), false)"),
+    }
+    depth = F.sum(F.when(holds & opens, 1).when(holds & closes, -1).otherwise(0)).over(
+        W.partitionBy("page_id", "_group").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    level = F.when(opens | (~holds & closes), F.col("_depth")).when(closes, F.col("_depth") + 1).cast("bigint")
+    own_scope = F.max(F.when(holds & opens, F.col("pos"))).over(
+        W.partitionBy("page_id", "_group", "level").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    scope = W.partitionBy("page_id", "_group", "level", "_scope")
+    before = scope.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    after = scope.orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
+    # the nearest event of rank r or lower on either side; text and other tokens of no tag have no level
+    event = {r: F.when(F.col("level").isNotNull() & (rank <= r), F.struct("pos", "tag", "_open", "_rank")) for r in RANKS}
+    blocks = W.partitionBy("page_id", "_block").orderBy("pos")
+    around = {f"_next{r}": F.last(event[r], True).over(after) for r in RANKS}
+    around |= {f"_prev{r}": F.last(event[r], True).over(before) for r in RANKS}
+    around |= {
+        "_own_end": F.min(F.when(holds & closes, F.col("pos"))).over(scope),
+        "_next_block": F.lead(F.struct("pos", ((tag == "p") & closes).alias("p_close"))).over(blocks),
+        "_in_p": F.col("_block") & F.coalesce(F.lag((tag == "p") & opens).over(blocks), F.lit(False)),
+        "_last": F.max("pos").over(W.partitionBy("page_id")),
+    }
+    of_rank = lambda side: F.coalesce(*[F.when(rank == r, F.col(f"_{side}{r}")) for r in RANKS])
+    own = {"_next": of_rank("next"), "_prev": of_rank("prev")}
+    nxt, prev = F.col("_next"), F.col("_prev")
+    item_end = F.when((nxt["tag"] == tag) & ~nxt["_open"], nxt["pos"]).otherwise(nxt["pos"] - 1)
+    p_end = F.when(F.col("_next_block.p_close"), F.col("_next_block.pos")).otherwise(F.col("_next_block.pos") - 1)
+    end = F.when(tag == "p", p_end).when(holds, F.col("_own_end")).otherwise(item_end)
+    implied = F.lit(0)
+    for r in RANKS:
+        is_open = F.coalesce(F.col(f"_prev{r}")["_open"] & (F.col(f"_prev{r}")["_rank"] == r), F.lit(False))
+        ends = (opens & ~holds & (rank <= r)) | (closes & (rank < r))
+        implied = implied + F.when(is_open & ends, 1).otherwise(0)
+    implied = implied + F.when(F.col("_in_p") & ~((tag == "p") & closes), 1).otherwise(0)
+    matched = F.when(tag == "p", F.col("_in_p")).when(holds, F.lit(True)).otherwise(F.coalesce((prev["tag"] == tag) & prev["_open"], F.lit(False)))
+    out = {
+        "end_pos": F.when(opens, F.coalesce(end, "_last")).when(kind.isin("open", "raw"), F.col("pos")),
+        "nesting": F.coalesce(F.when(opens, 1).when(closes & matched, -1), F.lit(0)) - F.coalesce(implied, F.lit(0)),
+        "level": F.when(tag == "p", F.when(opens | closes, 1)).otherwise(F.col("level")).cast("bigint"),
+    }
+    return [marks, {"_depth": depth}, {"level": level}, {"_scope": own_scope}, around, own, out]
 
 
 def covered_by(marked: Column) -> Column:

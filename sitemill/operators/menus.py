@@ -22,11 +22,9 @@ from sitemill.sources import rules as R
 
 
 def with_depth(ext: DataFrame) -> DataFrame:
-    """Global element depth (start tags: depth including themselves)."""
-    opens = (F.col("kind") == "open") & ~F.col("tag").isin(H.VOID_TAGS)
-    delta = F.when(opens, 1).when(F.col("kind") == "close", -1).otherwise(0)
+    """Global element depth (start tags: depth including themselves), with the end tags that HTML leaves out."""
     run = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ext.withColumn("depth", F.sum(delta).over(run))
+    return ext.withColumn("depth", F.sum("nesting").over(run))
 
 
 def with_item_facts(ext: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def with_item_facts(ext: DataFrame) -> DataFrame:
     anchor = (F.col("kind") == "open") & (F.col("tag") == "a") & F.col("href").isNotNull()
     rev = W.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ext.withColumn("_next_text", F.last(F.when(nonblank, F.struct(F.col("pos").alias("p"), TX.decode_entities(F.col("raw")).alias("v"))), True).over(rev))
+        ext.withColumn("_next_text", F.last(F.when(nonblank, F.struct(F.col("pos").alias("p"), TX.decode_references(F.col("raw")).alias("v"))), True).over(rev))
         .withColumn("_next_a", F.last(F.when(anchor, F.struct(F.col("pos").alias("p"), F.col("href").alias("v"))), True).over(rev))
     )
 

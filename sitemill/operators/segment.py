@@ -6,11 +6,14 @@ to ASCII as in slugs:
 vocabulary size.  The global rank never sorts the vocabulary in one
 task (see ``word_costs``).
 
-T7 splits every distinct name part with a minimum-cost dynamic programme:
-candidate words are all substrings (no length cap beyond the longest word in
-the vocabulary) joined to the cost table, then folded per part with
-``aggregate`` (tie: shorter last word, as the original splitter did).
-Characters that are not words cost ``UNKNOWN_COST`` each.
+T7 splits every distinct name part with a minimum-cost dynamic programme over
+the lattice of its words.  A table of the vocabulary's prefixes (of ``PROBES``
+letters) says how long a word with that beginning can get; each start in a part
+is probed once per prefix length and grows only while its prefix occurs, so the
+substrings that meet the cost table are few.  Edges are grouped by their end;
+one fold over the ends keeps costs and back-pointers (tie: shorter last word, as
+the original splitter did).  Characters that are not words cost
+``UNKNOWN_COST`` each.
 """
 from __future__ import annotations
 
@@ -18,16 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sitemill.functions.text import FOLD_FROM, FOLD_TO
+from sitemill.functions.text import fold_letters
+from sitemill.sources.archive import spread
 
 WORD_RX = "[a-z]+"
+# Runs of ASCII letters and characters beyond ASCII: folding a run never joins it to another.
+LETTER_RX = r"[^\x00-@\[-`{-\x7F]+"
 BUCKET_CHARS = 3
 UNKNOWN_COST = 1.0e4
+# Letters of the prefixes that a start is probed with; words shorter than the first are tried anyway.
+PROBES = (3, 6, 12)
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.translate(F.col("text"), FOLD_FROM, FOLD_TO)), F.lit(WORD_RX), 0)).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    """Occurrences of every folded word; letters are folded once per different word, not per occurrence."""
+    runs = spread(documents.select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTER_RX), 0)).alias("run")).groupBy("run").agg(F.count("*").alias("k"))
+    words = runs.select("k", F.explode(F.regexp_extract_all(F.lower(fold_letters("run")), F.lit(WORD_RX), 0)).alias("word"))
+    return words.groupBy("word").agg(F.sum("k").alias("n"))
 
 
 def word_costs(documents: DataFrame) -> DataFrame:
@@ -63,37 +73,42 @@ def word_costs(documents: DataFrame) -> DataFrame:
     )
 
 
+def prefixes(costs: DataFrame) -> DataFrame:
+    """``(prefix, reach)``: the vocabulary's beginnings of ``PROBES`` letters, and the most letters of a word with each."""
+    cut = F.explode(F.array(*[F.lit(p) for p in PROBES])).alias("p")
+    words = costs.select("word", cut).where(F.length("word") >= F.col("p"))
+    return words.groupBy(F.expr("left(word, p)").alias("prefix")).agg(F.max(F.length("word")).alias("reach"))
+
+
+def candidates(parts: DataFrame, costs: DataFrame) -> DataFrame:
+    """``(part, i, j)``: starts and ends (from 1) of the substrings of each part that can be words."""
+    starts = parts.select("part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("i")).withColumn("rest", F.length("part") - F.col("i") + 1)
+    probes = starts.select("part", "i", "rest", F.explode(F.array(*[F.lit(p) for p in PROBES])).alias("p")).where("p <= rest")
+    probes = probes.withColumn("prefix", F.expr("substring(part, i, p)")).join(prefixes(costs), "prefix")
+    # of the longest prefix that occurs; a longer one of the next size would have occurred too
+    found = probes.groupBy("part", "i").agg(F.max(F.struct("p", "reach")).alias("f"))
+    beyond = F.lit(1 << 30)
+    for p, q in zip(PROBES, PROBES[1:]):
+        beyond = F.when(F.col("f.p") == p, F.lit(q - 1)).otherwise(beyond)
+    grown = starts.join(found, ["part", "i"], "left").withColumn("length", F.least("rest", F.coalesce(F.least("f.reach", beyond), F.lit(PROBES[0] - 1))))
+    return grown.select("part", "i", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1)).alias("j"))
+
+
 def segment(parts: DataFrame, costs: DataFrame, col: str = "part") -> DataFrame:
     """``parts(part)`` (distinct lower-case letters) -> ``(part, words array<string>)``."""
-    max_len = costs.agg(F.max(F.length("word"))).first()[0] or 1
     p = parts.select(F.col(col).alias("part")).where(F.length("part") > 0).distinct()
-    n = F.length("part")
-    subs = p.select("part", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    subs = subs.select("part", "i", F.explode(F.sequence(F.col("i"), F.least(n, F.col("i") + (max_len - 1)))).alias("j"))
-    subs = subs.withColumn("sub", F.substring(F.col("part"), F.col("i"), F.col("j") - F.col("i") + 1))
+    subs = candidates(p, costs).withColumn("sub", F.expr("substring(part, i, j - i + 1)"))
     known = subs.join(costs.select(F.col("word").alias("sub"), "cost"), "sub", "left")
     edges = known.where(F.col("cost").isNotNull() | (F.col("i") == F.col("j"))).select(
-        "part",
-        F.struct(
-            (F.col("i") - 1).alias("s"), F.col("j").alias("e"),
-            F.coalesce(F.col("cost"), F.lit(UNKNOWN_COST)).alias("c"),
-        ).alias("edge"),
-    )
-    g = edges.groupBy("part").agg(F.collect_list("edge").alias("edges"))
+        "part", F.col("j").alias("e"), F.struct((F.col("i") - 1).alias("s"), F.coalesce(F.col("cost"), F.lit(UNKNOWN_COST)).alias("c")).alias("edge"))
+    ends = edges.groupBy("part", "e").agg(F.collect_list("edge").alias("edges"))
+    # every end has an edge, that of its last letter, so the lists are all ends in order
+    g = ends.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("e", "edges"))).alias("ends"))
     init = F.array(F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k")))
     best = F.aggregate(
-        F.sequence(F.lit(1), F.length("part")),
-        init,
-        lambda acc, i: F.array_append(
-            acc,
-            F.array_min(F.transform(
-                F.filter(F.col("edges"), lambda e: e["e"] == i),
-                lambda e: F.struct(
-                    (F.element_at(acc, e["s"] + 1)["c"] + e["c"]).alias("c"),
-                    (e["e"] - e["s"]).alias("k"),
-                ),
-            )),
-        ),
+        F.col("ends"), init,
+        lambda acc, end: F.array_append(acc, F.array_min(F.transform(
+            end["edges"], lambda e: F.struct((F.element_at(acc, e["s"] + 1)["c"] + e["c"]).alias("c"), (end["e"] - e["s"]).alias("k"))))),
     )
     g = g.withColumn("_best", best)
     back = F.aggregate(

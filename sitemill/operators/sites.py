@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from sitemill.functions import text as TX
 from sitemill.functions import urls as U
+from sitemill.operators import domains as D
 from sitemill.operators import html as H
 from sitemill.operators.frontier import url_key
 from sitemill.sources import rules as R
@@ -20,14 +21,11 @@ from sitemill.sources import rules as R
 SITE_JSON_SCHEMA = "sites ARRAY<STRUCT<editor_url: STRING>>"
 
 
-def parse_registry(registry: DataFrame) -> DataFrame:
-    """S3: ``registry(site, site_url, site_json)`` -> adds editor_url, media_base, domain."""
+def parse_registry(registry: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """S3: ``registry(site, site_url, site_json)`` -> adds editor_url, media_base, domain (by the ``suffixes`` rules)."""
     editor = F.get(F.from_json(F.col("site_json"), SITE_JSON_SCHEMA)["sites"], 0)["editor_url"]
-    return (
-        registry.withColumn("editor_url", F.regexp_replace(editor, "^http:", "https:"))
-        .withColumn("media_base", U.media_base_from_editor(F.col("editor_url")))
-        .withColumn("domain", U.registered_domain(F.col("site_url")))
-    )
+    reg = registry.withColumn("editor_url", F.regexp_replace(editor, "^http:", "https:")).withColumn("media_base", U.media_base_from_editor(F.col("editor_url")))
+    return D.with_domain(reg, "site_url", suffixes)
 
 
 def home_pages(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -67,9 +65,9 @@ def content_rule(family: Column) -> tuple[Column, Column]:
     return kind, key
 
 
-def sites(pages: DataFrame, registry: DataFrame) -> DataFrame:
+def sites(pages: DataFrame, registry: DataFrame, suffixes: DataFrame) -> DataFrame:
     """``sites(site, site_url, domain, family, content_kind, content_key, media_base, home_page_id)``."""
-    reg = parse_registry(registry)
+    reg = parse_registry(registry, suffixes)
     # one home page per site even if the archive holds the home URL twice
     first = home_pages(pages.select("page_id", "url"), reg).groupBy("site").agg(F.min("page_id").alias("page_id"))
     # the archive's HTML is cut down to the home pages before it is dealt out
@@ -105,7 +103,7 @@ def seo_aggs() -> list[Column]:
                         F.when(is_meta & (F.col("name") == name), F.col("pos")))
 
     title_text = F.min_by(
-        F.when(F.col("_after_title") & (F.col("kind") == "text"), TX.decode_entities(F.col("raw"))),
+        F.when(F.col("_after_title") & (F.col("kind") == "text"), TX.decode_references(F.col("raw"))),
         F.when(F.col("_after_title") & (F.col("kind") == "text"), F.col("pos")),
     )
     return [first_meta("title").alias("_mt"), title_text.alias("_tt"),
@@ -184,7 +182,7 @@ def logos(home_ext: DataFrame) -> DataFrame:
         t = t.withColumn(col, H.covered_by(_family_marker(rows, fam)))
         ok = F.col(col) & (F.col("kind") == "text") & (F.length(F.trim(F.col("raw"), )) > 0)
         ok = ok & (F.length(F.regexp_replace(F.col("raw"), r"\s+", "")) > 0)
-        aggs.append(F.min_by(F.when(ok, TX.decode_entities(F.col("raw"))), F.when(ok, F.col("pos"))).alias(purpose))
+        aggs.append(F.min_by(F.when(ok, TX.decode_references(F.col("raw"))), F.when(ok, F.col("pos"))).alias(purpose))
     g = t.groupBy("page_id", "site", "site_url", "domain", "media_base", "family").agg(*aggs)
     src = U.logo_cdn_rewrite(F.coalesce(F.col("logo_src"), F.lit("")), F.col("site_url"), R.LOGO_CDN)
     g = g.withColumn("logo_src", F.when(F.col("family") == "W", src).otherwise(F.coalesce(F.col("logo_src"), F.lit(""))))

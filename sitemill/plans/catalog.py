@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitemill.operators import html as H
 from sitemill.operators import mapping as M
 from sitemill.plans import sqlfrag as S
+from sitemill.session import materialise
 from sitemill.sources import archive as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,7 @@ def link_disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 from sitemill.functions import text as TX  # noqa: E402
 from sitemill.functions import urls as U  # noqa: E402
 from sitemill.operators import business as B  # noqa: E402
+from sitemill.operators import domains as D  # noqa: E402
 from sitemill.operators import menus as MN  # noqa: E402
 from sitemill.operators import sites as ST  # noqa: E402
 from sitemill.operators import segment as SG  # noqa: E402
@@ -155,19 +157,21 @@ def url_rules(spark, sf_dir):
 
 @register("registered_domain", OR.REGISTERED_DOMAIN)
 def registered_domain(spark, sf_dir):
-    """U2 on every page URL, every document source and their hosts."""
+    """U2 on every page URL, every document source, their hosts, and the hosts moved below other suffixes, by a relation of rules."""
     pages = A.read_pages(spark, sf_dir).select(F.col("url").alias("input"))
     docs = A.read_table(spark, sf_dir, "documents").select(F.col("source").alias("input"))
     hosts = A.read_pages(spark, sf_dir).select(U.host("url").alias("input"))
-    d = pages.unionByName(docs).unionByName(hosts).where(F.col("input").isNotNull()).distinct()
-    return d.select("input", U.registered_domain(F.col("input")).alias("domain"))
+    moved = hosts.distinct().withColumn("end", F.explode(F.lit(list(FX.OTHER_SUFFIXES)))).select(F.concat(F.element_at(F.split("input", r"\."), 1), F.lit("."), "end").alias("input"))
+    d = pages.unionByName(docs).unionByName(hosts).unionByName(moved).where(F.col("input").isNotNull()).distinct()
+    rules = D.seed_rules(spark).unionByName(spark.createDataFrame([(r,) for r in FX.SUFFIX_RULES], "rule string"))
+    return D.with_domain(d, "input", rules)
 
 
 @register("slug_text", OR.SLUG_TEXT)
 def slug_text(spark, sf_dir):
     """T1-T3, T5 on anchor texts and link path stems of the archive."""
-    t = H.tokens(A.read_pages(spark, sf_dir))
-    texts = t.where(F.col("kind") == "text").select(TX.decode_entities(F.col("raw")).alias("input"))
+    t = H.tokens(FX.decorated_pages(spark, sf_dir).select("page_id", "html"))
+    texts = t.where(F.col("kind") == "text").select(TX.decode_references(F.col("raw")).alias("input"))
     stems = t.where(F.col("href").isNotNull()).select(TX.path_stem(F.col("href")).alias("input"))
     d = texts.unionByName(stems).distinct()
     s = TX.slugify(F.col("input"))
@@ -280,9 +284,11 @@ def word_costs(spark, sf_dir):
 def segmented_slugs(spark, sf_dir):
     """T4 + T7: minimum-cost split of every hyphen-free stem of the archive's links."""
     t = H.tokens(A.read_pages(spark, sf_dir))
-    slugs = t.where(F.col("href").isNotNull()).select(TX.slugify(TX.path_stem(F.col("href"))).alias("slug"))
+    hrefs = t.where(F.col("href").isNotNull()).select("href").distinct()
+    slugs = hrefs.select(TX.slugify(TX.path_stem(F.col("href"))).alias("slug")).distinct()
     slugs = slugs.where((F.length("slug") > 0) & ~F.contains(F.col("slug"), F.lit("-")))
-    return SG.derive_words(slugs, SG.word_costs(A.read_table(spark, sf_dir, "documents")), "slug")
+    costs = materialise(SG.word_costs(A.read_table(spark, sf_dir, "documents")), "word-costs")
+    return SG.derive_words(materialise(slugs, "slugs"), costs, "slug")
 
 
 @register("page_identity", OR.PAGE_IDENTITY)

@@ -4,8 +4,7 @@
 relation lazily: ``sites``, ``tokens``, ``menu``, ``url_map``, ``redirects``,
 ``dispositions``, ``processed``, ``identity``, ``content``, ``files``,
 ``outbox`` ...  Nothing is collected; the only driver round trips are the
-menu-depth probe, the crawl-closure rounds and the segmentation's longest
-word (each a single number).
+menu-depth probe and the crawl-closure rounds (a few numbers each).
 
 Partitioning: the archive is hash-partitioned by ``page_id`` once before
 tokenising.  Extents, coverage, SEO and reassembly are windows/aggregates
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from sitemill.functions import text as TX
 from sitemill.functions import urls as U
 from sitemill.operators import business as B
+from sitemill.operators import domains as D
 from sitemill.operators import frontier as FR
 from sitemill.operators import html as H
 from sitemill.operators import mapping as M
@@ -43,13 +43,15 @@ CONTEXT = ["site", "site_url", "domain", "media_base", "family"]
 class Migration:
     def __init__(self, spark: SparkSession, pages: DataFrame, registry: DataFrame,
                  documents: DataFrame | None = None, legacy_docs: DataFrame | None = None,
-                 materialize: bool = True):
+                 materialize: bool = True, suffixes: DataFrame | None = None):
+        """``suffixes(rule)`` holds public suffix rules; without it the seed rules are used."""
         self.spark = spark
         self.pages = pages.select("page_id", "url", "html")
         self.registry = registry
         self.documents = documents
         self.legacy_docs = legacy_docs
         self.materialize = materialize
+        self.suffixes = suffixes if suffixes is not None else D.seed_rules(spark)
         if materialize:
             ensure_checkpoint_dir(spark)
 
@@ -70,14 +72,14 @@ class Migration:
     # -- sites and per-page context -------------------------------------------------
     @cached_property
     def sites(self) -> DataFrame:
-        return self._cut(S.sites(self.pages, self.registry))
+        return self._cut(S.sites(self.pages, self.registry, self.suffixes))
 
     @cached_property
     def page_ctx(self) -> DataFrame:
         """(page_id, url, site, site_url, domain, media_base, family, content_kind, content_key) for known families."""
         p = self.pages.select("page_id", "url", U.host("url").alias("host"))
         s = self.sites.where(F.col("family") != "X").drop("home_page_id")
-        return p.join(self.hosts, "host").drop("host").join(s, "site")
+        return self._cut(p.join(self.hosts, "host").drop("host").join(s, "site"))
 
     @cached_property
     def hosts(self) -> DataFrame:
@@ -88,26 +90,27 @@ class Migration:
         """
         known = self.sites.select("site", "domain")
         bare = lambda c: F.regexp_replace(c, r"^www\.", "")
-        found = self.pages.select(U.host("url").alias("host")).distinct().withColumn("host_domain", U.registered_domain(F.col("host")))
+        found = D.with_domain(self.pages.select(U.host("url").alias("host")).distinct(), "host", self.suffixes, "host_domain")
         exact = known.select(F.col("site").alias("exact"))
         plain = known.groupBy(bare("site").alias("bare")).agg(F.min("site").alias("plain"))
         alone = known.groupBy(F.col("domain").alias("host_domain")).agg(F.min("site").alias("only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-        return (found.join(exact, found["host"] == exact["exact"], "left")
-                .join(plain, bare(found["host"]) == plain["bare"], "left").join(alone, "host_domain", "left")
-                .select("host", F.coalesce("exact", "plain", "only").alias("site")).where("site IS NOT NULL"))
+        return self._cut(found.join(exact, found["host"] == exact["exact"], "left")
+                         .join(plain, bare(found["host"]) == plain["bare"], "left").join(alone, "host_domain", "left")
+                         .select("host", F.coalesce("exact", "plain", "only").alias("site")).where("site IS NOT NULL"))
 
     # -- the token relation ------------------------------------------------------------
-    @cached_property
-    def tokens(self) -> DataFrame:
-        """Tokens of every page of a known family, with extents and region flags."""
-        # shuffle the HTML once (by page_id); the narrow context side moves to it
-        src = H.partition_pages(self.pages.select("page_id", "html")).join(
-            self.page_ctx.select("page_id", "content_kind", "content_key"), "page_id")
-        tok = H.with_extents(H.tokens(src, keep=["content_kind", "content_key"], partitioned=True))
+    def _tokens_of(self, pages: DataFrame) -> DataFrame:
+        """Tokens of ``pages(page_id, html, content_kind, content_key)``, with extents and region flags."""
+        tok = H.with_extents(H.tokens(H.partition_pages(pages), keep=["content_kind", "content_key"], partitioned=True))
         marker = H.content_marker(F.col("content_kind"), F.col("content_key"))
         return (tok.withColumn("in_content", H.covered_by(marker))
                 .withColumn("removed", H.covered_by(H.removal_marker())))
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Tokens of every page of a known family, with extents and region flags."""
+        return self._tokens_of(self.pages.select("page_id", "html").join(self.page_ctx.select("page_id", "content_kind", "content_key"), "page_id"))
+
     @cached_property
     def home_tokens(self) -> DataFrame:
         homes = self.sites.where(F.col("family") != "X").select(
@@ -170,7 +173,7 @@ class Migration:
 
     @cached_property
     def word_costs(self) -> DataFrame:
-        return SG.word_costs(self.documents)
+        return self._cut(SG.word_costs(self.documents))
 
     # -- crawl ------------------------------------------------------------------------
     @cached_property
@@ -192,7 +195,7 @@ class Migration:
 
     @cached_property
     def processed(self) -> DataFrame:
-        return FR.closure(self._cut(self.start_pages), self._cut(self.edges), checkpoint=self.materialize)
+        return FR.closure(self._cut(self.start_pages), self.edges)
 
     # -- identity, content, payloads -------------------------------------------------
     @cached_property
@@ -230,7 +233,9 @@ class Migration:
         first = self.link_values.groupBy("page_id", "pos").agg(F.min_by(F.struct("value", "is_file"), "pass").alias("v"))
         per_page = first.groupBy("page_id").agg(
             F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("_vals"))
-        t = self.tokens.where(F.col("in_content") & ~F.col("removed")).join(per_page, "page_id", "left")
+        # only the reached pages are rewritten, so only they are tokenised again
+        pages = self.pages.select("page_id", "html").join(self.processed_ctx.select("page_id", "content_kind", "content_key"), "page_id")
+        t = self._tokens_of(pages).where(F.col("in_content") & ~F.col("removed")).join(per_page, "page_id", "left")
         new = F.when(F.col("_vals").isNotNull(), F.element_at(F.col("_vals"), F.col("pos")))
         t = t.withColumn("_new", new["value"]).withColumn("_src", F.coalesce(~(F.col("tag") == "a") & new["is_file"], F.lit(False)))
         # a file goes to an image's src; a page link always becomes href, and an image's src stays
@@ -242,7 +247,7 @@ class Migration:
         t = t.withColumn("out", with_src)
         t = t.withColumn("out", F.when(F.col("_href").isNull(), F.col("out"))
                          .when(F.col("href").isNotNull(), F.regexp_replace("out", H._attr_rx("href"), F.concat(F.lit(' href="'), esc(F.col("_href")), F.lit('"'))))
-                         .otherwise(F.concat(F.regexp_replace("out", r"\s*/?>$", ""), F.lit(' href="'), F.col("_href"), F.lit('">'))))
+                         .otherwise(F.concat(F.rtrim(F.regexp_replace("out", r"/?>$", "")), F.lit(' href="'), F.col("_href"), F.lit('">'))))
         return t.select("page_id", "pos", "out")
 
     @cached_property

@@ -27,12 +27,7 @@ def has_class(cls: str, key: str) -> str:
 def tokens_cte(name: str, src: str, extra: list[str] | None = None) -> str:
     """``name(page_id, <extra>, pos, raw, kind, tag, <attrs>)`` from ``src(page_id, html, <extra>)``."""
     ex = "".join(f", {c}" for c in (extra or []))
-    tag = "_tag"
-    is_tag = f"(starts_with(raw, '<') AND length({tag}) > 0 AND NOT starts_with(raw, '</'))"
-    kind = (f"CASE WHEN starts_with(raw, '<!--') THEN 'comment' WHEN starts_with(raw, '<!') THEN 'decl' "
-            f"WHEN starts_with(raw, '</') AND length({tag}) > 0 THEN 'close' "
-            f"WHEN {is_tag} AND {tag} IN ('script', 'style') AND regexp_matches(raw, '(?i:</(script|style)>)$') THEN 'raw' "
-            f"WHEN {is_tag} THEN 'open' ELSE 'text' END")
+    kind = S.kind("raw")
     attrs = ", ".join(f"{S.attribute('_start', a)} AS {q(a)}" for a in ATTRS)
     return f"""
 {name}_0 AS (
@@ -54,24 +49,53 @@ def q(c: str) -> str:
 
 
 def extents_cte(name: str, tok: str) -> str:
-    """Adds ``level`` and ``end_pos`` (same rules as ``html.with_extents``)."""
+    """Adds ``level``, ``end_pos`` and ``nesting`` (same rules as ``html.with_extents``), the ends that HTML leaves out by joins on the next event."""
     opens = f"(kind = 'open' AND tag NOT IN {VOID})"
+    groups = " ".join(f"WHEN {S.q(t)} THEN {S.q('<' + g)}" for t, g in [*H.LISTS.items(), *((t, g) for t, (g, _) in H.ITEMS.items())])
+    ranks = " ".join(f"WHEN {S.q(t)} THEN {r}" for t, (_, r) in H.ITEMS.items())
+    sides = ", ".join(f"{f}(CASE WHEN rank <= {r} THEN {{'pos': pos, 'tag': tag, 'opens': opens, 'rank': rank}} END IGNORE NULLS) OVER {w} AS {n}{r}"
+                      for r in (1, 2, 3) for f, w, n in (("last_value", "before", "p"), ("first_value", "after", "n")))
+    own = lambda n: "CASE rank " + " ".join(f"WHEN {r} THEN {n}{r}" for r in (1, 2, 3)) + " END"
+    implied = " + ".join(f"CASE WHEN p{r}.opens AND p{r}.rank = {r} AND ((opens AND rank BETWEEN 1 AND {r}) OR (kind = 'close' AND rank < {r})) THEN 1 ELSE 0 END" for r in (1, 2, 3))
     return f"""
+{name}_t AS (
+  SELECT page_id, pos, kind, tag, {opens} AS opens, CASE tag {groups} ELSE tag END AS grp, CASE tag {ranks} ELSE 0 END AS rank FROM {tok} WHERE kind IN ('open', 'close') AND tag IS NOT NULL
+),
 {name}_d AS (
-  SELECT *, sum(CASE WHEN {opens} THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END)
-         OVER (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _depth
-  FROM {tok}
+  SELECT *, sum(CASE WHEN rank > 0 THEN 0 WHEN opens THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth
+  FROM {name}_t
 ),
 {name}_l AS (
-  SELECT *, CAST(CASE WHEN {opens} THEN _depth WHEN kind = 'close' THEN _depth + 1 END AS BIGINT) AS level FROM {name}_d
+  SELECT * EXCLUDE (depth), CASE WHEN opens OR (rank > 0 AND kind = 'close') THEN depth WHEN kind = 'close' THEN depth + 1 END AS lev FROM {name}_d
+),
+{name}_s AS (
+  SELECT *, max(CASE WHEN opens AND rank = 0 THEN pos END) OVER (PARTITION BY page_id, grp, lev ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope
+  FROM {name}_l WHERE lev IS NOT NULL
+),
+{name}_e AS (
+  SELECT *, min(CASE WHEN kind = 'close' AND rank = 0 THEN pos END) OVER (PARTITION BY page_id, grp, lev, scope) AS own_end, {sides}
+  FROM {name}_s
+  WINDOW before AS (PARTITION BY page_id, grp, lev, scope ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY page_id, grp, lev, scope ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+),
+{name}_p AS (
+  SELECT page_id, pos, lead(pos) OVER w AS next_pos, lead(tag = 'p' AND kind = 'close') OVER w AS next_closes, coalesce(lag(tag = 'p' AND opens) OVER w, false) AS in_p
+  FROM {name}_t WHERE tag IN {S.inlist(['p', *H.BLOCKS])}
+  WINDOW w AS (PARTITION BY page_id ORDER BY pos)
+),
+{name}_n AS (
+  SELECT e.page_id, e.pos, CASE WHEN e.tag = 'p' THEN 1 ELSE e.lev END AS level,
+         CASE WHEN NOT opens THEN NULL WHEN e.tag = 'p' THEN CASE WHEN next_closes THEN next_pos ELSE next_pos - 1 END WHEN rank = 0 THEN own_end
+              ELSE CASE WHEN ({own('n')}).tag = e.tag AND NOT ({own('n')}).opens THEN ({own('n')}).pos ELSE ({own('n')}).pos - 1 END END AS own_end,
+         CASE WHEN opens THEN 1 WHEN e.tag = 'p' THEN CASE WHEN in_p THEN -1 ELSE 0 END WHEN rank = 0 THEN -1
+              WHEN ({own('p')}).tag = e.tag AND ({own('p')}).opens THEN -1 ELSE 0 END - ({implied}) AS nesting
+  FROM {name}_e e LEFT JOIN {name}_p p ON p.page_id = e.page_id AND p.pos = e.pos
 ),
 {name} AS (
-  SELECT * EXCLUDE (_depth),
-         CAST(CASE WHEN {opens} THEN (CASE WHEN lead(kind) OVER w = 'close' THEN lead(pos) OVER w
-                                             ELSE max(pos) OVER (PARTITION BY page_id) END)
-                   WHEN kind IN ('open', 'raw') THEN pos END AS INTEGER) AS end_pos
-  FROM {name}_l
-  WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY pos)
+  SELECT t.*, CAST(n.level AS BIGINT) AS level,
+         CAST(CASE WHEN {opens} THEN coalesce(n.own_end, max(t.pos) OVER (PARTITION BY t.page_id)) WHEN kind IN ('open', 'raw') THEN t.pos END AS INTEGER) AS end_pos,
+         coalesce(n.nesting, 0) - CASE WHEN coalesce(p.in_p, false) AND NOT (tag = 'p' AND kind = 'close') THEN 1 ELSE 0 END AS nesting
+  FROM {tok} t LEFT JOIN {name}_n n ON n.page_id = t.page_id AND n.pos = t.pos LEFT JOIN {name}_p p ON p.page_id = t.page_id AND p.pos = t.pos
 )"""
 
 
@@ -175,20 +199,33 @@ SELECT site_url, link, {S.scheme('link')} AS scheme, {S.netloc('link')} AS netlo
 FROM l
 """
 
+_RULES = ", ".join(f"({S.q(r)})" for r in [*U.PUBLIC_SUFFIXES, *FX.SUFFIX_RULES])
 REGISTERED_DOMAIN = f"""
-WITH d AS (
+WITH hosts AS (SELECT DISTINCT {S.host('url')} AS host FROM pages),
+d AS (
   SELECT DISTINCT input FROM (
-    SELECT url AS input FROM pages UNION ALL SELECT source FROM documents UNION ALL SELECT {S.host('url')} FROM pages
+    SELECT url AS input FROM pages UNION ALL SELECT source FROM documents UNION ALL SELECT host FROM hosts
+    UNION ALL SELECT split_part(host, '.', 1) || '.' || e FROM hosts, (SELECT unnest([{', '.join(S.q(e) for e in FX.OTHER_SUFFIXES)}]) AS e)
   ) WHERE input IS NOT NULL
-)
-SELECT input, {S.registered_domain('input')} AS domain FROM d
+),
+l AS (SELECT input, string_split(lower(regexp_replace({S.last_seg(S.regexp_extract_prefix('input'), '@')}, ':[0-9]*$', '')), '.') AS labels FROM d),
+r AS (SELECT DISTINCT string_split(lower(string_split(trim(rule), ' ')[1]), '.') AS rule FROM (VALUES {_RULES}) v(rule) WHERE trim(rule) <> '' AND NOT starts_with(trim(rule), '//')),
+fits AS (
+  SELECT input, labels, starts_with(rule[1], '!') AS excepted, CASE WHEN starts_with(rule[1], '!') THEN len(rule) - 1 ELSE len(rule) END AS k
+  FROM l JOIN r ON len(rule) <= len(labels) AND labels[len(labels) - len(rule) + 2:] = rule[2:]
+    AND (rule[1] = '*' OR ltrim(rule[1], '!') = labels[len(labels) - len(rule) + 1])
+),
+best AS (SELECT input, coalesce(max(k) FILTER (excepted), max(k)) AS k FROM fits GROUP BY input),
+f AS (SELECT input, labels, coalesce(k, 0) AS k FROM l LEFT JOIN best USING (input))
+SELECT input, coalesce(labels[len(labels) - k], '') || '.' || array_to_string(labels[len(labels) - k + 1:], '.') AS domain FROM f
 """
 
 SLUG_TEXT = f"""
-WITH {tokens_cte('tok', 'pages')},
+WITH deco AS ({FX.decorated_sql('pages')}),
+{tokens_cte('tok', 'deco')},
 d AS (
   SELECT DISTINCT input FROM (
-    SELECT {S.decode_entities('raw')} AS input FROM tok WHERE kind = 'text'
+    SELECT {S.decode_references('raw')} AS input FROM tok WHERE kind = 'text'
     UNION ALL SELECT {S.path_stem('href')} FROM tok WHERE href IS NOT NULL
   )
 ),
@@ -212,7 +249,7 @@ t AS (
 g AS (
   SELECT page_id,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'title') AS mt,
-    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
+    arg_min({S.decode_references('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'keywords') AS kw,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'description') AS ds
   FROM t GROUP BY page_id
@@ -283,8 +320,8 @@ t AS (
 g AS (
   SELECT page_id, site, site_url, domain, media_base, family,
     arg_min(src, pos) FILTER (WHERE src IS NOT NULL AND ((img_is_root AND is_root) OR (NOT img_is_root AND in_root AND tag = 'img'))) AS logo_src,
-    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE in_title AND {_nonblank}) AS title,
-    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE in_desc AND {_nonblank}) AS description
+    arg_min({S.decode_references('raw')}, pos) FILTER (WHERE in_title AND {_nonblank}) AS title,
+    arg_min({S.decode_references('raw')}, pos) FILTER (WHERE in_desc AND {_nonblank}) AS description
   FROM t GROUP BY page_id, site, site_url, domain, media_base, family
 ),
 g2 AS (
@@ -315,10 +352,10 @@ _excl = " OR ".join(f"(c.family = {S.q(f)} AND {has_class('c.class', S.q(cls))})
 _child = "c.page_id = p.page_id AND c.depth = p.depth + 1 AND c.pos > p.pos AND c.pos <= p.end_pos"
 MENU_CTES = f"""{HOME_CTES},
 hd AS (
-  SELECT *, sum(CASE WHEN kind = 'open' AND tag NOT IN {VOID} THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END)
+  SELECT *, sum(nesting)
               OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth,
          first_value(CASE WHEN {_nonblank} THEN pos END IGNORE NULLS) OVER wf AS nt_p,
-         first_value(CASE WHEN {_nonblank} THEN {S.decode_entities('raw')} END IGNORE NULLS) OVER wf AS nt_v,
+         first_value(CASE WHEN {_nonblank} THEN {S.decode_references('raw')} END IGNORE NULLS) OVER wf AS nt_v,
          first_value(CASE WHEN kind = 'open' AND tag = 'a' AND href IS NOT NULL THEN pos END IGNORE NULLS) OVER wf AS na_p,
          first_value(CASE WHEN kind = 'open' AND tag = 'a' AND href IS NOT NULL THEN href END IGNORE NULLS) OVER wf AS na_v,
          CASE {_root_prio} END AS root_prio, CASE {_root_list} END AS root_is_list
@@ -517,7 +554,7 @@ SELECT page_id, CAST(min(round) AS INTEGER) AS round FROM reach GROUP BY page_id
 # T6 word costs
 # ---------------------------------------------------------------------------
 WORD_COSTS = f"""
-WITH w AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
+WITH w AS (SELECT unnest(regexp_extract_all({S.fold_letters('text')}, '{SG.WORD_RX}')) AS word FROM documents),
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS word_rank, count(*) OVER () AS vocab FROM c)
 SELECT word, n, CAST(word_rank AS BIGINT) AS word_rank, ln(word_rank * ln(vocab)) AS cost FROM r
@@ -705,7 +742,7 @@ g AS (
   SELECT page_id, count(*) AS n_tokens,
     count(CASE WHEN kind = 'open' AND tag = 'a' AND href IS NOT NULL THEN 1 END) AS n_anchors,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'title') AS mt,
-    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
+    arg_min({S.decode_references('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'keywords') AS kw,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'description') AS ds
   FROM t GROUP BY page_id
@@ -722,7 +759,7 @@ FROM g JOIN (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY p
 # ---------------------------------------------------------------------------
 SEGMENTED_SLUGS = f"""
 WITH RECURSIVE
-w AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
+w AS (SELECT unnest(regexp_extract_all({S.fold_letters('text')}, '{SG.WORD_RX}')) AS word FROM documents),
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM c),
 maxlen AS (SELECT max(length(word)) AS m FROM wc),
@@ -768,7 +805,7 @@ FROM sp LEFT JOIN seg ON seg.part = sp.part GROUP BY sp.slug
 def segmentation_ctes(slugs: str) -> str:
     """CTEs ``seg_words(slug, words)`` for the hyphen-free slugs of CTE ``slugs(slug)``."""
     return f"""
-sw AS (SELECT unnest(regexp_extract_all(lower(translate(text, {S.q(TX.FOLD_FROM)}, {S.q(TX.FOLD_TO)})), '{SG.WORD_RX}')) AS word FROM documents),
+sw AS (SELECT unnest(regexp_extract_all({S.fold_letters('text')}, '{SG.WORD_RX}')) AS word FROM documents),
 sc AS (SELECT word, count(*) AS n FROM sw GROUP BY word),
 wc AS (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word) * ln(count(*) OVER ())) AS cost FROM sc),
 maxlen AS (SELECT max(length(word)) AS m FROM wc),
@@ -915,7 +952,7 @@ st0 AS (
 sg AS (
   SELECT page_id,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'title') AS mt,
-    arg_min({S.decode_entities('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
+    arg_min({S.decode_references('raw')}, pos) FILTER (WHERE after_title AND kind = 'text') AS tt,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'keywords') AS kw,
     arg_min(content, pos) FILTER (WHERE kind = 'open' AND tag = 'meta' AND content IS NOT NULL AND name = 'description') AS ds
   FROM st0 GROUP BY page_id

@@ -6,6 +6,8 @@ function takes a SQL expression string and returns one.
 """
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from sitemill.functions import text as TX
 from sitemill.functions import urls as U
 from sitemill.operators import html as H
@@ -21,7 +23,9 @@ def inlist(values) -> str:
 
 
 URL_RX = q(U._URL_RX)
-TOKEN_RX = q(H.TOKEN_RX)
+#: H1 as this engine's patterns have it: the same alternatives, without possessive quantifiers.
+TOKEN_RX = q(r"<!--[\s\S]*?(?:-->|\z)|<![^>]*(?:>|\z)|(?i:<script[\s/>][\s\S]*?(?:</script\s*>|\z))|(?i:<style[\s/>][\s\S]*?(?:</style\s*>|\z))"
+             r"|</?[A-Za-z][^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*)*(?:>|\z)|[^<]+|<")
 
 
 def scheme(x): return f"lower(regexp_extract({x}, {URL_RX}, 2))"
@@ -47,13 +51,13 @@ def registered_domain(x):
         return f"array_to_string({labels}[{n}-{k}+1:], '.')"
 
     def dom(k):
-        return f"({labels}[{n}-{k}] || '.' || {suffix(k)})"
+        return f"(coalesce({labels}[{n}-{k}], '') || '.' || {suffix(k)})"
 
     ps = inlist(U.PUBLIC_SUFFIXES)
     return (
-        f"coalesce(CASE WHEN {n} > 3 AND {suffix(3)} IN {ps} THEN {dom(3)} "
-        f"WHEN {n} > 2 AND {suffix(2)} IN {ps} THEN {dom(2)} "
-        f"WHEN {n} > 1 AND {suffix(1)} IN {ps} THEN {dom(1)} END, {labels}[-1] || '.')"
+        f"coalesce(CASE WHEN {n} >= 3 AND {suffix(3)} IN {ps} THEN {dom(3)} "
+        f"WHEN {n} >= 2 AND {suffix(2)} IN {ps} THEN {dom(2)} "
+        f"WHEN {n} >= 1 AND {suffix(1)} IN {ps} THEN {dom(1)} END, {labels}[-1] || '.')"
     )
 
 
@@ -96,22 +100,27 @@ def _bound(x, name, body):
     return f"list_transform([{x}], lambda {name}: {body})[1]"
 
 
-def decode_entities(x):
-    code = ("(CASE WHEN lower(substring(_r, 3, 1)) = 'x' THEN CAST('0x' || regexp_extract(_r, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
-            "ELSE CAST(regexp_extract(_r, '([0-9]+)', 1) AS BIGINT) END)")
+#: The names of HTML 4, which all of the tables' references are among; those below U+0100 need no ';'.
+_NAMES = "MAP {" + ", ".join(f"{q(k)}: {q(chr(v))}" for k, v in name2codepoint.items()) + "}"
+
+
+def decode_references(x, attribute=False):
+    code = ("(CASE WHEN lower(substring(_p, 3, 1)) = 'x' THEN try_cast('0x' || regexp_extract(_p, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
+            "ELSE try_cast(regexp_extract(_p, '([0-9]+)', 1) AS BIGINT) END)")
     char = _bound(code, "_k", "CASE WHEN (_k > 0 AND _k < 55296) OR (_k > 57343 AND _k <= 1114111) THEN chr(CAST(_k AS INTEGER)) ELSE chr(65533) END")
-    pieces = (f"list_transform(list_zip(string_split_regex(_s, {q(TX.NUMERIC_RX)}), "
-              f"list_append(list_transform(regexp_extract_all(_s, {q(TX.NUMERIC_RX)}), lambda _r: {char}), '')), lambda _z: _z[1] || _z[2])")
-    named = f"(CASE WHEN contains(_s, '&#') THEN array_to_string({pieces}, '') ELSE _s END)"
-    for ent, ch in TX.ENTITIES:
-        named = f"replace({named}, {q(ent)}, {q(ch)})"
-    return _bound(x, "_s", f"CASE WHEN contains(_s, '&') THEN {named} ELSE _s END")
+    sizes = "[100]" if attribute else "[6, 5, 4, 3, 2]"
+    begins = (f"list_filter(list_transform({sizes}, lambda _n: CASE WHEN unicode(_m[substring(_p, 2, _n)]) < 256 OR substring(_p, 2, _n) IN ('lt', 'gt') "
+              f"THEN _m[substring(_p, 2, _n)] || substring(_p, _n + 2) END), lambda _d: _d IS NOT NULL)[1]")
+    named = _bound(_NAMES, "_m", f"coalesce(CASE WHEN ends_with(_p, ';') THEN _m[rtrim(substring(_p, 2), ';')] END, {begins}, _p)")
+    piece = f"CASE WHEN starts_with(_p, '&#') THEN {char} WHEN NOT starts_with(_p, '&') OR length(_p) = 1 THEN _p ELSE {named} END"
+    rx = q(r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)|[^&]+|&")
+    return _bound(x, "_s", f"CASE WHEN contains(_s, '&') THEN array_to_string(list_transform(regexp_extract_all(_s, {rx}), lambda _p: {piece}), '') ELSE _s END")
 
 
 def attribute(raw, name):
     v = f"regexp_extract({raw}, {q(H._attr_rx(name))}, 1)"
     unq = "(CASE WHEN starts_with(_v, '\"') OR starts_with(_v, '''') THEN substring(_v, 2, length(_v) - 2) ELSE _v END)"
-    return _bound(v, "_v", f"CASE WHEN _v = '' THEN NULL ELSE {decode_entities(unq)} END")
+    return _bound(v, "_v", f"CASE WHEN _v = '' THEN NULL ELSE {decode_references(unq, attribute=True)} END")
 
 
 def tag_name(raw):
@@ -122,10 +131,9 @@ def kind(raw):
     t = tag_name(raw)
     return (
         f"(CASE WHEN starts_with({raw}, '<!--') THEN 'comment' WHEN starts_with({raw}, '<!') THEN 'decl' "
-        f"WHEN starts_with({raw}, '</') AND length({t}) > 0 THEN 'close' "
-        f"WHEN regexp_matches({raw}, '^<[A-Za-z]') AND {t} IN ('script', 'style') "
-        f"AND regexp_matches({raw}, '(?i:</(script|style)>)$') THEN 'raw' "
-        f"WHEN regexp_matches({raw}, '^<[A-Za-z]') THEN 'open' ELSE 'text' END)"
+        f"WHEN {t} IN ('script', 'style') AND NOT starts_with({raw}, '</') AND contains({raw}, '>') THEN 'raw' "
+        f"WHEN length({t}) > 0 AND NOT ends_with({raw}, '>') THEN 'cut' "
+        f"WHEN length({t}) > 0 AND starts_with({raw}, '</') THEN 'close' WHEN length({t}) > 0 THEN 'open' ELSE 'text' END)"
     )
 
 
@@ -155,9 +163,16 @@ def encode_spaces(x):
     return f"replace({x}, ' ', '%20')"
 
 
+def fold_letters(x):
+    """Lower-cased, without accents, other letters as their ASCII ones."""
+    s = f"strip_accents(lower({x}))"
+    for letter, ascii_letters in TX.LETTERS.items():
+        s = f"replace({s}, {q(letter)}, {q(ascii_letters)})"
+    return s
+
+
 def slugify(x):
-    s = f"lower(translate({x}, {q(TX.FOLD_FROM)}, {q(TX.FOLD_TO)}))"
-    s = f"regexp_replace({s}, '[^a-z0-9]+', '-', 'g')"
+    s = f"regexp_replace({fold_letters(x)}, '[^a-z0-9]+', '-', 'g')"
     return f"regexp_replace({s}, '^-+|-+$', '', 'g')"
 
 

@@ -23,6 +23,12 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cores where its scan has fewer parts than there are cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def origin(url) -> F.Column:
     """scheme://host/ of a URL (the home URL of the page's own site)."""
     c = F.col(url) if isinstance(url, str) else url

@@ -23,7 +23,10 @@ MENU_ITEMS = (
     '<li><a href="/files/New  Patient_Form.PDF?v=1">Forms</a></li>'
     '<li><a href="https://other.test/x">Partner</a></li>'
     '<li><a href="/welcome.html">Welcome</a></li>'
+    '<li><a href="/a.html?x=1&copy=2&amp;y=3">&Aacute;rea &copy 2020 &#38;lt; Stra&szlig;e</a></li>'
 )
+# Hosts whose smallest page_id has 5 to 9 as its last digit leave out the end tags of items and paragraphs.
+UNCLOSED_MENU_ITEMS = MENU_ITEMS.replace("</li>", "") + '<li><p>Team<li><p><a href="/team.html">Our team</a>'
 NAV_OPEN = {
     "B": '<nav><ul id="mainMenu"><li class="sep"></li>',
     "O": '<nav id="slot-navigation"><ul>',
@@ -54,12 +57,18 @@ BODY_EXTRA = (
     '<img src="/art/logo.svg"><img src="/thumb.php?id=3"><img alt="a > b" src="/img/quoted.png">'
     '<a href="/library/x">lib</a><a href="/Library/y.pdf">Lib pdf</a><a href="#top">top</a>'
     '<a href="mailto:info@example.test">mail</a><a href="/articles/z">article</a>'
-    '<a href="/implantfaq2.html/">faq</a>'
+    '<a href="/implantfaq2.html/">faq</a><a href="/große-straße.html">Große Straße, Ελλάδα, Москва</a><a href="/praxisgröße.html">Größe</a>'
+    '<p>one<p>two<table><tr><td>a<td>b<tr><th>c</table><dl><dt>d<dd>e<dt>f</dl><select><option>g<option>h</select>'
     '<form class="feature_form"><img src="/img/form.png"><a href="/form-target">f</a></form>'
     '<div class="feature_map"><div>map</div></div>'
 )
 
 
+# Public suffix rules beside the seed: wildcards, an exception to each, comments; and endings that meet them or no rule.
+SUFFIX_RULES = ["// comment", "", "*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp", "  com.XY  trailing words"]
+OTHER_SUFFIXES = ["ck", "a.ck", "www.ck", "b.kobe.jp", "c.b.kobe.jp", "city.kobe.jp", "com.xy", "xy", "nowhere.invalid", "org.uk", "uk", "com"]
+
+
 def _case(mapping: dict[str, str], default: str) -> str:
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE fam {whens} ELSE {default} END"
@@ -74,16 +83,17 @@ WITH base AS (
          regexp_extract(url, '^(https?)://', 1) AS scheme,
          row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS r,
          CASE min(page_id) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1)) % 5
-           WHEN 0 THEN 'B' WHEN 1 THEN 'O' WHEN 2 THEN 'T' WHEN 3 THEN 'W' ELSE 'X' END AS fam
+           WHEN 0 THEN 'B' WHEN 1 THEN 'O' WHEN 2 THEN 'T' WHEN 3 THEN 'W' ELSE 'X' END AS fam,
+         min(page_id) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1)) % 10 >= 5 AS unclosed
   FROM {{pages}}
 ),
 u AS (
-  SELECT page_id, html, host, scheme, r, fam,
+  SELECT page_id, html, host, scheme, r, fam, unclosed,
          CASE WHEN r = 1 THEN scheme || '://' || host || '/' ELSE url END AS url
   FROM base
 ),
 p AS (
-  SELECT page_id, html, host, scheme, r, fam, url,
+  SELECT page_id, html, host, scheme, r, fam, unclosed, url,
          regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path
   FROM u
 ),
@@ -99,8 +109,8 @@ e AS (
 SELECT p.page_id, p.host, p.fam, p.r, p.url,
   replace(replace(replace(replace(replace(p.html,
     '<article>', {_case(ARTICLE_OPEN, "'<article>'")}),
-    '<nav><ul>', {_case(NAV_OPEN, "'<nav><ul>'")} || '{MENU_ITEMS}'),
-    '</title>', '</title>'
+    '<nav><ul>', {_case(NAV_OPEN, "'<nav><ul>'")} || CASE WHEN p.unclosed THEN '{UNCLOSED_MENU_ITEMS}' ELSE '{MENU_ITEMS}' END),
+    '</title>', ' &Aacute;rzte &copy 2020 &#38;lt;</title>'
       || CASE WHEN p.page_id % 2 = 0 THEN '<meta name="title" content="Meta title ' || CAST(p.page_id AS STRING) || '">' ELSE '' END
       || '<meta name="keywords" content="{KEYWORDS}">'
       || '<meta name="description" content="' || repeat('Lorem ipsum ', 50) || '">'
