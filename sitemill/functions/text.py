@@ -38,6 +38,16 @@ def _c(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def settled(value: Column) -> Column:
+    """``value``, computed where it stands, once.
+
+    The optimizer copies an expression into each filter and projection above it, which for chains of
+    regular expressions multiplies their cost. It doesn't move what depends on the partition,
+    and still drops the column where nothing reads it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitemill.functions.text import settled
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the migrated tool's behaviour.
 # ---------------------------------------------------------------------------
@@ -212,10 +214,8 @@ def with_parts(df, link_col: str, prefix: str):
     """Materialise a URL's components as columns once, so later rules refer to
     them instead of re-running the split regex (keeps generated code small)."""
     c = F.col(link_col)
-    return df.withColumns({
-        f"{prefix}_scheme": scheme(c), f"{prefix}_netloc": netloc(c), f"{prefix}_path": url_path(c),
-        f"{prefix}_query": url_query(c), f"{prefix}_hasq": has_query(c), f"{prefix}_frag": url_fragment(c),
-    })
+    parts = {"scheme": scheme(c), "netloc": netloc(c), "path": url_path(c), "query": url_query(c), "hasq": has_query(c), "frag": url_fragment(c)}
+    return df.withColumns({f"{prefix}_{name}": settled(part) for name, part in parts.items()})
 
 
 def absolute(base, link, base_parts: Parts | None = None, link_parts: Parts | None = None) -> Column:
@@ -334,8 +334,7 @@ def with_link_facts(df, link_col: str, base_col: str, domain_col: str | None, pr
     """Add ``{prefix}_rel``, ``_internal``, ``_file`` and ``_abs`` for a link column.
 
     The URL components of the link and of the base are materialised once as
-    columns (Catalyst keeps them as separate projections because each is
-    referenced several times), so the rules below reuse them instead of
+    columns (``settled``), so the rules below reuse them instead of
     re-running the split regex per rule.
     """
     lp, bp = f"_{prefix}_l", f"_{prefix}_b"
@@ -344,11 +343,11 @@ def with_link_facts(df, link_col: str, base_col: str, domain_col: str | None, pr
     for pre, c in ((lp, lc), (bp, bc)):
         parts.update({f"{pre}_scheme": scheme(c), f"{pre}_netloc": netloc(c), f"{pre}_path": url_path(c),
                       f"{pre}_query": url_query(c), f"{pre}_hasq": has_query(c), f"{pre}_frag": url_fragment(c)})
-    d = df.withColumns(parts)
+    d = df.withColumns({k: settled(v) for k, v in parts.items()})
     L, Bp = Parts.cols(lp), Parts.cols(bp)
     facts = {f"{prefix}_rel": is_relative(lc, L), f"{prefix}_file": is_file(lc)}
     if domain_col is not None:
         facts[f"{prefix}_internal"] = is_internal(lc, F.col(domain_col), L)
-    d = d.withColumns(facts)
-    d = d.withColumn(f"{prefix}_abs", F.when(F.col(f"{prefix}_rel"), absolute(bc, lc, Bp, L)).otherwise(lc))
+    d = d.withColumns({k: settled(v) for k, v in facts.items()})
+    d = d.withColumn(f"{prefix}_abs", settled(F.when(F.col(f"{prefix}_rel"), absolute(bc, lc, Bp, L)).otherwise(lc)))
     return d.drop(*[c for c in d.columns if c.startswith(lp + "_") or c.startswith(bp + "_")])

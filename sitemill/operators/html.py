@@ -71,7 +71,7 @@ def _attribute_columns() -> tuple[dict[str, Column], dict[str, Column], Column,
     matches = {f"_v_{a}": F.regexp_extract(F.col("_start"), _attr_rx(a), 1) for a in ATTRIBUTES}
     plain = {f"_u_{a}": _unquote(F.col(f"_v_{a}")) for a in ATTRIBUTES}
     decoded = F.when(F.contains("_start", F.lit("&")), F.transform(F.array(*plain), lambda v: T.decode_references(v, attribute=True)))
-    values = {a: F.when(F.col("_decoded").isNotNull(), F.get("_decoded", F.lit(i))).otherwise(F.col(f"_u_{a}")) for i, a in enumerate(ATTRIBUTES)}
+    values = {a: T.settled(F.when(F.col("_decoded").isNotNull(), F.get("_decoded", F.lit(i))).otherwise(F.col(f"_u_{a}"))) for i, a in enumerate(ATTRIBUTES)}
     return matches, plain, decoded, values
 
 
@@ -101,7 +101,7 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
         F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RX), 0)).alias("pos", "raw"),
     )
     raw = F.col("raw")
-    t = t.withColumn("_tag", F.lower(F.regexp_extract(raw, TAG_NAME_RX, 1)))
+    t = t.withColumn("_tag", T.settled(F.lower(F.regexp_extract(raw, TAG_NAME_RX, 1))))
     tag = F.col("_tag")
     is_tag = F.startswith(raw, F.lit("<")) & (F.length(tag) > 0) & ~F.startswith(raw, F.lit("</"))
     whole_element = is_tag & tag.isin("script", "style") & F.contains(raw, F.lit(">"))

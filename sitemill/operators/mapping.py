@@ -44,14 +44,14 @@ def classify_links(lk: DataFrame) -> DataFrame:
         .when(U.is_file(p), "file")
         .otherwise("page")
     )
-    lk = lk.withColumn("stage", stage)
+    lk = lk.withColumn("stage", T.settled(stage))
     lk = lk.withColumn(
         "_abs",
-        F.when(F.col("stage").isin("file", "page"), F.when(rel, U.absolute(F.col("site_url"), p, bp, pp)).otherwise(p)),
+        F.when(F.col("stage").isin("file", "page"), T.settled(F.when(rel, U.absolute(F.col("site_url"), p, bp, pp)).otherwise(p))),
     )
     absu = F.col("_abs")
     is_file = F.col("stage") == "file"
-    lk = lk.withColumn("file_name", F.when(is_file, U.sanitize_filename(U.file_name(absu))))
+    lk = lk.withColumn("file_name", T.settled(F.when(is_file, U.sanitize_filename(U.file_name(absu)))))
     file_url = F.when(rel, U.encode_spaces(absu)).otherwise(U.gallery_source(p))
     out = (
         lk.withColumn("lookup", F.when(F.col("stage") == "page", absu))
@@ -90,7 +90,7 @@ def resolve_links(classified: DataFrame, url_map: DataFrame | None) -> DataFrame
             "new_value",
             F.when(F.col("action") == "mapped", F.substring_index(F.col("map_slug"), "/", -1)).otherwise(F.col("new_value")),
         )
-        .withColumn("stem", F.when(F.col("action") == "follow", T.slugify(T.path_stem(F.col("lookup")))))
+        .withColumn("stem", T.settled(F.when(F.col("action") == "follow", T.slugify(T.path_stem(F.col("lookup"))))))
     )
 
 

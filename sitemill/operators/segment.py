@@ -90,7 +90,7 @@ def candidates(parts: DataFrame, costs: DataFrame) -> DataFrame:
     beyond = F.lit(1 << 30)
     for p, q in zip(PROBES, PROBES[1:]):
         beyond = F.when(F.col("f.p") == p, F.lit(q - 1)).otherwise(beyond)
-    grown = starts.join(found, ["part", "i"], "left").withColumn("length", F.least("rest", F.coalesce(F.least("f.reach", beyond), F.lit(PROBES[0] - 1))))
+    grown = starts.join(found, ["part", "i"], "left").withColumn("length", F.least("rest", F.when(F.col("f").isNotNull(), F.least("f.reach", beyond)).otherwise(PROBES[0] - 1)))
     return grown.select("part", "i", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1)).alias("j"))
 
 

@@ -285,7 +285,7 @@ def segmented_slugs(spark, sf_dir):
     """T4 + T7: minimum-cost split of every hyphen-free stem of the archive's links."""
     t = H.tokens(A.read_pages(spark, sf_dir))
     hrefs = t.where(F.col("href").isNotNull()).select("href").distinct()
-    slugs = hrefs.select(TX.slugify(TX.path_stem(F.col("href"))).alias("slug")).distinct()
+    slugs = hrefs.select(TX.settled(TX.slugify(TX.path_stem(F.col("href")))).alias("slug")).distinct()
     slugs = slugs.where((F.length("slug") > 0) & ~F.contains(F.col("slug"), F.lit("-")))
     costs = materialise(SG.word_costs(A.read_table(spark, sf_dir, "documents")), "word-costs")
     return SG.derive_words(materialise(slugs, "slugs"), costs, "slug")
@@ -316,7 +316,7 @@ def file_manifest(spark, sf_dir):
     return _mig(spark, sf_dir).files
 
 
-@register("outbox_counts")
+@register("outbox_counts", OR.OUTBOX_COUNTS)
 def outbox_counts(spark, sf_dir):
     """X2 + P12 + A1: requests per site, method and endpoint."""
     ob = _mig(spark, sf_dir).outbox
@@ -414,13 +414,15 @@ def stream_page_intake(spark, sf_dir):
     return spark.read.parquet(sink).drop("batch_id")
 
 
-@register("outbox_sink")
+@register("outbox_sink", OR.OUTBOX_SINK)
 def outbox_sink(spark, sf_dir):
-    """The outbox written partitioned by site under the checkpoint dir, read back."""
+    """The outbox in order, written twice as one batch under the checkpoint dir, read back."""
     import uuid
 
     from sitemill.session import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/outbox-{uuid.uuid4().hex}"
-    O.write_outbox(_mig(spark, sf_dir).outbox, path)
-    return spark.read.parquet(path).select(*O.OUTBOX_COLUMNS)
+    requests = _mig(spark, sf_dir).outbox
+    O.write_outbox(requests, path)
+    O.write_outbox(requests, path)
+    return O.read_outbox(spark, path)

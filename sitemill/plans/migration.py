@@ -289,17 +289,17 @@ class Migration:
     @cached_property
     def outbox(self) -> DataFrame:
         known = self.sites.where(F.col("family") != "X")
-        frames = [
-            O.navigation_payloads(known.select("site").join(self.nested_menu, "site", "left")
-                                  .withColumn("items", F.coalesce(F.col("items"), F.array()))),
-            O.file_payloads(self.files),
-            O.css_payloads(self.stylesheets),
-            O.redirect_payloads(self.redirects),
-            O.page_payloads(self.page_rows),
-            O.logo_payloads(self.logos),
-        ]
+        frames = {
+            "navigation": O.navigation_payloads(known.select("site").join(self.nested_menu, "site", "left")
+                                                .withColumn("items", F.coalesce(F.col("items"), F.array()))),
+            "files": O.file_payloads(self.files),
+            "stylesheets": O.css_payloads(self.stylesheets),
+            "redirects": O.redirect_payloads(self.redirects),
+            "logos": O.logo_payloads(self.logos),
+            "pages": O.page_payloads(self.page_rows),
+        }
         if self.legacy is not None:
-            frames += [O.location_payloads(B.locations(self.legacy)),
-                       O.hours_payloads(B.hours_sets(B.hours_days(self.legacy))),
-                       O.social_payloads(B.social(self.legacy))]
-        return O.outbox(*frames)
+            frames |= {"locations": O.location_payloads(B.locations(self.legacy)),
+                       "hours": O.hours_payloads(B.hours_sets(B.hours_days(self.legacy))),
+                       "social": O.social_payloads(B.social(self.legacy))}
+        return O.outbox(frames)

@@ -1,18 +1,27 @@
 """Payload builders and the outbox sink.
 
-Every request becomes a row ``outbox(site_id, method, endpoint, body)``; the
+Every request becomes a row ``outbox(site_id, step, seq, method, endpoint, body)``; the
 body is ``to_json`` of a struct whose fields are in alphabetical order (the
-original sorted its keys) with nulls kept.
+original sorted its keys) with nulls kept.  ``step`` is the request's place in the order
+in which the original sent its kinds, ``seq`` its number within the site.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitemill.session import materialise
 from sitemill.sources import rules as R
 
 JSON_OPTS = {"ignoreNullFields": "false"}
 OUTBOX_COLUMNS = ["site_id", "method", "endpoint", "body"]
+OUTBOX_SCHEMA = "site_id string, step int, seq long, method string, endpoint string, body string"
+# The order of requests: files stand before what refers to them, redirects before pages.
+STEPS = {"navigation": 1, "files": 2, "stylesheets": 3, "redirects": 4, "logos": 5, "pages": 6, "locations": 7, "hours": 8, "social": 9}
+#: Requests of one site that are written by one task.
+SITE_BLOCK = 100_000
+
+
 def _visible() -> Column:
     return F.struct(F.lit("true").alias("desktop"), F.lit("true").alias("mobile"), F.lit("true").alias("tablet"))
 
@@ -113,18 +122,61 @@ def social_payloads(social: DataFrame) -> DataFrame:
         iconClass=F.col("iconClass"), label=F.col("label"), url=F.col("url")))
 
 
-def outbox(*frames: DataFrame) -> DataFrame:
-    """X2 + A1: one request set, each request once."""
-    out = frames[0].select(*OUTBOX_COLUMNS)
-    for f in frames[1:]:
-        out = out.unionByName(f.select(*OUTBOX_COLUMNS))
-    return out.dropDuplicates(OUTBOX_COLUMNS)
-
+def outbox(frames: dict[str, DataFrame]) -> DataFrame:
+    """X2 + A1: one request set, each request once, numbered within its site.
 
-def write_outbox(out: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Partitioned by site so each site's requests replay together.
-
-    A site's rows meet in a few tasks, so it gets a few files, and a large site is shared out.
+    ``frames`` has the requests of each of ``STEPS``.  All are written once, with
+    the digests of their bodies; what is compared, counted and sorted is narrow rows of
+    (site, step, endpoint, digest), and bodies only follow the numbers of the rows
+    that stay.  Numbers never sort a site in one task: a row's is the count of the
+    rows in earlier (step, leading digest byte) cells of its site, of which there are
+    a few thousand at most, plus its rank within its cell.
+    """
+    parts = [f.select(*OUTBOX_COLUMNS).withColumn("step", F.lit(STEPS[kind])) for kind, f in frames.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = materialise(rows.withColumns({"digest": F.unhex(F.sha2("body", 256)), "row": F.monotonically_increasing_id()}), "requests")
+    own = ["site_id", "step", "method", "endpoint", "digest"]
+    once = materialise(rows.groupBy(*own).agg(F.min("row").alias("row")).withColumn("cell", F.substring("digest", 1, 1)), "request-digests")
+    cells = once.groupBy("site_id", "step", "cell").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("site_id").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("site_id", "step", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("site_id", "step", "cell").orderBy("digest", "method", "endpoint"))
+    numbers = once.withColumn("rank", rank).join(cells, ["site_id", "step", "cell"]).select("row", (F.col("before") + F.col("rank")).alias("seq"))
+    return rows.join(numbers, "row").select("site_id", "step", "seq", "method", "endpoint", "body")
+
+
+def _exists(df_or_spark, path: str) -> bool:
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)
+
+
+def write_outbox(out: DataFrame, path: str, batch: str = "0", fmt: str = "parquet") -> None:
+    """A batch of requests, partitioned by site and in order within it, so that each site's requests replay together.
+
+    A large site is shared out in blocks of numbers.  The batch counts once its manifest
+    (each site's requests and range of numbers) is there, which is written last;
+    a batch that has one is left as it is, and what a failed attempt left is overwritten.
     """
-    dealt = out.repartition("site_id", F.pmod(F.xxhash64("body"), F.lit(4)))
-    dealt.write.mode("overwrite").partitionBy("site_id").format(fmt).save(path)
+    manifest, data = f"{path}/manifest/batch={batch}", f"{path}/data/batch={batch}"
+    if _exists(out, f"{manifest}/_SUCCESS"):
+        return
+    dealt = out.repartition("site_id", F.floor(F.col("seq") / SITE_BLOCK)).sortWithinPartitions("site_id", "seq")
+    dealt.write.mode("overwrite").partitionBy("site_id").format(fmt).save(data)
+    written = out.sparkSession.read.schema(OUTBOX_SCHEMA).format(fmt).load(data)
+    facts = written.groupBy("site_id").agg(F.count("*").alias("requests"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    facts.write.mode("overwrite").format(fmt).save(manifest)
+
+
+def read_outbox(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The requests of all batches that are complete."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    batches = sorted(f.getPath().getParent().getName() for f in found)
+    read = lambda b: spark.read.schema(OUTBOX_SCHEMA).option("basePath", f"{path}/data/{b}").format(fmt).load(f"{path}/data/{b}")
+    out = spark.createDataFrame([], OUTBOX_SCHEMA)
+    for b in batches:
+        out = out.unionByName(read(b))
+    return out

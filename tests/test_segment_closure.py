@@ -65,6 +65,31 @@ def test_closure_matches_bfs(spark):
     assert got == want
 
 
+def test_long_chain_writes_each_hop_a_few_times(spark, monkeypatch):
+    """70 hops of one page each: what is rewritten stays a small multiple of the pages."""
+    rows = []
+    write = FR.Visited._write
+    monkeypatch.setattr(FR.Visited, "_write", lambda self, df: (out := write(self, df), rows.append(out[1]["n"]))[0])
+    e = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(5, 2), (70, 0)], "src long, dst long")
+    got = {r["page_id"]: r["round"] for r in FR.closure(spark.createDataFrame([(0,)], "page_id long"), e).collect()}
+    assert got == {k: k for k in range(71)}
+    assert sum(rows) <= 3 * 71
+
+
+def test_closure_without_pages_or_links(spark):
+    none = spark.createDataFrame([], "page_id long")
+    assert FR.closure(none, spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
+    lone = spark.createDataFrame([(4,), (4,), (None,)], "page_id long")
+    assert [tuple(r) for r in FR.closure(lone, spark.createDataFrame([], "src long, dst long")).collect()] == [(4, 0)]
+
+
+def test_starts_grow_only_while_their_prefix_occurs(spark):
+    costs = spark.createDataFrame([("implant", 1.0), ("implants", 1.0), ("im", 1.0), ("a", 1.0), ("internationalisation", 1.0)], "word string, cost double")
+    got = {(r["i"], r["j"]) for r in SG.candidates(spark.createDataFrame([("implantsxq",), ("internationalq",)], "part string"), costs).where("part = 'implantsxq'").collect()}
+    # only the first start has a prefix of the table, and no word with it is longer than eight letters
+    assert got == {(1, j) for j in range(1, 9)} | {(i, j) for i in range(2, 11) for j in (i, i + 1) if j <= 10}
+
+
 def test_url_key(spark):
     df = spark.createDataFrame([("http://h/a/#x",), ("http://h/a",)], "u string")
     assert [r[0] for r in df.select(FR.url_key("u")).collect()] == ["http://h/a", "http://h/a"]

@@ -92,11 +92,42 @@ def test_text_rules(spark):
     assert one(spark, TX.digit_runs, ["implantfaq2x"]) == [["implantfaq", "2", "x"]]
     kw = ",".join("abcdefghij")
     assert one(spark, TX.truncate_keywords, [kw, "x" * 400]) == ["a,b,c,d,e,f,g,h", "x" * 299]
-    assert one(spark, TX.decode_entities, ["a &amp;lt; &lt;b&gt; &quot;c&quot; &#39;"]) == ["a &lt; <b> \"c\" '"]
+    assert one(spark, TX.decode_references, ["a &amp;lt; &lt;b&gt; &quot;c&quot; &#39;"]) == ["a &lt; <b> \"c\" '"]
 
 
 def test_character_references(spark):
     from sitemill.functions import text as T
 
-    got = one(spark, T.decode_entities, ["Patient&#8217;s&nbsp;Info", "a &amp;#39; b", "&#x1F600;&#X41;", "&#0;&#xD800;&#1114112;x", "no refs", "&lt;b&gt; &amp;lt;", "&# &#; &#12", "caf&eacute; &#233;"])
-    assert got == ["Patient\u2019s\u00a0Info", "a &#39; b", "\U0001F600A", "\ufffd\ufffd\ufffdx", "no refs", "<b> &lt;", "&# &#; &#12", "caf\u00e9 \u00e9"]
+    got = one(spark, T.decode_references, ["Patient&#8217;s&nbsp;Info", "a &amp;#39; b", "&#x1F600;&#X41;", "&#0;&#xD800;&#1114112;x", "no refs", "&lt;b&gt; &amp;lt;", "&# &#; &#x;", "caf&eacute; &#233;"])
+    assert got == ["Patient\u2019s\u00a0Info", "a &#39; b", "\U0001F600A", "\ufffd\ufffd\ufffdx", "no refs", "<b> &lt;", "&# &#; &#x;", "caf\u00e9 \u00e9"]
+
+
+def test_references_are_decoded_once_by_the_longest_name(spark):
+    cases = {"&Aacute;&aacute": "Áá", "&copy 2020": "© 2020", "&#38;lt;": "&lt;", "&amp;copy;": "&copy;", "&notit; &notin;": "¬it; ∉", "&nosuch; &": "&nosuch; &",
+             "&CounterClockwiseContourIntegral;": "∳", "&#00000000000065;&#x0000000000042;": "AB", "&#99999999999999999999;&#xFFFFFFFFFFFF;": "��", "&#;&#x;&;": "&#;&#x;&;",
+             "x&gt": "x>", "&ampersand": "&ersand", "&frac12x": "½x"}
+    assert one(spark, TX.decode_references, list(cases)) == list(cases.values())
+    inside = {"?a=1&copy=2": "?a=1&copy=2", "?a=1&copy2": "?a=1&copy2", "?a&copy": "?a©", "?a&copy;=2": "?a©=2", "?a&amp;b=&lt": "?a&b=<", "&notit;": "&notit;"}
+    assert one(spark, lambda c: TX.decode_references(c, attribute=True), list(inside)) == list(inside.values())
+
+
+def test_letters_of_other_alphabets(spark):
+    cases = {"Straße": "strasse", "Œuvre Ærø": "oeuvre-aero", "ŁÓDŹ": "lodz", "Ελλάδα": "ellada", "Щука Жёлтый": "shchuka-zheltyi", "Ω漢字a": "o-a",
+             "Việt Nam": "viet-nam", "été": "ete", "İstanbul ıı": "istanbul-ii", "объект": "obekt"}
+    assert one(spark, TX.slugify, list(cases)) == list(cases.values())
+    assert one(spark, TX.fold_letters, [None, "", "plain"]) == [None, "", "plain"]
+
+
+def test_suffix_rules(spark):
+    from sitemill.operators import domains as D
+
+    rules = ["// list", "com", "uk", "co.uk", "*.ck", "!www.ck", "", "jp", "kobe.jp", "*.kobe.jp", "!city.kobe.jp", "CO.UK", "a.b.c.d"]
+    hosts = {"example.com": "example.com", "a.b.example.com": "example.com", "x.co.uk": "x.co.uk", "co.uk": ".co.uk", "uk": ".uk", "shop.x.ck": "shop.x.ck", "x.ck": ".x.ck",
+             "www.ck": "www.ck", "a.www.ck": "www.ck", "x.b.kobe.jp": "x.b.kobe.jp", "city.kobe.jp": "city.kobe.jp", "y.city.kobe.jp": "city.kobe.jp",
+             "nowhere": "nowhere.", "a.nowhere": "nowhere.", "z.a.b.c.d": "z.a.b.c.d", "EXAMPLE.com.": "example.com", "": ".", "127.0.0.1": "1."}
+    df = spark.createDataFrame([(h,) for h in hosts] * 2 + [(None,)], "host string")
+    got = {r["host"]: r["domain"] for r in D.registered_domains(df, spark.createDataFrame([(r,) for r in rules], "rule string")).collect()}
+    assert got == {h.lower().rstrip("."): d for h, d in hosts.items()}
+    urls = spark.createDataFrame([(1, "https://u:p@a.x.co.uk:8080/p"), (2, None), (3, "x.ck")], "k int, url string")
+    joined = D.with_domain(urls, "url", spark.createDataFrame([(r,) for r in rules], "rule string"))
+    assert sorted(map(tuple, joined.select("k", "domain").collect())) == [(1, "x.co.uk"), (2, None), (3, ".x.ck")]
