@@ -23,19 +23,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitemill.llm.shingles import mix
 from sitemill.llm.slices import slices, prepare_workers
 from sitemill.session import materialise
 
 #: Ids pass through Python as text: pandas would make a nullable long a double.
 PIECES = "doc_id string, piece int, start long, length long, ids binary"
-#: A Python worker keeps the ids of the words seen since it last had so many, and of as many before. Results don't depend on it.
-MEMO_WORDS = 150_000
+#: A Python worker keeps the ids of so many words, about 40 bytes each; beyond it those used least often go. Results don't depend on it.
+MEMO_WORDS = 1_000_000
+#: New words are kept apart until there are so many.
+YOUNG_WORDS = 65_536
+#: Longer words are encoded as they come.
+LONGEST = 64
 #: One id in the vocabularies this is used with; where it isn't, or a word holds it, words are encoded one by one.
 MARK = "\u2764"
 #: ASCII punctuation that ends a word. The apostrophe is left out: contractions are tokens of their own.
 TAIL = b".,;:!?#$%&*|"
+_SPACE, _ENDS, _ALPHA = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ENDS[list(TAIL)] = True
+_ALPHA[[*range(65, 91), *range(97, 123)]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(LONGEST + 1, _STEP, np.uint64))
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _tokenizers: dict = {}
-_memo: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_memos: dict[str, Memo] = {}
 
 
 def _tokenizer(path: str):
@@ -64,6 +76,85 @@ def _encoded(words: list[bytes], path: str) -> list[bytes]:
     return out
 
 
+def _pieces(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text (runs without ASCII white space), those that end a letter's run with punctuation cut before it."""
+    byte = np.frombuffer(buffer, np.uint8)
+    space, tail = _SPACE[byte], _ENDS[byte]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+    run = np.flatnonzero(tail & np.r_[False, ~tail[:-1]])
+    run_end = np.flatnonzero(tail & np.r_[~tail[1:], True]) + 1
+    run_end = run_end[len(run_end) - len(run):]  # a run at the text's start has nothing before it
+    cut = run[space[run_end] & _ALPHA[byte[run - 1]]]
+    return np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+
+
+class Memo:
+    """Ids of words: columns sorted by the words' hashes, and one array that holds all ids, told apart by offsets.
+
+    A word is known by its hash, its first eight bytes and its length.
+    """
+    COLUMNS = {"hash": np.uint64, "head": np.uint64, "size": np.int64, "at": np.int64, "n": np.int64, "uses": np.int32}
+
+    def __init__(self):
+        self.main, self.young = ({c: np.empty(0, t) for c, t in self.COLUMNS.items()} for _ in range(2))
+        self._room, self._used = np.empty(1 << 16, "<u4"), 0
+
+    def append(self, ids: np.ndarray) -> np.ndarray:
+        """All ids, those appended last; what was returned before stays as it is."""
+        if self._used + len(ids) > len(self._room):
+            self._room = np.concatenate((self._room[:self._used], np.empty(self._used + len(ids), "<u4")))
+        self._room[self._used:self._used + len(ids)] = ids
+        self._used += len(ids)
+        return self._room[:self._used]
+
+    @property
+    def used(self) -> int:
+        return self._used
+
+    @staticmethod
+    def _merged(a: dict, b: dict) -> dict:
+        order = np.argsort(np.concatenate((a["hash"], b["hash"])), kind="stable")
+        return {c: np.concatenate((a[c], b[c]))[order] for c in a}
+
+    def find(self, words: dict) -> np.ndarray:
+        """Which of the different words are known; their ``at`` and ``n`` are filled in."""
+        known = np.zeros(len(words["hash"]), bool)
+        for table in (self.main, self.young):
+            if len(table["hash"]):
+                place = np.minimum(np.searchsorted(table["hash"], words["hash"]), len(table["hash"]) - 1)
+                hit = np.logical_and.reduce([table[c][place] == words[c] for c in ("hash", "head", "size")])
+                place = place[hit]
+                table["uses"][place] += 1
+                words["at"][hit], words["n"][hit] = table["at"][place], table["n"][place]
+                known |= hit
+        return known
+
+    def add(self, words: dict) -> None:
+        """Keep new words, whose ids are appended already."""
+        self.young = self._merged(self.young, words)
+        if len(self.young["hash"]) >= YOUNG_WORDS:
+            self.main = self._merged(self.main, self.young)
+            self.young = {c: x[:0] for c, x in self.young.items()}
+            if len(self.main["hash"]) > MEMO_WORDS:
+                self._shrink()
+
+    def _shrink(self) -> None:
+        """Keep the half of the words that was used most often lately."""
+        kept = np.sort(np.argsort(-self.main["uses"], kind="stable")[:MEMO_WORDS // 2])
+        main = {c: x[kept] for c, x in self.main.items()}
+        self._room = self._room[_ranges(main["at"], main["n"])]
+        self._used = len(self._room)
+        main["at"] = np.cumsum(main["n"]) - main["n"]
+        main["uses"] //= 2
+        self.main = main
+
+
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers at[0], at[0] + 1, ... n[0] of them, then those from at[1] on, and so on."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _texts_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
@@ -71,23 +162,53 @@ def _texts_ids(texts: list[str], path: str) -> list[bytes]:
     are those of its words (runs without ASCII white space) in order; and it splits between
     a letter and punctuation, so a word's ids are those of its stem and of the punctuation that ends it.
     """
-    young, old = _memo.setdefault(path, ({}, {}))
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    new = set().union(*words).difference(young)
-    young.update((w, old[w]) for w in new.intersection(old))
-    split = {}
-    for w in new.difference(young):
-        stem = w.rstrip(TAIL)
-        split[w] = (stem, w[len(stem):]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, b"")
-    parts = {p for pair in split.values() for p in pair if p}.difference(young)
-    young.update((p, old[p]) for p in parts.intersection(old))
-    unknown = list(parts.difference(young))
-    young.update(zip(unknown, _encoded(unknown, path)))
-    young.update((w, young[stem] + young[tail]) for w, (stem, tail) in split.items() if tail)
-    out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-    if len(young) > MEMO_WORDS:
-        _memo[path] = ({}, young)
-    return out
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    buffer = b" ".join([*raw, b" " * 8])
+    starts, ends = _pieces(buffer)
+    size = ends - starts
+    ids, at, n = _words_ids(buffer, starts, size, path)
+    tokens = np.r_[0, np.cumsum(n)]
+    cuts = tokens[np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))].tolist()
+    out = ids[_ranges(at, n)]
+    return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def _words_ids(buffer: bytes, starts: np.ndarray, size: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An array of ids, and each word's place and number of ids in it."""
+    memo = _memos.setdefault(path, Memo())
+    at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    short = np.flatnonzero(size <= LONGEST)
+    byte = np.frombuffer(buffer, np.uint8)
+    encoded: list[bytes] = []
+    extra: list[bytes] = []
+    if len(short):
+        first, length = starts[short], size[short]
+        offset = np.cumsum(length) - length
+        place = np.arange(length.sum()) - np.repeat(offset, length)
+        value = (byte[place + np.repeat(first, length)] + np.uint64(1)) * _POWERS[place]
+        hashes = mix(np.add.reduceat(value, offset) + length.astype(np.uint64) * _STEP)
+        head = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))[first] & _HEADS[np.minimum(length, 8)]
+        code, unique = pd.factorize(hashes)
+        once = np.empty(len(unique), np.int64)
+        once[code[::-1]] = np.arange(len(code))[::-1]
+        if not ((head == head[once][code]) & (length == length[once][code])).all():  # different words of one hash
+            code, unique = pd.factorize(pd.Series([buffer[s:s + k] for s, k in zip(first.tolist(), length.tolist())]))
+            once = np.empty(len(unique), np.int64)
+            once[code[::-1]] = np.arange(len(code))[::-1]
+        words = {"hash": hashes[once], "head": head[once], "size": length[once], "at": np.zeros(len(once), np.int64), "n": np.zeros(len(once), np.int64), "uses": np.ones(len(once), np.int32)}
+        new = np.flatnonzero(~memo.find(words))
+        encoded = _encoded([buffer[s:s + k] for s, k in zip(first[once[new]].tolist(), length[once[new]].tolist())], path)
+        words["n"][new] = np.array([len(x) // 4 for x in encoded], np.int64)
+        words["at"][new] = memo.used + np.cumsum(words["n"][new]) - words["n"][new]
+        at[short], n[short] = words["at"][code], words["n"][code]
+    ids = memo.append(np.frombuffer(b"".join(encoded), "<u4"))
+    if len(short):
+        memo.add({c: x[new] for c, x in words.items()})
+    for w in np.flatnonzero(size > LONGEST).tolist():
+        extra += _encoded([buffer[starts[w]:starts[w] + size[w]]], path)
+        n[w] = len(extra[-1]) // 4
+        at[w] = len(ids) + sum(map(len, extra[:-1])) // 4
+    return (np.concatenate((ids, np.frombuffer(b"".join(extra), "<u4"))) if extra else ids), at, n
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
