@@ -635,6 +635,13 @@ FROM sm WHERE (CASE token {_social_labels} END) IS NOT NULL
 """
 
 _time = lambda n: f"'time{n}_close', '', 'time{n}_open', ''"
+_HOURS_AND_SOCIAL = f"""
+SELECT site AS site_id, 'POST' AS method, '/hours/' AS endpoint, '{{"days":{{' || string_agg('"' || day || '":' || json_object('day_name', day_name, 'open', 'true',
+         'time1_close', time1_close, 'time1_open', time1_open, {_time(2)}, {_time(3)}), ',' ORDER BY day) || '}},"name":' || to_json(left(loc_name, 40) || ' Hours') || '}}' AS body
+FROM ({WEEKLY_HOURS}) GROUP BY site, loc_idx, loc_name
+UNION ALL
+SELECT site, 'POST', '/socialmedia/', to_json({{'iconClass': iconClass, 'label': label, 'url': url}}) FROM ({SOCIAL_ACCOUNTS})
+"""
 PAYLOAD_BODIES = f"""
 SELECT site AS site_id, 'POST' AS method, '/files/' AS endpoint, to_json({{'filename': file_name, 'url': url}}) AS body FROM ({MENU_FILES})
 UNION ALL
@@ -642,12 +649,7 @@ SELECT DISTINCT site, 'PUT', '', to_json({{'headerTags': ''}}) FROM ({STYLESHEET
 UNION ALL
 SELECT site, 'POST', '/page_redirects/', to_json({{'fromUrl': from_url, 'matchType': '0', 'toUrl': to_url, 'type': '0'}}) FROM ({REDIRECTS})
 UNION ALL
-SELECT site, 'POST', '/hours/', '{{"days":{{' || string_agg('"' || day || '":' || json_object('day_name', day_name, 'open', 'true',
-         'time1_close', time1_close, 'time1_open', time1_open, {_time(2)}, {_time(3)}), ',' ORDER BY day) || '}},"name":' || to_json(left(loc_name, 40) || ' Hours') || '}}'
-FROM ({WEEKLY_HOURS}) GROUP BY site, loc_idx, loc_name
-UNION ALL
-SELECT site, 'POST', '/socialmedia/', to_json({{'iconClass': iconClass, 'label': label, 'url': url}}) FROM ({SOCIAL_ACCOUNTS})
-"""
+{_HOURS_AND_SOCIAL}"""
 
 _VIS = "{'desktop': 'true', 'mobile': 'true', 'tablet': 'true'}"
 _LOGO_ALIASES = ", ".join(f"('{a}')" for c, a in R.COMPONENT_ALIASES if c == "logo")
@@ -997,45 +999,48 @@ SELECT DISTINCT site, url, file_name FROM files
 # ---------------------------------------------------------------------------
 # The whole request set, in order
 # ---------------------------------------------------------------------------
-_NAVIGATION = f"""
-WITH RECURSIVE {MENU_CTES},
+_NAV_BODY = f"""
 known AS (SELECT site, domain, media_base FROM sites WHERE family <> 'X'),
-t0 AS (SELECT m.*, k.domain, k.media_base, row_number() OVER (PARTITION BY m.site, m.parent_pos ORDER BY m.pos) AS rn FROM menu m JOIN known k ON k.site = m.site),
-t AS (
+n0 AS (SELECT m.*, k.domain, k.media_base, row_number() OVER (PARTITION BY m.site, m.parent_pos ORDER BY m.pos) AS rn FROM menu m JOIN known k ON k.site = m.site),
+n1 AS (
   SELECT site, pos, level, parent_pos, title,
          CASE WHEN url = '#' THEN '#'
               WHEN {S.is_internal('url', 'domain')} THEN
                 (CASE WHEN {S.is_file('url')} THEN media_base || {S.sanitize_filename(S.file_name('url'))}
                       WHEN coalesce(title IN {_HOME}, false) THEN '/' ELSE url_slug END)
               ELSE url END AS target
-  FROM t0 WHERE NOT (coalesce(title IN {_HOME}, false) AND rn > 1)
+  FROM n0 WHERE NOT (coalesce(title IN {_HOME}, false) AND rn > 1)
 ),
-l3 AS (SELECT site, parent_pos, list({{'items': []::VARCHAR[], 'newTab': '0', 'title': title, 'url': target}} ORDER BY pos) AS items FROM t WHERE level = 3 GROUP BY site, parent_pos),
+l3 AS (SELECT site, parent_pos, list({{'items': []::VARCHAR[], 'newTab': '0', 'title': title, 'url': target}} ORDER BY pos) AS items FROM n1 WHERE level = 3 GROUP BY site, parent_pos),
 l2 AS (
   SELECT t.site, t.parent_pos, list({{'items': coalesce(l3.items, []), 'newTab': '0', 'title': t.title, 'url': t.target}} ORDER BY t.pos) AS items
-  FROM t LEFT JOIN l3 ON l3.site = t.site AND l3.parent_pos = t.pos WHERE t.level = 2 GROUP BY t.site, t.parent_pos
+  FROM n1 t LEFT JOIN l3 ON l3.site = t.site AND l3.parent_pos = t.pos WHERE t.level = 2 GROUP BY t.site, t.parent_pos
 ),
 l1 AS (
   SELECT t.site, list({{'items': coalesce(l2.items, []), 'newTab': '0', 'title': t.title, 'url': t.target}} ORDER BY t.pos) AS items
-  FROM t LEFT JOIN l2 ON l2.site = t.site AND l2.parent_pos = t.pos WHERE t.level = 1 GROUP BY t.site
-)
-SELECT known.site AS site_id, 'PUT' AS method, '/navigations/' || a.alias AS endpoint, to_json({{'items': coalesce(l1.items, []), 'name': a.alias}}) AS body
-FROM known LEFT JOIN l1 ON l1.site = known.site, (VALUES {_NAV_ALIASES}) a(alias)
-"""
-_OUTBOX = f"""
-WITH home(site, nation) AS (SELECT host, CAST(page_id % 25 AS VARCHAR) FROM ({FX.decorated_sql('pages')}) WHERE r = 1),
-legacy AS (SELECT h.site, nation FROM home h JOIN ({TEMPLATE_FAMILY}) f ON f.site = h.site WHERE f.family = 'O'),
+  FROM n1 t LEFT JOIN l2 ON l2.site = t.site AND l2.parent_pos = t.pos WHERE t.level = 1 GROUP BY t.site
+)"""
+_PAGE_WITH, _PAGE_SELECT = PAGE_PAYLOAD.split("\nSELECT i.site AS site_id", 1)
+_FILES_BODY = _between(FILE_MANIFEST, "\nfiles AS (", "\nSELECT DISTINCT site, url, file_name")
+_LOGO_SELECT = _between(COMPONENT_ROWS, "\nSELECT l.site AS site_id", "\nUNION ALL")
+# one statement, so that the archive's tokens, menus, links and words are planned once
+_OUTBOX = f"""{_PAGE_WITH}
+{_LOGO_BODY},
+{_SS_BODY.strip()},{_FILES_BODY},{_NAV_BODY},
+legacy AS (SELECT site, CAST(home_page_id % 25 AS VARCHAR) AS nation FROM sites WHERE family = 'O'),
 requests AS (
-  SELECT 1 AS step, * FROM ({_NAVIGATION})
-  UNION SELECT 2, site, 'POST', '/files/', to_json({{'filename': file_name, 'url': url}}) FROM ({FILE_MANIFEST})
-  UNION SELECT 3, site, 'PUT', '', to_json({{'headerTags': ''}}) FROM ({STYLESHEETS})
+  SELECT 1 AS step, known.site AS site_id, 'PUT' AS method, '/navigations/' || a.alias AS endpoint, to_json({{'items': coalesce(l1.items, []), 'name': a.alias}}) AS body
+         FROM known LEFT JOIN l1 ON l1.site = known.site, (VALUES {_NAV_ALIASES}) a(alias)
+  UNION SELECT 2, site, 'POST', '/files/', to_json({{'filename': file_name, 'url': url}}) FROM files
+  UNION SELECT 3, site, 'PUT', '', to_json({{'headerTags': ''}}) FROM ok
   UNION SELECT 4, site, 'POST', '/page_redirects/', to_json({{'fromUrl': from_url, 'matchType': '0', 'toUrl': to_url, 'type': '0'}})
-        FROM (SELECT site, from_url, to_url FROM ({REDIRECTS}) UNION SELECT site, from_url, to_url FROM ({PAGE_IDENTITY}) WHERE from_url IS NOT NULL)
-  UNION SELECT 5, * FROM ({COMPONENT_ROWS}) WHERE starts_with(endpoint, '/logos/')
-  UNION SELECT 6, * FROM ({PAGE_PAYLOAD})
+        FROM (SELECT site, from_path AS from_url, slug AS to_url FROM dec WHERE decision = 'emit'
+              UNION SELECT site, from_path, url_slug FROM dec2 WHERE kind = 'derived' AND decision = 'emit')
+  UNION SELECT 5, * FROM ({_LOGO_SELECT})
+  UNION SELECT 6, * FROM (SELECT i.site AS site_id{_PAGE_SELECT})
   UNION SELECT 7, g.site, 'POST', '/locations/', body FROM ({LOCATIONS}) l JOIN legacy g ON g.nation = split_part(l.site_id, '-', 2)
   UNION SELECT CASE endpoint WHEN '/hours/' THEN 8 ELSE 9 END, g.site, method, endpoint, body
-        FROM ({PAYLOAD_BODIES}) p JOIN legacy g ON p.endpoint IN ('/hours/', '/socialmedia/') AND g.nation = split_part(p.site_id, '-', 2)
+        FROM ({_HOURS_AND_SOCIAL}) p JOIN legacy g ON g.nation = split_part(p.site_id, '-', 2)
 )"""
 OUTBOX_COUNTS = f"""
 {_OUTBOX}

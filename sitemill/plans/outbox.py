@@ -143,7 +143,8 @@ def outbox(frames: dict[str, DataFrame]) -> DataFrame:
     earlier = Window.partitionBy("site_id").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("site_id", "step", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("site_id", "step", "cell").orderBy("digest", "method", "endpoint"))
-    numbers = once.withColumn("rank", rank).join(cells, ["site_id", "step", "cell"]).select("row", (F.col("before") + F.col("rank")).alias("seq"))
+    alike = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("site_id", "step", "cell")]
+    numbers = once.withColumn("rank", rank).alias("l").join(cells.alias("r"), alike).select("row", (F.col("before") + F.col("rank")).alias("seq"))
     return rows.join(numbers, "row").select("site_id", "step", "seq", "method", "endpoint", "body")
 
 
