@@ -191,30 +191,61 @@ def payload_targets(menu_rows: DataFrame, sites: DataFrame) -> DataFrame:
     return m.withColumn("target", target)
 
 
-def nest(targets: DataFrame, key: str = "site") -> DataFrame:
-    """M6 nesting: bottom-up ``collect_list`` per level joined to the parent.
+def _rest_of_json(*fields: Column) -> Column:
+    """The JSON object of ``fields`` without its opening brace."""
+    return F.substring(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 2, 1 << 30)
+
 
-    Items whose parent was dropped (M5) are dropped with it.  The depth comes
-    from the data (one small aggregate), so no level is cut.  Output:
-    ``(key, items)`` with items ``array<struct<items, newTab, title, url>>``.
+def _kept_with_ancestors(targets: DataFrame, key: str) -> DataFrame:
+    """The items all of whose ancestors are items: a dropped parent takes its descendants along.
+
+    In document order an item's ancestor of level l is the last item of that level before it, and an
+    item's parent was dropped if that one, one level up, isn't the parent it names. Each item asks
+    for its ancestors once per level above it.
+    """
+    own = targets.withColumn("_own", F.lit(True)).withColumn("_at", F.col("level"))
+    asked = (targets.withColumn("_own", F.lit(False)).where("level > 1")
+             .withColumn("_at", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("level")))))
+    # the ancestor at level _at (the item itself at its own) and the one before it, as they follow each other
+    rows = own.unionByName(asked)
+    at = W.partitionBy(key, "_at").orderBy("pos", F.col("_own").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_named", F.last(F.when(F.col("_own"), F.struct("pos", "parent_pos")), True).over(at))
+    asked = rows.where(~F.col("_own")).select(key, "pos", F.col("_at"), "_named")
+    up = W.partitionBy(key, "_level").orderBy("pos", "_role").rowsBetween(W.unboundedPreceding, W.currentRow)
+    probes = asked.select(key, "pos", (F.col("_at") - 1).alias("_level"), F.lit(1).alias("_role"), F.col("_named.parent_pos").alias("_parent"))
+    nodes = targets.select(key, "pos", F.col("level").alias("_level"), F.lit(0).alias("_role"), F.lit(None).cast(targets.schema["parent_pos"].dataType).alias("_parent"))
+    found = nodes.unionByName(probes).withColumn("_last", F.last(F.when(F.col("_role") == 0, F.col("pos")), True).over(up))
+    lost = found.where((F.col("_role") == 1) & ~F.col("_last").eqNullSafe(F.col("_parent"))).select(key, "pos").distinct()
+    return targets.join(lost, [key, "pos"], "left_anti")
+
+
+#: Pieces of one menu that are put together by one task before the menu's blocks are.
+MENU_BLOCK = 1000
+
+
+def nest(targets: DataFrame, key: str = "site") -> DataFrame:
+    """M6 nesting as the bracket sequence of the tree: ``(key, items)``, items as JSON text.
+
+    ``targets(key, pos, level, parent_pos, title, target)`` has its items in document order of
+    ``pos``. An item opens where it stands; after an item as many close as the levels drop to the
+    next one. The text that closes a level is that of its last item so far, a window keyed by
+    (key, level). The pieces are put in order and joined in blocks, then by key: a tree of
+    any depth without a join per level or an action. Items whose parent was dropped (M5) are
+    dropped with it.
     """
-    max_level = targets.agg(F.max("level")).first()[0] or 0
-    child = None
-    for lvl in range(max_level, 0, -1):
-        rows = targets.where(F.col("level") == lvl)
-        if child is None:
-            kids = F.array().cast("array<string>")
-            rows = rows.withColumn("_items", kids)
-        else:
-            rows = rows.join(child, (rows["pos"] == child["_cpos"]) & (rows[key] == child["_ckey"]), "left")
-            empty = F.array().cast(child.schema["_citems"].dataType)
-            rows = rows.withColumn("_items", F.coalesce(F.col("_citems"), empty))
-        item = F.struct(F.col("_items").alias("items"), F.lit("0").alias("newTab"), F.col("title").alias("title"), F.col("target").alias("url"))
-        group_key = F.col("parent_pos") if lvl > 1 else F.lit(None).cast("int")
-        grouped = rows.groupBy(F.col(key).alias("_ckey"), group_key.alias("_cpos")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), item.alias("i")))), lambda s: s["i"]).alias("_citems")
-        )
-        child = grouped
-    if child is None:
-        return targets.select(key).distinct().withColumn("items", F.array())
-    return child.select(F.col("_ckey").alias(key), F.col("_citems").alias("items"))
+    t = _kept_with_ancestors(targets, key).withColumn("level", F.col("level").cast("bigint"))
+    order = W.partitionBy(key).orderBy("pos")
+    close = F.concat(F.lit("],"), _rest_of_json(F.lit("0").alias("newTab"), F.col("title").alias("title"), F.col("target").alias("url")))
+    t = t.withColumns({"_next": F.coalesce(F.lead("level").over(order), F.lit(1)), "_before": F.lag("level").over(order), "_close": close})
+    opening = F.concat(F.when(F.col("_before") >= F.col("level"), ",").otherwise(""), F.lit('{"items":['))
+    opens = t.select(key, "pos", F.lit(0).alias("role"), F.col("level").alias("at"), opening.alias("open"), F.col("_close").alias("close"))
+    closes = t.where("_next <= level").select(key, "pos", F.lit(1).alias("role"), F.explode(F.sequence("_next", "level")).alias("at"),
+                                              F.lit(None).cast("string").alias("open"), F.lit(None).cast("string").alias("close"))
+    level = W.partitionBy(key, "at").orderBy("pos", "role").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pieces = opens.unionByName(closes).withColumn("close", F.last("close", True).over(level))
+    pieces = pieces.select(key, "pos", "role", (-F.col("at")).alias("up"), F.when(F.col("role") == 0, F.col("open")).otherwise(F.col("close")).alias("text"))
+    number = F.row_number().over(W.partitionBy(key).orderBy("pos", "role", "up"))
+    text = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*of))), lambda s: s["text"]), "")
+    blocks = (pieces.withColumn("number", number).withColumn("block", F.floor(F.col("number") / MENU_BLOCK))
+              .groupBy(key, "block").agg(text(["number", "text"]).alias("text")))
+    return blocks.groupBy(key).agg(F.concat(F.lit("["), text(["block", "text"]), F.lit("]")).alias("items"))

@@ -335,36 +335,34 @@ def payload_bodies(spark, sf_dir):
     return out
 
 
-def _region_menu(spark, sf_dir) -> DataFrame:
-    """A three-level menu per region: nations under the region, customers under nations."""
+def _customer_menus(spark, sf_dir) -> DataFrame:
+    """A menu per nation and block of 100 customer keys: the nation, its customers under it, and their segments under them; pos in document order."""
     r = A.read_table(spark, sf_dir, "region")
-    n = A.read_table(spark, sf_dir, "nation")
-    c = A.read_table(spark, sf_dir, "customer")
-    lvl1 = r.select(F.col("r_name").alias("site"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("level"),
-                    F.lit(None).cast("bigint").alias("parent_pos"), F.lit("#").alias("url"), F.lit("Home").alias("title"))
-    nat = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000).cast("bigint").alias("pos"),
-        F.lit(1).cast("bigint").alias("level"), F.lit(None).cast("bigint").alias("parent_pos"),
-        F.concat(F.lit("/nations/"), F.lower("n_name"), F.lit(".html")).alias("url"), F.col("n_name").alias("title"))
-    cus = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000 + F.col("c_custkey") + 1).cast("bigint").alias("pos"),
-        F.lit(2).cast("bigint").alias("level"), ((F.col("n_nationkey") + 1) * 1000000000000).cast("bigint").alias("parent_pos"),
-        F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("/files/"), F.col("c_name"), F.lit(".pdf")))
-        .otherwise(F.concat(F.lit("/customers/"), F.col("c_custkey").cast("string"))).alias("url"),
-        F.when(F.col("c_custkey") % 7 == 0, F.lit("Welcome")).otherwise(F.col("c_name")).alias("title"))
-    seg = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("site"), ((F.col("n_nationkey") + 1) * 1000000000000 + F.col("c_custkey") + 1).cast("bigint").alias("parent_pos"),
-        F.col("c_mktsegment").alias("title")).distinct()
-    seg = seg.select("site", (F.col("parent_pos") * 10 + 1).cast("bigint").alias("pos"), F.lit(3).cast("bigint").alias("level"),
-                     "parent_pos", F.concat(F.lit("https://segments.example.test/"), F.lower("title")).alias("url"), "title")
-    rows = lvl1.unionByName(nat).unionByName(cus).unionByName(seg)
+    n = A.read_table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    c = A.read_table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    site = F.concat(F.col("n_name"), F.lit("-"), F.floor(F.col("c_custkey") / 100).cast("string"))
+    c = c.select(site.alias("site"), "r_name", "n_name", "c_custkey", "c_name", "c_mktsegment")
+    none, big = F.lit(None).cast("bigint"), lambda x: F.lit(x).cast("bigint")
+    pos = (F.col("c_custkey") + 1) * 10
+    home = c.select("site").distinct().select("site", big(0).alias("pos"), big(1).alias("level"), none.alias("parent_pos"), F.lit("#").alias("url"), F.lit("Home").alias("title"))
+    nation = c.select("site", "n_name").distinct().select(
+        "site", big(1).alias("pos"), big(1).alias("level"), none.alias("parent_pos"), F.concat(F.lit("/nations/"), F.lower("n_name"), F.lit(".html")).alias("url"), F.col("n_name").alias("title"))
+    url = (F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("/files/"), F.col("c_name"), F.lit(".pdf")))
+           .otherwise(F.concat(F.lit("/customers/"), F.col("c_custkey").cast("string"))))
+    customer = c.select("site", pos.cast("bigint").alias("pos"), big(2).alias("level"), big(1).alias("parent_pos"), url.alias("url"),
+                        F.when(F.col("c_custkey") % 7 == 0, F.lit("Welcome")).otherwise(F.col("c_name")).alias("title"))
+    segment = c.select("site", (pos + 1).cast("bigint").alias("pos"), big(3).alias("level"), pos.cast("bigint").alias("parent_pos"),
+                       F.concat(F.lit("https://segments.example.test/"), F.lower("c_mktsegment")).alias("url"), F.col("c_mktsegment").alias("title"))
+    region = c.select("site", "r_name").distinct().select(
+        "site", big(1 << 60).alias("pos"), big(1).alias("level"), none.alias("parent_pos"), F.concat(F.lit("/regions/"), F.lower("r_name")).alias("url"), F.col("r_name").alias("title"))
+    rows = home.unionByName(nation).unionByName(customer).unionByName(segment).unionByName(region)
     return rows.withColumn("url_slug", F.concat(F.lit("/"), TX.slugify(F.col("title"))))
 
 
 @register("menu_payload", OR.MENU_PAYLOAD)
 def menu_payload(spark, sf_dir):
-    """M5 + M6 + P1 on a region > nation > customer > segment menu derived from the tables."""
-    rows = _region_menu(spark, sf_dir)
+    """M5 + M6 + P1 on menus of nations, customers and segments derived from the tables."""
+    rows = _customer_menus(spark, sf_dir)
     sites = rows.select("site").distinct().select(
         "site", F.lit("example.test").alias("domain"),
         F.concat(F.lit("https://"), F.lower("site"), F.lit(".example.test/storage/app/media/")).alias("media_base"))

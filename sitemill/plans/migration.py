@@ -4,7 +4,7 @@
 relation lazily: ``sites``, ``tokens``, ``menu``, ``url_map``, ``redirects``,
 ``dispositions``, ``processed``, ``identity``, ``content``, ``files``,
 ``outbox`` ...  Nothing is collected; the only driver round trips are the
-menu-depth probe and the crawl-closure rounds (a few numbers each).
+crawl-closure rounds (a few numbers each).
 
 Partitioning: the archive is hash-partitioned by ``page_id`` once before
 tokenising.  Extents, coverage, SEO and reassembly are windows/aggregates
@@ -291,7 +291,7 @@ class Migration:
         known = self.sites.where(F.col("family") != "X")
         frames = {
             "navigation": O.navigation_payloads(known.select("site").join(self.nested_menu, "site", "left")
-                                                .withColumn("items", F.coalesce(F.col("items"), F.array()))),
+                                                .withColumn("items", F.coalesce(F.col("items"), F.lit("[]")))),
             "files": O.file_payloads(self.files),
             "stylesheets": O.css_payloads(self.stylesheets),
             "redirects": O.redirect_payloads(self.redirects),

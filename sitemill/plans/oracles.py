@@ -679,26 +679,18 @@ _NAV_ALIASES = ", ".join(f"('{a}')" for c, a in R.COMPONENT_ALIASES if c == "nav
 _HOME = S.inlist(["Home", "Welcome"])
 MENU_PAYLOAD = f"""
 WITH cx AS (
-  SELECT c.c_custkey, c.c_name, c.c_mktsegment, n.n_nationkey, r.r_name
+  SELECT n.n_name || '-' || CAST(c.c_custkey // 100 AS VARCHAR) AS site, r.r_name, n.n_name, CAST((c.c_custkey + 1) * 10 AS BIGINT) AS p, c.c_custkey, c.c_name, c.c_mktsegment
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 rows AS (
-  SELECT r_name AS site, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS level, CAST(NULL AS BIGINT) AS parent_pos,
-         '#' AS url, 'Home' AS title FROM region
+  SELECT DISTINCT site, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS level, CAST(NULL AS BIGINT) AS parent_pos, '#' AS url, 'Home' AS title FROM cx
+  UNION ALL SELECT DISTINCT site, 1, 1, NULL, '/nations/' || lower(n_name) || '.html', n_name FROM cx
+  UNION ALL SELECT DISTINCT site, 1152921504606846976, 1, NULL, '/regions/' || lower(r_name), r_name FROM cx
   UNION ALL
-  SELECT r.r_name, CAST((n.n_nationkey + 1) * 1000000000000 AS BIGINT), 1, NULL,
-         '/nations/' || lower(n.n_name) || '.html', n.n_name
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-  UNION ALL
-  SELECT r_name, CAST((n_nationkey + 1) * 1000000000000 + c_custkey + 1 AS BIGINT), 2, CAST((n_nationkey + 1) * 1000000000000 AS BIGINT),
-         CASE WHEN c_custkey % 10 = 0 THEN '/files/' || c_name || '.pdf' ELSE '/customers/' || CAST(c_custkey AS VARCHAR) END,
+  SELECT site, p, 2, 1, CASE WHEN c_custkey % 10 = 0 THEN '/files/' || c_name || '.pdf' ELSE '/customers/' || CAST(c_custkey AS VARCHAR) END,
          CASE WHEN c_custkey % 7 = 0 THEN 'Welcome' ELSE c_name END
   FROM cx
-  UNION ALL
-  SELECT DISTINCT r_name, CAST(((n_nationkey + 1) * 1000000000000 + c_custkey + 1) * 10 + 1 AS BIGINT), 3,
-         CAST((n_nationkey + 1) * 1000000000000 + c_custkey + 1 AS BIGINT),
-         'https://segments.example.test/' || lower(c_mktsegment), c_mktsegment
-  FROM cx
+  UNION ALL SELECT site, p + 1, 3, p, 'https://segments.example.test/' || lower(c_mktsegment), c_mktsegment FROM cx
 ),
 t0 AS (
   SELECT *, '/' || {S.slugify('title')} AS url_slug, 'example.test' AS domain,

@@ -45,10 +45,10 @@ def _explode_aliases(df: DataFrame, component: str) -> DataFrame:
 
 
 def navigation_payloads(nested: DataFrame) -> DataFrame:
-    """``nested(site, items)`` -> PUT /navigations/{alias}."""
+    """``nested(site, items)``, items as JSON text -> PUT /navigations/{alias}."""
     d = _explode_aliases(nested, "navigation")
-    return _rows(d, "PUT", F.concat(F.lit("/navigations/"), F.col("alias")),
-                 body(items=F.col("items"), name=F.col("alias")))
+    named = F.concat(F.lit('{"items":'), F.col("items"), F.lit(","), F.substring(body(name=F.col("alias")), 2, 1 << 30))
+    return _rows(d, "PUT", F.concat(F.lit("/navigations/"), F.col("alias")), named)
 
 
 def file_payloads(files: DataFrame) -> DataFrame:

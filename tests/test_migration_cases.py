@@ -63,5 +63,5 @@ def test_untitled_menu_items_and_their_children_stay(spark):
     kind = "site string, pos long, level long, parent_pos long, url string, title string, url_slug string"
     menu = spark.createDataFrame([("s", 1, 1, None, "/a", None, None), ("s", 2, 2, 1, "/b", "B", "/b"), ("s", 3, 1, None, "/c", "Home", "/home"), ("s", 4, 1, None, "#", "Last", "/last")], kind)
     sites = spark.createDataFrame([("s", "s.com", "m/")], "site string, domain string, media_base string")
-    items = MN.nest(MN.payload_targets(menu, sites)).first()["items"]
-    assert [(i.title, [c.title for c in i["items"]]) for i in items] == [(None, ["B"]), ("Last", [])]
+    items = json.loads(MN.nest(MN.payload_targets(menu, sites)).first()["items"])
+    assert [(i["title"], [c["title"] for c in i["items"]]) for i in items] == [(None, ["B"]), ("Last", [])]
