@@ -92,6 +92,8 @@ def tokens(pages: DataFrame, keep: list[str] | None = None, partitioned: bool =
     """H1: ``pages(page_id, html, ...)`` -> ``tokens(page_id, pos, kind, tag, raw, <attrs>)``.
 
     ``keep`` lists extra page columns carried onto every token (e.g. site keys).
+    ``partitioned`` leaves the pages where they are: by page_id already, or wherever
+    their scan has them, if nothing keyed by page follows.
     A tag that the page's end cuts off is of kind ``cut`` and has no tag.
     """
     keep = keep or []

@@ -34,8 +34,8 @@ def register(name: str, oracle: str | None = None):
 # Flagship: link disposition counts per page
 # ---------------------------------------------------------------------------
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = A.with_page_site(A.read_pages(spark, sf_dir))
-    tok = H.tokens(pages, keep=["site", "site_url", "domain", "media_base"])
+    pages = A.with_page_site(A.spread(A.read_pages(spark, sf_dir)))
+    tok = H.tokens(pages, keep=["site", "site_url", "domain", "media_base"], partitioned=True)
     return H.links(tok)
 
 
@@ -117,7 +117,7 @@ def _mig(spark: SparkSession, sf_dir: str) -> Migration:
 @register("token_relation", OR.TOKEN_RELATION)
 def token_relation(spark, sf_dir):
     """H1: every token of every page with its kind, tag and attributes."""
-    t = H.tokens(A.read_pages(spark, sf_dir))
+    t = H.tokens(A.spread(A.read_pages(spark, sf_dir)), partitioned=True)
     return t.select("page_id", "pos", "kind", "tag", "raw", "id", "class", "href", "src", "name", "content", "rel")
 
 
@@ -283,7 +283,7 @@ def word_costs(spark, sf_dir):
 @register("segmented_slugs", OR.SEGMENTED_SLUGS)
 def segmented_slugs(spark, sf_dir):
     """T4 + T7: minimum-cost split of every hyphen-free stem of the archive's links."""
-    t = H.tokens(A.read_pages(spark, sf_dir))
+    t = H.tokens(A.spread(A.read_pages(spark, sf_dir)), partitioned=True)
     hrefs = t.where(F.col("href").isNotNull()).select("href").distinct()
     slugs = hrefs.select(TX.settled(TX.slugify(TX.path_stem(F.col("href")))).alias("slug")).distinct()
     slugs = slugs.where((F.length("slug") > 0) & ~F.contains(F.col("slug"), F.lit("-")))
