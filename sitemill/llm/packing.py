@@ -30,9 +30,9 @@ from sitemill.session import materialise
 #: Ids pass through Python as text: pandas would make a nullable long a double.
 PIECES = "doc_id string, piece int, start long, length long, ids binary"
 #: A Python worker keeps the ids of so many words, about 40 bytes each; beyond it those used least often go. Results don't depend on it.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 #: New words are kept apart until there are so many.
-YOUNG_WORDS = 65_536
+YOUNG_WORDS = 32_768
 #: Longer words are encoded as they come.
 LONGEST = 64
 #: One id in the vocabularies this is used with; where it isn't, or a word holds it, words are encoded one by one.
@@ -94,7 +94,7 @@ class Memo:
 
     A word is known by its hash, its first eight bytes and its length.
     """
-    COLUMNS = {"hash": np.uint64, "head": np.uint64, "size": np.int64, "at": np.int64, "n": np.int64, "uses": np.int32}
+    COLUMNS = {"hash": np.uint64, "head": np.uint64, "size": np.uint8, "at": np.int32, "n": np.int32, "uses": np.int32}
 
     def __init__(self):
         self.main, self.young = ({c: np.empty(0, t) for c, t in self.COLUMNS.items()} for _ in range(2))
@@ -115,7 +115,7 @@ class Memo:
     @staticmethod
     def _merged(a: dict, b: dict) -> dict:
         order = np.argsort(np.concatenate((a["hash"], b["hash"])), kind="stable")
-        return {c: np.concatenate((a[c], b[c]))[order] for c in a}
+        return {c: np.concatenate((a[c], b[c]))[order].astype(t, copy=False) for c, t in Memo.COLUMNS.items()}
 
     def find(self, words: dict) -> np.ndarray:
         """Which of the different words are known; their ``at`` and ``n`` are filled in."""
@@ -145,14 +145,14 @@ class Memo:
         main = {c: x[kept] for c, x in self.main.items()}
         self._room = self._room[_ranges(main["at"], main["n"])]
         self._used = len(self._room)
-        main["at"] = np.cumsum(main["n"]) - main["n"]
+        main["at"] = (np.cumsum(main["n"]) - main["n"]).astype(np.int32)
         main["uses"] //= 2
         self.main = main
 
 
 def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers at[0], at[0] + 1, ... n[0] of them, then those from at[1] on, and so on."""
-    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat((at - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
 
 
 def _texts_ids(texts: list[str], path: str) -> list[bytes]:
@@ -184,8 +184,8 @@ def _words_ids(buffer: bytes, starts: np.ndarray, size: np.ndarray, path: str) -
     if len(short):
         first, length = starts[short], size[short]
         offset = np.cumsum(length) - length
-        place = np.arange(length.sum()) - np.repeat(offset, length)
-        value = (byte[place + np.repeat(first, length)] + np.uint64(1)) * _POWERS[place]
+        place = np.arange(length.sum(), dtype=np.int32) - np.repeat(offset.astype(np.int32), length)
+        value = (byte[place + np.repeat(first.astype(np.int32), length)] + np.uint64(1)) * _POWERS[place]
         hashes = mix(np.add.reduceat(value, offset) + length.astype(np.uint64) * _STEP)
         head = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))[first] & _HEADS[np.minimum(length, 8)]
         code, unique = pd.factorize(hashes)

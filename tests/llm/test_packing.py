@@ -74,3 +74,24 @@ def test_words_and_endings():
 def test_lengths_outside_the_capacity_are_refused(spark):
     with pytest.raises(ValueError):
         K.pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    """A memo of a few words, long words, and words that differ in their ending punctuation only."""
+    monkeypatch.setattr(K, "MEMO_WORDS", 40)
+    monkeypatch.setattr(K, "YOUNG_WORDS", 10)
+    monkeypatch.setattr(K, "_memos", {})
+    texts = ["", " ", "a", "A. a, a!? 'tis it's e.g. ...", "?!x y#", "x" * 64 + " " + "x" * 65 + " " + "y" * 5000, "straße 漢字 é.", "end.\n.start"]
+    texts += [" ".join(f"w{(7 * i + j) % 90}x{j % 4}{',' if j % 3 else ''}" for j in range(60)) for i in range(40)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in K._tokenizer(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    for size in (len(texts), 3, 1):
+        assert [x for at in range(0, len(texts), size) for x in K._texts_ids(texts[at:at + size], PATH)] == want
+    assert len(K._memos[PATH].main["hash"]) <= 40 + 10
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(K, "mix", lambda h: h & np.uint64(3))
+    monkeypatch.setattr(K, "_memos", {})
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)] * 2
+    want = [np.array(e.ids, "<u4").tobytes() for e in K._tokenizer(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    assert K._texts_ids(texts[:20], PATH) + K._texts_ids(texts[20:], PATH) == want
