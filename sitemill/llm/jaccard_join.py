@@ -181,11 +181,12 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataF
         return left
     # an id of several rows doesn't say which of them stays: its set does
     stay = rows.where(first & (F.col("n_shingles") > 0)).groupBy("root").agg(F.min(F.struct("sid", "doc_id")).alias("s"))
-    stay = stay.select(F.col("s.doc_id").alias("_id"), F.col("s.sid").alias("_stays")).unionByName(rows.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_stays")))
-    own = rows_of(docs, again).withColumn("_sid", set_ids(k)(F.col("text").cast("string")))
-    own = own.join(stay, own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_stays")), "left_semi")
-    empty = F.col("_sid") == set_id(np.empty(0, np.uint64))
-    return left.unionByName(own.where(~empty).dropDuplicates(["doc_id", "_sid"]).unionByName(own.where(empty)).drop("_sid"))
+    stay = stay.select(F.col("s.doc_id").alias("stay_id"), F.col("s.sid").alias("stay_sid")).unionByName(rows.where("n_shingles = 0").select(F.col("doc_id").alias("stay_id"), F.col("sid").alias("stay_sid")))
+    own = rows_of(docs, again)  # held whole, so that its names don't clash
+    own = own.select(F.struct(*[own[c] for c in own.columns]).alias("row"), own["doc_id"].cast("long").alias("id"), set_ids(k)(own["text"].cast("string")).alias("sid"))
+    own = own.join(stay, own["id"].eqNullSafe(F.col("stay_id")) & (F.col("sid") == F.col("stay_sid")), "left_semi")
+    empty = F.col("sid") == set_id(np.empty(0, np.uint64))
+    return left.unionByName(own.where(~empty).dropDuplicates(["id", "sid"]).unionByName(own.where(empty)).select("row.*"))
 
 
 def component_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -103,3 +103,14 @@ def test_components_of_paths_and_stars(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(91)) and all(got[200 + i] == 200 for i in range(60)) and got[400] == got[399] == 399
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_any_name_go_through_the_stage(spark):
+    names = ["_sid", "_id", "_stays", "_again", "sid", "id", "row", "stay_id", "n_shingles", "component_id", "root"]
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (1, "b c d e f g"), (2, words), (None, words), (None, "x y z"), (1, "b c d e f g"), (3, None)]
+    df = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], ["doc_id", "text", *names])
+    left = J.without_near_copies(df)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)[:1]) for r in left.collect()) == [("1", "b"), ("1", "w"), ("3", "N"), ("None", "x")]
+    assert all({r[n][:-1] for n in names} == set(names) for r in left.collect())
