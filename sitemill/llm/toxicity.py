@@ -4,16 +4,19 @@ Fitting, on a bounded sample of labelled rows: the lexicon holds the word beginn
 toxic from other documents best (likelihood ratio over distinct preceding words, so that copies
 count once; of beginnings that contain each other the best stays). Its entries form a trie. The
 Levenshtein automaton of the trie reads a word once and gives the entries that it begins with, or
-that it misspells by one edit (two from nine letters on); states are determinised as they occur.
-A misspelling that clean documents hold unquoted, as against toxic ones, is an ordinary word and no
-hit; other misspellings of the entry remain. Each hit has a window of words around it. Words that stand near hits in toxic documents rather
+that it misspells, or begins with misspelled up to their last letter, by one edit (two from nine letters
+on; two letters in each other's place are one); states are determinised as they occur.
+A misspelled form that clean documents hold unquoted, as against toxic ones, begins ordinary words and is
+no hit; other misspellings of the entry remain. Entries have 12 letters at most, which longer words begin with. Each hit has a window of words around it. Words that stand near hits in toxic documents rather
 than in others, and quotation marks around a hit, tell abuse from quotation. A logistic model
 over a document's hits gives the score.
 
 Scoring reads each whole text once; the model is a closure bounded by the sample's near forms.
 
-Defined results: a null or blank text has no hits and the score of such; a null doc_id has no
-fold and is not held out; where the sample has rows of one label only, every score is its share.
+Defined results: a null or blank text has no hits and the score of such; very long texts are read
+whole; repeated rows are scored alike, each by itself; an empty table gives an empty result; a null
+doc_id has no fold and is not held out; where the sample has rows of one label only, every score is
+its share. Other columns, whatever their names, play no part, and a filter returns them as they are.
 """
 from __future__ import annotations
 
@@ -34,6 +37,8 @@ from sitemill.llm.slices import slices, prepare_workers
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
 WINDOW = 5
+#: Words a worker remembers the hits of, before it starts afresh.
+MEMO = 200_000
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"'`«»‘’‚“”„‹›"
 
@@ -63,10 +68,11 @@ class LexiconAutomaton:
             self.entry[node] = k
         self.alphabet = {c for e in entries for c in e}
         self.numbers: dict = {}
+        #: the active (node, edits, letter that must follow), and the (entry, edits) that the word begins with
         self.states: list[tuple[frozenset, frozenset]] = []
         self.steps: list[dict[str, int]] = []
         self.ends: list[dict[int, int]] = []
-        self.start = self.number(self.closed({(0, 0)}), frozenset())
+        self.start = self.number(self.closed({(0, 0, "")}), frozenset())
 
     @staticmethod
     def allowed(entry: str) -> int:
@@ -76,41 +82,51 @@ class LexiconAutomaton:
         """With the nodes reached by leaving out letters of the lexicon."""
         todo = list(active)
         while todo:
-            node, e = todo.pop()
-            for child in self.children[node].values():
-                if e < self.edits[child] and (child, e + 1) not in active:
-                    active.add((child, e + 1))
-                    todo.append((child, e + 1))
+            node, e, want = todo.pop()
+            for child in self.children[node].values() if not want else ():
+                if e < self.edits[child] and (child, e + 1, "") not in active:
+                    active.add((child, e + 1, ""))
+                    todo.append((child, e + 1, ""))
         return frozenset(active)
 
     def number(self, active: frozenset, begun: frozenset) -> int:
-        """A state: the active (node, edits), and the entries that the word begins with."""
+        """The number of a state."""
         if (active, begun) not in self.numbers:
             self.numbers[active, begun] = len(self.states)
             self.states.append((active, begun))
             self.steps.append({})
-            hits = dict.fromkeys(begun, 0)
-            for node, e in sorted(active, key=lambda x: x[1]):
-                k = self.entry.get(node)
-                if k is not None and e <= self.allowed(self.entries[k]):
-                    hits.setdefault(k, e)
+            hits: dict[int, int] = {}
+            for k, e in begun | {(self.entry[node], e) for node, e, want in active if not want and self.accepts(node, e)}:
+                hits[k] = min(e, hits.get(k, e))
             self.ends.append(hits)
         return self.numbers[active, begun]
 
+    def accepts(self, node: int, e: int) -> bool:
+        k = self.entry.get(node)
+        return k is not None and e <= self.allowed(self.entries[k])
+
     def step(self, state: int, c: str) -> int:
         active, begun = self.states[state]
-        to = set()
-        for node, e in active:
+        to, found = set(), set(begun)
+        for node, e, want in active:
+            if want:  # the second of two letters in each other's place
+                if c == want:
+                    to.add((node, e, ""))
+                    found.update([(self.entry[node], e)] if self.accepts(node, e) else [])
+                continue
             child = self.children[node].get(c)
             if child is not None:
-                to.add((child, e))
+                to.add((child, e, ""))
+                found.update([(self.entry[child], e)] if self.accepts(child, e) else [])
             if e < self.edits[node]:
-                to.add((node, e + 1))  # a letter too many
-            for child in self.children[node].values():
+                to.add((node, e + 1, ""))  # a letter too many
+            for letter, child in self.children[node].items():
                 if e < self.edits[child]:
-                    to.add((child, e + 1))  # another letter
-        found = begun | {self.entry[n] for n, e in to if e == 0 and n in self.entry}
-        self.steps[state][c] = got = self.number(self.closed(to), found)
+                    to.add((child, e + 1, ""))  # another letter
+                    after = self.children[child].get(c)
+                    if after is not None and letter != c and e < self.edits[after]:
+                        to.add((after, e + 1, letter))
+        self.steps[state][c] = got = self.number(self.closed(to), frozenset(found))
         return got
 
     def hits(self, word: str) -> dict[int, int]:
@@ -125,6 +141,17 @@ class LexiconAutomaton:
                 break
         return self.ends[state]
 
+    def form(self, word: str, entry: int, edits: int) -> str:
+        """What of ``word`` stands for the entry: its shortest beginning with it, else the whole word."""
+        state = self.start
+        for n, c in enumerate(word, 1):
+            c = c if c in self.alphabet else ""
+            to = self.steps[state].get(c)
+            state = self.step(state, c) if to is None else to
+            if (entry, edits) in self.states[state][1]:
+                return word[:n]
+        return word
+
 
 def _beginnings(words: Iterable[str]) -> set[str]:
     return {w[:n] for w in words for n in range(3, min(len(w), 12) + 1)}
@@ -188,13 +215,24 @@ class Scorer:
         self.automaton = LexiconAutomaton(sorted(lexicon))
         self.odds = [lexicon[e] for e in self.automaton.entries]
         self.near: dict[str, float] = {}
-        self.misread: frozenset[str] | set[str] = frozenset()  # near forms that are ordinary words
+        self.misread: frozenset[str] | set[str] = frozenset()  # near forms that begin ordinary words
+        self.memo: dict[str, tuple[int, int, str] | None] = {}
+
+    def hit(self, word: str) -> tuple[int, int, str] | None:
+        """(entry, edits, form) of the entry that fits best."""
+        if word not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            found = self.automaton.hits(word)
+            best = min(found.items(), key=lambda x: (x[1], -self.odds[x[0]], x[0]), default=None)
+            self.memo[word] = best and (*best, self.automaton.form(word, *best))
+        return self.memo[word]
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, bool, list[str], str]]]:
-        """Per text: (entry, edits, quoted, window words, word) of each hit."""
+        """Per text: (entry, edits, quoted, window words, form) of each hit."""
         lower = [t.lower() for t in texts]
         words = [WORD.findall(t) for t in lower]
-        known = {w: h for w in set().union(*words) if (h := self.automaton.hits(w))}
+        known = {w: h for w in set().union(*words) if (h := self.hit(w))}
         out = []
         for text, ws in zip(lower, words):
             found = []
@@ -202,13 +240,13 @@ class Scorer:
                 spans = [m.span() for m in WORD.finditer(text)]
                 for i, w in enumerate(ws):
                     if w in known:
-                        entry, edits = min(known[w].items(), key=lambda x: (x[1], -self.odds[x[0]], x[0]))
+                        entry, edits, form = known[w]
                         lo, hi = max(0, i - WINDOW), min(len(ws), i + WINDOW + 1)
                         before, after = text[spans[lo][0]:spans[i][0]], text[spans[i][1]:spans[hi - 1][1]]
                         # a mark that opens before the word and one that closes behind it
                         opened = sum(before.count(q) for q in QUOTES) - sum(before.count(f"{q} ") for q in QUOTES)
                         quoted = opened > 0 and any(q in after for q in QUOTES)
-                        found.append((entry, edits, quoted, ws[lo:i] + ws[i + 1:hi], w))
+                        found.append((entry, edits, quoted, ws[lo:i] + ws[i + 1:hi], form))
             out.append(found)
         return out
 

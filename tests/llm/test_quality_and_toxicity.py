@@ -119,13 +119,27 @@ def test_ordinary_near_forms_leave_other_misspellings(spark, times):
     assert sum(b * (m - n) for b, m, n in zip(beta, misspelled, none)) > 0
 
 
-def _distance(a, b):
-    row = list(range(len(b) + 1))
+def _distances(a, b):
+    """Edits from each beginning of ``a`` to each of ``b``; two neighbours in each other's place are one."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d
+
+
+def _edits(word, entry):
+    """Of the whole word, or of a beginning whose last letters are the entry's last ones."""
+    d, n = _distances(word, entry), len(entry)
+    ends = [d[len(word), n]]
+    for i in range(1, len(word) + 1):
+        if word[i - 1] == entry[-1]:
+            ends.append(d[i - 1, n - 1])
+        if i > 1 and word[i - 2] == entry[-1] and word[i - 1] == entry[-2]:
+            ends.append(d[i - 2, n - 2] + 1)
+    return min(ends)
 
 
 def test_automaton_is_edit_distance():
@@ -133,15 +147,28 @@ def test_automaton_is_edit_distance():
     automaton = LexiconAutomaton(entries)
     letters = "idotmrnwhlesuc"
     words = {e[:k] + x + e[k + d:] for e in entries for k in range(len(e) + 1) for d in (0, 1, 2) for x in ("", "x", "o", "ss")} | {a + b for a in letters for b in letters}
+    words |= {e[:k] + e[k:k + 2][::-1] + e[k + 2:] + x for e in entries for k in range(len(e) - 1) for x in ("", "s", "ing")}
+    words |= {w + "ly" for w in words}
     for w in words:
-        want = {}
-        for k, e in enumerate(entries):
-            d = 0 if w.startswith(e) else _distance(w, e)
-            if d <= automaton.allowed(e):
-                want[k] = d
+        want = {k: d for k, e in enumerate(entries) if (d := _edits(w, e)) <= automaton.allowed(e)}
         assert automaton.hits(w) == want, w
 
 
+def test_usual_misspellings_hit():
+    automaton = LexiconAutomaton(["disgust", "idiot", "stupid", "trash"])
+    for word, entry in {"idoit": 1, "stuipd": 2, "trahs": 3, "digusting": 0, "idiiots": 1, "disgsutingly": 0}.items():
+        assert automaton.hits(word) == {entry: 1}, word
+    assert automaton.form("digusting", 0, 1) == "digust" and automaton.form("trahs", 3, 1) == "trah" and automaton.form("idoit", 1, 1) == "idoit"
+    assert not any(automaton.hits(w) for w in ("transit", "idea", "studio", "dish", "rashly"))
+
+
+def test_ordinary_forms_cover_their_inflections():
+    scorer = T.Scorer({"trash": 4.0})
+    scorer.misread = {"crash"}
+    none, ordinary, misspelled = (scorer.features(f, 4) for f in scorer.hits(["the green moon rose", "it crashed at noon", "you trahs of moon"]))
+    assert ordinary == none and misspelled != none
+
+
 def test_quotation_and_misspelling_are_told():
     scorer = T.Scorer({"idiot": 4.0, "worthless": 4.0})
     found = scorer.hits(['they wrote "idiot" in it', "you idiott are worthles", "calm words"])
