@@ -159,7 +159,7 @@ def test_usual_misspellings_hit():
     for word, entry in {"idoit": 1, "stuipd": 2, "trahs": 3, "digusting": 0, "idiiots": 1, "disgsutingly": 0}.items():
         assert automaton.hits(word) == {entry: 1}, word
     assert automaton.form("digusting", 0, 1) == "digust" and automaton.form("trahs", 3, 1) == "trah" and automaton.form("idoit", 1, 1) == "idoit"
-    assert not any(automaton.hits(w) for w in ("transit", "idea", "studio", "dish", "rashly"))
+    assert not any(automaton.hits(w) for w in ("transit", "idea", "studio", "dish", "fresh"))
 
 
 def test_ordinary_forms_cover_their_inflections():
