@@ -412,6 +412,20 @@ def stream_page_intake(spark, sf_dir):
     return spark.read.parquet(sink).drop("batch_id")
 
 
+@register("stream_new_pages", OR.NEW_PAGES)
+def stream_new_pages(spark, sf_dir):
+    """Pages to follow, each emitted once, while the archive arrives in three micro-batches."""
+    import uuid
+
+    from sitemill.session import ensure_checkpoint_dir
+    from sitemill.streaming.intake import FOLLOW_SCHEMA, follow
+
+    run, m = uuid.uuid4().hex, _mig(spark, sf_dir)
+    arriving = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arriving-{run}"
+    m.pages.select("page_id", "url", "html").repartition(3, "page_id").write.parquet(arriving)
+    return spark.read.schema(FOLLOW_SCHEMA).parquet(follow(spark, arriving, m, run, max_files_per_trigger=1))
+
+
 @register("outbox_sink", OR.OUTBOX_SINK)
 def outbox_sink(spark, sf_dir):
     """The outbox in order, written twice as one batch under the checkpoint dir, read back."""

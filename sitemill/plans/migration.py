@@ -69,6 +69,12 @@ class Migration:
         return cls(spark, deco, FX.site_registry(deco), A.read_table(spark, sf_dir, "documents"),
                    LG.site_docs(spark, sf_dir, homes))
 
+    def arriving(self, pages: DataFrame) -> "Migration":
+        """The migration of ``pages`` that are fetched later, within the sites and the URL map known here."""
+        later = Migration(self.spark, pages, self.registry, self.documents, self.legacy_docs, suffixes=self.suffixes, materialize=self.materialize)
+        later.sites, later._map_and_redirects = self.sites, self._map_and_redirects
+        return later
+
     # -- sites and per-page context -------------------------------------------------
     @cached_property
     def sites(self) -> DataFrame:

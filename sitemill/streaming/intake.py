@@ -10,6 +10,11 @@ A batch overwrites its own folder of the sink, so a batch that is tried again
 leaves its rows once.  Sink and streaming state live under the cluster's
 checkpoint directory (shared storage) and are named by the caller's ``run_id``,
 so a restarted query resumes where it stopped.
+
+Following (G1, J5): arriving pages also name pages to fetch next. Links need
+windows over token positions too, so two streams are chained: the first writes
+each batch's followed links, the second reads those files and keeps the URLs that
+each site has seen as keyed state, so that a page to follow is emitted once.
 """
 from __future__ import annotations
 
@@ -20,7 +25,7 @@ from pyspark.sql import types as T
 from sitemill.operators import html as H
 from sitemill.operators import sites as S
 from sitemill.operators.frontier import url_key
-from sitemill.session import ensure_checkpoint_dir
+from sitemill.session import ensure_checkpoint_dir, materialise
 from sitemill.sources.archive import PAGES_SCHEMA
 
 
@@ -62,3 +67,34 @@ def intake(spark: SparkSession, source_dir: str, run_id: str, file_glob: str = "
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+#: A page to follow.
+FOLLOW_SCHEMA = T.StructType([T.StructField("site", T.StringType()), T.StructField("page_url", T.StringType())])
+
+
+def write_links(batch: DataFrame, batch_id: int, known, path: str) -> None:
+    """The pages that one micro-batch of pages links to and that aren't in the URL map, into its own folder."""
+    links = known.arriving(materialise(batch, "arrived")).dispositions.where(F.col("action") == "follow")
+    links.select("site", F.col("lookup").alias("page_url")).distinct().write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def follow(spark: SparkSession, source_dir: str, known, run_id: str, file_glob: str = "*.parquet", max_files_per_trigger: int | None = None) -> str:
+    """Takes in what pages are available now; returns the sink (site, page_url) of pages to follow, each once.
+
+    ``known`` is a ``Migration`` that has the sites and the URL map. Called again with the same ``run_id`` it
+    takes up what has arrived since: pages already seen are not read again, URLs already emitted stay as they are.
+    """
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/follow-{run_id}"
+    links, sink = f"{base}/links", f"{base}/out"
+    reader = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    pages = reader.parquet(source_dir).dropDuplicates(["url"])
+    (pages.writeStream.foreachBatch(lambda batch, batch_id: write_links(batch, batch_id, known, links))
+     .option("checkpointLocation", f"{base}/pages-state").trigger(availableNow=True).start().awaitTermination())
+    # a batch that is tried again replaces its files; its links are in the state by then
+    found = spark.readStream.schema(FOLLOW_SCHEMA).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).parquet(links)
+    (found.dropDuplicates(["site", "page_url"]).writeStream.format("parquet").option("path", sink)
+     .option("checkpointLocation", f"{base}/links-state").trigger(availableNow=True).start().awaitTermination())
+    return sink

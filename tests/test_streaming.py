@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitemill.sources import archive as A
-from sitemill.streaming.intake import intake, write_batch
+from sitemill.plans.migration import Migration
+from sitemill.streaming.intake import follow, intake, write_batch
 from conftest import SF_SMALL
 
 
@@ -52,3 +53,18 @@ def test_watermark_bounds_the_seen_pages(spark):
     out = spark.read.parquet(intake(spark, src, uuid.uuid4().hex, file_glob="*.parquet", arrival=("arrived", "1 hour"), crawl_key=True))
     keys = pages.select(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", "").alias("k")).distinct().count()
     assert out.count() == keys
+
+
+def test_pages_to_follow_are_emitted_once_as_pages_arrive(spark):
+    m = Migration.from_fixture(spark, SF_SMALL)
+    want = {(r.site, r.lookup) for r in m.dispositions.where("action = 'follow'").select("site", "lookup").collect()}
+    src, run, sizes = tempfile.mkdtemp(prefix="sitemill-follow-", dir="/tmp"), uuid.uuid4().hex, []
+    pages = m.pages.select("page_id", "url", "html")
+    # the last delivery repeats the first one's pages under new ids
+    for k, part in enumerate((pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0").withColumn("page_id", F.col("page_id") + 100000))):
+        part.coalesce(1).write.mode("append").parquet(src)
+        out = spark.read.parquet(follow(spark, src, m, run)).collect()
+        sizes.append(len(out))
+        assert len({(r.site, r.page_url) for r in out}) == len(out)
+    assert want and {(r.site, r.page_url) for r in out} == want
+    assert 0 < sizes[0] <= sizes[1] == sizes[2] == len(want)
