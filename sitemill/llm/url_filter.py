@@ -30,8 +30,8 @@ from sitemill.session import materialise
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Segments told apart; what follows is one more.
 DEPTH = 3
-#: A branch is frequent from so many rows and such a share of its parent on.
-MIN_ROWS, MIN_SHARE = 5, 0.01
+#: A branch is frequent from so many rows on, on a host of any size.
+MIN_ROWS = 5
 STRENGTH = 10.0
 BROADCAST_PATHS = 200_000
 
@@ -88,15 +88,20 @@ def template_tree(paths: DataFrame) -> DataFrame:
         pooled = paths.groupBy("template", s).agg(*counts)
         both = {}
         for name, rows, keys in (("h", child, ["host", "template"]), ("a", pooled, ["template"])):
-            node = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"{name}_{c}0") for c in ("n", "labelled", "blocked")])
-            both[name] = rows.join(node, keys).select(*keys, *(["own"] if name == "h" else []), s, *[F.col(c).alias(f"{name}_{c}") for c in ("n", "labelled", "blocked")], *[f"{name}_{c}0" for c in ("n", "labelled", "blocked")])
+            sums = [F.sum(c).alias(f"{name}_{c}0") for c in ("n", "labelled", "blocked")]
+            if name == "a" and s == SHAPES[0]:  # the root of all hosts is one row: no key that all branches share
+                whole = rows.agg(*sums).first()
+                met = rows.withColumns({c: F.lit(whole[c] or 0) for c in whole.asDict()})
+            else:
+                met = rows.join(rows.groupBy(*keys).agg(*sums), keys)
+            both[name] = met.select(*keys, *(["own"] if name == "h" else []), s, *[F.col(c).alias(f"{name}_{c}") for c in ("n", "labelled", "blocked")], *[f"{name}_{c}0" for c in ("n", "labelled", "blocked")])
         seen = both["h"].join(both["a"], ["template", s])
         # a branch without labels on its host is held against its like on all hosts
         use = lambda c: F.when(F.col("own") & (F.col("h_labelled") > 0), F.col(f"h_{c}")).otherwise(F.col(f"a_{c}"))
         parent = use("blocked0") / F.greatest(use("labelled0"), F.lit(1))
         error = F.sqrt(parent * (1 - parent) / F.greatest(use("labelled"), F.lit(1)))
         differs = (use("labelled") > 0) & (F.abs(use("blocked") / F.greatest(use("labelled"), F.lit(1)) - parent) > 2 * error)
-        frequent = (F.col("h_n") >= MIN_ROWS) & (F.col("h_n") >= F.col("h_n0") * MIN_SHARE)
+        frequent = F.col("h_n") >= MIN_ROWS
         named = F.when(F.col(s) == "", F.lit("")).when(frequent & differs, F.concat(F.lit("/"), F.col(s))).otherwise(F.lit("/*"))
         step = seen.select("host", "template", s, F.concat("template", named).alias("next"))
         paths = materialise(paths.join(step, ["host", "template", s]).drop("template").withColumnRenamed("next", "template"), "paths")
